@@ -63,3 +63,13 @@ def slices(batch, rows: int = 512):
     """Parts of an Arrow batch, so that what a part is turned into stays small."""
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
+
+
+#: Rows of a few numbers each, at most, that a join may send to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def few(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written; marked for broadcast if it has at most BROADCAST_ROWS rows. Otherwise a join shuffles as usual."""
+    out = stage(df, tag)
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out

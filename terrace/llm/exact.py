@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, stage
+from .common import ASCII_SPACE, few, stage
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: A chunk may end after one of these pairs; letters of several scripts, digits and marks.
@@ -70,6 +70,10 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that exact_groups keeps, with all their columns."""
-    gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    """Rows of ``df`` that exact_groups keeps, with all their columns.
+
+    A row is known by its id and its text, so rows that share an id don't fall together.
+    """
+    gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"), F.xxhash64("text_sha256").alias("__gone_text")).distinct()
+    same = (F.col(id_col) == F.col("__gone")) & (F.xxhash64(F.sha2(normalised(F.col(text_col)), 256)) == F.col("__gone_text"))
+    return df.join(few(gone, "gone"), same, "left_anti")

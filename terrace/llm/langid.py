@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import slices
 
@@ -230,8 +231,8 @@ class Scorer:
         return [self.rows[np.fromiter(map(get, w), np.int64, len(w))].sum(axis=0) if w else None for w in split]
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score for every row, from the text alone.
+def predict(df: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (all, if None) and the predicted language and score of every row, from the text alone.
 
     ``score`` is the posterior probability of the prediction under equal priors.
     A null text, one without letters, or a model without languages gives ``und``
@@ -245,16 +246,23 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(Model(langs, pieces)) if langs else None
         for batch in batches:
             for part in slices(batch, 1024):
-                texts, names, scores = part.column(1).to_pylist(), [], []
+                texts, found, scores = part.column(0).to_pylist(), [], []
                 for got in scorer.score(texts) if scorer else [None] * len(texts):
                     if got is None:
-                        names.append("und")
+                        found.append("und")
                         scores.append(0.0)
                         continue
                     odds = got - got.max()
-                    names.append(langs[int(np.argmax(odds))])
+                    found.append(langs[int(np.argmax(odds))])
                     scores.append(float(1 / np.exp(odds).sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[part.schema.names[0], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[1:], *names])
 
-    id_type = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, lang_pred string, score double")
+    kept = df.select(*(df.columns if keep is None else keep))
+    schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return df.select(F.col(text_col).alias("__text"), *kept.columns).mapInArrow(run, schema)
+
+
+def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """Rows of ``df`` with a language, of a posterior of at least ``least``, with all their columns."""
+    scored = predict(df, model, None, text_col, ("__lang", "__score"))
+    return scored.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")

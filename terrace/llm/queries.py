@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, packing
+from . import bpe, exact, langid, linedup, lz, packing, pii, setsketch, urls, warc
 from .common import table
 
 
@@ -22,6 +22,22 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def secret_key() -> bytes:
+    """The key of the surrogates; TERRACE_PII_KEY sets it, and must be secret where surrogates are published."""
+    return os.environ.get("TERRACE_PII_KEY", "terrace").encode()
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its personal data replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, secret_key()).select("doc_id", "n_entities", "text")
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines of runs that stand in an earlier place."""
+    return linedup.drop_repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+
+
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of their decoding."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -32,7 +48,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = langid.fit(docs.filter(~held_out), vocabulary("piece_bpe_32k.model"))
-    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record for each page, written to seekable bundles and read back."""
+    return warc.archive(table(spark, sf_dir, "pages"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,16 +61,33 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and their likeness."""
+    return lz.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies on shingles of two words."""
+    return setsketch.near_groups(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
+#: The rules that the query applies.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on the url of each page."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_bpe_chunks": op3_bpe_chunks,
-    "op4_language_id": op4_language_id,
-    "op6_exact_dedup": op6_exact_dedup,
-    "op10_packing": op10_packing,
+    f.__name__: f
+    for f in (op1_pii_surrogates, op2_line_dedup, op3_bpe_chunks, op4_language_id, op5_warc_bundles, op6_exact_dedup, op7_lz_fingerprint, op8_setsketch, op9_url_filter, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -60,4 +98,23 @@ ORACLE_SQL: dict[str, str] = {
             SELECT body, count(*) AS group_size, arg_max(doc_id, (size, -doc_id)) AS keep_id FROM d GROUP BY body)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.body) AS text_sha256
         FROM d JOIN g USING (body)""",
+    "op2_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+        w AS (
+            SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM l),
+        f AS (
+            SELECT doc_id, n, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, n) AS copy FROM w WHERE next IS NOT NULL),
+        gone AS (
+            SELECT DISTINCT doc_id, n + o AS n FROM f, (VALUES (0), (1)) AS v(o) WHERE copy > 1)
+        SELECT l.doc_id, count(*) AS n_lines, count(gone.n) AS n_deleted, coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE gone.n IS NULL), '') AS text
+        FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.n = gone.n
+        GROUP BY l.doc_id""",
+    "op5_warc_bundles": r"""
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (
+            SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
+        FROM p LEFT JOIN f ON p.payload_bytes >= 100 AND p.payload_digest = f.payload_digest""",
 }
