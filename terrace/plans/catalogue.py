@@ -5,6 +5,556 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import ignore, text
+from ..operators import evidence, graph, navigation, presentation, review, scan
+from ..operators.relational import greedy_prefix, top_k
+from . import tables
+from .tables import FILES_SQL, GRAPH_SQL, LINES_SQL, SNAPSHOTS_SQL, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Scans and identity
+
+
+@query(f"WITH {FILES_SQL} SELECT path, octet_length(encode(source)) AS n_bytes, strlen(source) - strlen(replace(source, chr(10), '')) + 1 AS n_lines FROM files WHERE octet_length(encode(source)) <= 4000 AND NOT contains(path, '/src1/')")
+def scan_bounded(spark, d):
+    kept = scan.scan_bounded(tables.files(spark, d), 4000).filter(~F.col("path").contains("/src1/"))
+    return kept.select("path", F.octet_length("source").alias("n_bytes"), text.count_lines(F.col("source")).alias("n_lines"))
+
+
+#: kind, priority, pattern of the path.
+KINDS = [("tagged", 100, r"\?page="), ("anchor", 90, "#top$"), ("html", 80, r"\.html$"), ("english", 20, "/en/"), ("any", 10, "^http")]
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '\?page=') THEN 'tagged' WHEN regexp_matches(url, '#top$') THEN 'anchor' WHEN regexp_matches(url, '\.html$') THEN 'html' WHEN regexp_matches(url, '/en/') THEN 'english' WHEN regexp_matches(url, '^http') THEN 'any' ELSE 'document' END AS kind FROM pages")
+def classify_priority(spark, d):
+    return scan.classify(table(spark, d, "pages").select("page_id", F.col("url").alias("path")), KINDS).select("page_id", "kind")
+
+
+@query(f"""WITH {LINES_SQL}, units AS (SELECT path, 'l' || line AS name, line AS start, line AS "end" FROM lines WHERE length(text) > 600)
+    SELECT f.path, coalesce(u.name, string_split(f.path, '/')[-1]) AS name, coalesce(u.start, 1) AS start, coalesce(u."end", strlen(source) - strlen(replace(source, chr(10), '')) + 1) AS "end" FROM files f LEFT JOIN units u USING (path)""")
+def whole_file_fallback(spark, d):
+    units = tables.lines(spark, d).filter(F.length("text") > 600).select("path", F.concat(F.lit("l"), F.col("line").cast("string")).alias("name"), F.col("line").alias("start"), F.col("line").alias("end"))
+    return scan.whole_file_fallback(tables.files(spark, d), units)
+
+
+@query(f"""WITH {LINES_SQL}, u AS (SELECT path, string_split(text, ' ')[1] AS name, line FROM lines), n AS (SELECT *, row_number() OVER (PARTITION BY path, name ORDER BY line) AS n FROM u)
+    SELECT path, line, CASE WHEN n = 1 THEN path || ':' || name ELSE path || ':' || name || '#' || n END AS unit_id FROM n""")
+def unit_ids_unique(spark, d):
+    units = tables.lines(spark, d).select("path", F.element_at(F.split("text", " "), 1).alias("name"), F.col("line").alias("ord"))
+    return scan.unique_ids(units, ["path", "name"]).select("path", F.col("ord").alias("line"), "unit_id")
+
+
+@query(f"WITH {FILES_SQL}, e AS (SELECT string_split(path, '/')[1] AS lang, path, sha256(path || chr(0) || source || chr(0)) AS digest FROM files) SELECT lang, sha256(string_agg(digest, '' ORDER BY path)) AS revision FROM e GROUP BY lang")
+def snapshot_revision(spark, d):
+    return scan.snapshot_revision(tables.files(spark, d).withColumn("lang", F.element_at(F.split("path", "/"), 1)), ["lang"])
+
+
+@query("SELECT doc_id, sha1('blob ' || octet_length(encode(text)) || chr(0) || text) AS blob_id, sha256('blob ' || octet_length(encode(text)) || chr(0) || text) AS blob_id_sha256 FROM documents")
+def blob_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.blob_identity(F.col("text")).alias("blob_id"), text.blob_identity_sha256(F.col("text")).alias("blob_id_sha256"))
+
+
+#: Layers of ignore rules over paths host/section/page.
+IGNORE_LAYERS = {"": "*.html\n/blog.*\n!keep.html\n", "m": "en/\n!*.html\n"}
+
+
+def _url_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("url", r"//(\w+)\.", 1), F.regexp_extract("url", r"//[^/]+(/[^?#]*)", 1)).alias("path")).withColumn("path", F.regexp_replace("path", "/$", ""))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '//(\w+)\.', 1) || regexp_extract(url, '//[^/]+(/[^?#]*)', 1), '/$', '') AS path FROM pages),
+    e AS (SELECT DISTINCT path, unnest(range(1, len(string_split(path, '/')) + 1)) AS n FROM p),
+    x AS (SELECT path, n, array_to_string(string_split(path, '/')[1:n], '/') AS prefix, n < len(string_split(path, '/')) AS is_dir FROM e),
+    h AS (SELECT path, n, CASE
+        WHEN starts_with(prefix, 'm/') AND regexp_matches(prefix, '(^m/|/)[^/]*\.html$') THEN false
+        WHEN starts_with(prefix, 'm/') AND is_dir AND regexp_matches(prefix, '(^m/|/)en$') THEN true
+        WHEN regexp_matches(prefix, '(^|/)keep\.html$') THEN false
+        WHEN regexp_matches(prefix, '^blog\.[^/]*$') THEN true
+        WHEN regexp_matches(prefix, '(^|/)[^/]*\.html$') THEN true ELSE false END AS hit FROM x)
+    SELECT path, bool_or(hit) AS ignored FROM h GROUP BY path""")
+def ignore_last_match(spark, d):
+    rows = [(base, base.count("/") + bool(base), n, r.regex, r.negate, r.dir_only) for base, source in IGNORE_LAYERS.items() for n, r in enumerate(ignore.parse(source))]
+    rules = spark.createDataFrame(rows, "dir string, depth int, ord int, regex string, negate boolean, dir_only boolean")
+    return scan.ignore_verdicts(_url_paths(spark, d).select("path"), rules)
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '//(\w+)\.', 1) || regexp_extract(url, '//[^/]+(/[^?#]*)', 1), '/$', '') AS path FROM pages)
+    SELECT page_id, path FROM p WHERE NOT regexp_matches(path, '^(m/fr|blog)(/|$)')""")
+def permitted_prefixes(spark, d):
+    return scan.permitted(_url_paths(spark, d), spark.createDataFrame([("m/fr",), ("blog",)], "path string"))
+
+
+@query(f"""WITH {FILES_SQL}, b AS (SELECT path, sha256(source) AS digest FROM files WHERE doc_id % 13 <> 0), a AS (SELECT path, sha256(CASE WHEN doc_id % 7 = 0 THEN source || ' ' ELSE source END) AS digest FROM files WHERE doc_id % 11 <> 0)
+    SELECT path, CASE WHEN b.digest IS NULL THEN 'added' WHEN a.digest IS NULL THEN 'removed' ELSE 'changed' END AS status FROM b FULL JOIN a USING (path) WHERE a.digest IS DISTINCT FROM b.digest""")
+def policy_check(spark, d):
+    f = tables.files(spark, d)
+    after = f.filter("doc_id % 11 <> 0").withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.concat("source", F.lit(" "))).otherwise(F.col("source")))
+    return scan.changed_policy(*(x.select("path", F.sha2("source", 256).alias("digest")) for x in (f.filter("doc_id % 13 <> 0"), after)))
+
+
+# The graph
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, name, kind, path, language, start, array_to_string(roles, ',') AS roles FROM base")
+def graph_nodes(spark, d):
+    nodes = graph.with_roles(graph.add_nodes(tables.raw_nodes(spark, d)), tables.raw_roles(spark, d))
+    return nodes.select("id", "name", "kind", "path", "language", "start", F.array_join("roles", ",").alias("roles"))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT src, dst, kind, ord FROM edges")
+def graph_edges(spark, d):
+    return graph.add_edges(tables.raw_edges(spark, d), tables.raw_nodes(spark, d)).select("src", "dst", "kind", "ord")
+
+
+@query("""WITH u AS (SELECT doc_id, 'd' || doc_id AS id, unnest([lang || '/' || source, 'de/src' || (doc_id % 7)]) AS link FROM documents), t AS (SELECT 'd' || doc_id AS dst, lang || '/' || source AS dir FROM documents WHERE doc_id % 10 = 0)
+    SELECT DISTINCT u.id AS src, t.dst FROM u JOIN t ON t.dir = u.link""")
+def module_links(spark, d):
+    docs = table(spark, d, "documents")
+    ident, folder = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat_ws("/", "lang", "source")
+    return graph.module_links(docs.select(ident, F.array(folder, F.concat(F.lit("de/src"), (F.col("doc_id") % 7).cast("string"))).alias("links")), docs.filter("doc_id % 10 = 0").select(ident, folder.alias("dir")))
+
+
+@query(f"""WITH {LINES_SQL}, r AS (SELECT path, 'u' || line AS unit, line AS start, line + 2 AS "end", line AS ord FROM lines WHERE line % 4 = 1 AND length(text) > 40)
+    SELECT l.path, l.line, coalesce(arg_min(r.unit, r.ord), 'file') AS owner FROM lines l LEFT JOIN r ON r.path = l.path AND l.line BETWEEN r.start AND r."end" GROUP BY l.path, l.line""")
+def owner_range_join(spark, d):
+    lines = tables.lines(spark, d)
+    ranges = lines.filter((F.col("line") % 4 == 1) & (F.length("text") > 40)).select("path", F.concat(F.lit("u"), F.col("line").cast("string")).alias("unit"), F.col("line").alias("start"), (F.col("line") + 2).alias("end"), F.col("line").alias("ord"))
+    return graph.owner(lines.select("path", "line"), ranges, ["path"])
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, callers, dependencies FROM base")
+def degree_counts(spark, d):
+    nodes, _ = tables.graph_of(spark, d)
+    return nodes.select("id", "callers", "dependencies")
+
+
+@query(f"""WITH {GRAPH_SQL}, told AS (SELECT id, list_transform(list_filter(roles, lambda r: r IN ('entry point', 'network boundary', 'storage boundary', 'configuration', 'test', 'resource', 'module')), lambda r: CASE r WHEN 'entry point' THEN 'Entry point declared in source' WHEN 'test' THEN 'Test declaration' WHEN 'resource' THEN 'Terraform resource' WHEN 'module' THEN 'Terraform module' ELSE r END)
+        || CASE WHEN callers > 0 THEN [callers || ' production callers'] ELSE [] END || CASE WHEN dependencies > 0 THEN [dependencies || ' local dependencies'] ELSE [] END AS reasons FROM nodes)
+    SELECT n.id, n.score, CASE WHEN len(t.reasons) = 0 THEN 'Structural unit; no stronger role evidence available' ELSE array_to_string(t.reasons, ' · ') END AS reasons FROM nodes n JOIN told t USING (id) WHERE n.is_unit AND n.language <> 'document'""")
+def score_ranked(spark, d):
+    nodes, _ = tables.graph_of(spark, d)
+    return graph.ranked(nodes).select("id", "score", F.array_join("reasons", " · ").alias("reasons"))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT row_number() OVER (ORDER BY score DESC, path, start, id) AS rank, id, score, (SELECT count(*) FROM nodes WHERE is_unit AND language <> 'document') AS units FROM nodes WHERE is_unit AND language <> 'document' AND NOT list_contains(roles, 'test support') QUALIFY rank <= 8")
+def overview_top8(spark, d):
+    nodes, _ = tables.graph_of(spark, d)
+    return graph.overview(nodes).select("rank", "id", "score", "units")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, rank, target, relationship, score FROM read_next")
+def read_next(spark, d):
+    return graph.read_next(*tables.graph_of(spark, d))
+
+
+@query(f"""WITH {GRAPH_SQL} SELECT n.id, (SELECT count(*) FROM edges e WHERE e.dst = n.id) AS incoming, (SELECT count(*) FROM edges e WHERE e.src = n.id) AS outgoing, least((SELECT count(*) FROM near_once o WHERE o.id = n.id), 12) AS next FROM nodes n""")
+def orient(spark, d):
+    return graph.orient(*tables.graph_of(spark, d))
+
+
+# Tours
+
+
+@query(f"""WITH RECURSIVE {GRAPH_SQL},
+    steps AS (SELECT id, target, rank FROM read_next WHERE relationship IN ('calls', 'local-module-source', 'route-to-handler')),
+    starts AS (SELECT id, row_number() OVER (ORDER BY score DESC, path, start, id) AS rank FROM nodes WHERE is_unit AND language <> 'document' AND list_contains(roles, 'entry point')),
+    walk AS (
+        SELECT id, 0 AS depth, [rank] AS spot FROM starts
+        UNION ALL
+        SELECT s.target, w.depth + 1, list_append(w.spot, s.rank) FROM walk w JOIN steps s ON s.id = w.id WHERE w.depth < 3),
+    first AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
+    spots AS (SELECT w.id, w.depth, min(w.spot) AS spot FROM walk w JOIN first f ON f.id = w.id AND f.depth = w.depth GROUP BY w.id, w.depth)
+    SELECT row_number() OVER (ORDER BY s.depth, s.spot) AS stop_no, s.id, s.depth FROM spots s JOIN nodes n ON n.id = s.id WHERE n.is_unit AND n.language <> 'document' QUALIFY stop_no <= 16""")
+def tour_bfs(spark, d):
+    nodes, edges = tables.graph_of(spark, d)
+    starts = graph.ranked(nodes).filter(F.array_contains("roles", "entry point"))
+    from ..operators.relational import top_overall
+
+    return navigation.breadth_first(top_overall(starts, graph.rank_order(), 10_000, "rank").select("id", "rank"), navigation.followed_steps(nodes, edges), nodes)
+
+
+@query()
+def tour_architecture(spark, d):
+    return navigation.architecture(*tables.graph_of(spark, d))
+
+
+@query(f"WITH {GRAPH_SQL} SELECT row_number() OVER (ORDER BY score DESC, path, start, id) AS stop_no, id FROM nodes WHERE is_unit AND language <> 'document' AND len(list_intersect(roles, ['storage boundary', 'configuration', 'resource', 'variable', 'output'])) > 0 QUALIFY stop_no <= 16")
+def tour_state(spark, d):
+    return navigation.state(tables.graph_of(spark, d)[0])
+
+
+@query(f"""WITH {GRAPH_SQL}, u AS (SELECT * FROM nodes WHERE is_unit AND language <> 'document'),
+    t AS (SELECT u.id, e.dst, -u.score AS s, u.path AS p, u.start AS l FROM u JOIN edges e ON e.src = u.id WHERE e.kind = 'tested-by'),
+    r AS (SELECT id, 0 AS part, s, p, l, id AS i, dst AS d, 0 AS n FROM t UNION ALL SELECT t.dst, 0, s, p, l, t.id, t.dst, 1 FROM t JOIN u ON u.id = t.dst UNION ALL SELECT id, 1, -score, path, start, id, '', 0 FROM u WHERE list_contains(roles, 'test')),
+    f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY part, s, p, l, i, d, n) = 1)
+    SELECT row_number() OVER (ORDER BY part, s, p, l, i, d, n) AS stop_no, id FROM f QUALIFY stop_no <= 16""")
+def tour_testing(spark, d):
+    return navigation.testing(*tables.graph_of(spark, d))
+
+
+RECENT_SQL = """log AS (SELECT event_id AS "commit", ts, [('customer/' || user_id % 25), ('supplier/' || user_id % 7), ('no/' || user_id)] AS paths FROM events),
+    c AS (SELECT *, row_number() OVER (ORDER BY ts DESC, "commit") AS commit_ord FROM log QUALIFY commit_ord <= 30),
+    e AS (SELECT commit_ord, unnest(paths) AS path, generate_subscripts(paths, 1) - 1 AS nth FROM c),
+    f AS (SELECT path, min((commit_ord, nth)) AS spot FROM e WHERE path IN (SELECT path FROM indexed) GROUP BY path),
+    recent AS (SELECT path, row_number() OVER (ORDER BY spot, path) AS ord FROM f)"""
+
+
+def _recent(spark, d):
+    user = F.col("user_id")
+    log = table(spark, d, "events").select(F.col("event_id").alias("commit"), "ts", F.array(F.concat(F.lit("customer/"), (user % 25).cast("string")), F.concat(F.lit("supplier/"), (user % 7).cast("string")), F.concat(F.lit("no/"), user.cast("string"))).alias("paths"))
+    return navigation.recent_files(log, tables.raw_nodes(spark, d).select("path").distinct())
+
+
+@query(f"WITH {GRAPH_SQL}, indexed AS (SELECT DISTINCT path FROM raw_nodes), {RECENT_SQL} SELECT path, ord FROM recent")
+def recent_files(spark, d):
+    return _recent(spark, d)
+
+
+@query(f"""WITH {GRAPH_SQL}, indexed AS (SELECT DISTINCT path FROM raw_nodes), {RECENT_SQL}, b AS (SELECT r.ord, n.id FROM recent r JOIN nodes n ON n.path = r.path WHERE n.is_unit AND n.language <> 'document' QUALIFY row_number() OVER (PARTITION BY n.path ORDER BY n.score DESC, n.path, n.start, n.id) = 1)
+    SELECT row_number() OVER (ORDER BY ord) AS stop_no, id FROM b QUALIFY stop_no <= 16""")
+def tour_recent(spark, d):
+    return navigation.recent(tables.graph_of(spark, d)[0], _recent(spark, d))
+
+
+# Evidence and briefs
+
+NOW = "timestamp_ntz'2024-01-31 00:00:00'"
+
+
+@query("SELECT 'u' || user_id AS path, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAYS) AS churn FROM events GROUP BY user_id")
+def churn(spark, d):
+    return evidence.history(tables.log(spark, d), "path", F.expr(NOW), days=7)[1]
+
+
+@query("SELECT 'u' || user_id AS path, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n, event_id AS \"commit\", strftime(ts, '%Y-%m-%d') AS day FROM events QUALIFY n <= 5")
+def last_five(spark, d):
+    return evidence.history(tables.log(spark, d), "path", F.expr(NOW))[0]
+
+
+@query(f"""WITH {LINES_SQL}, terms AS (SELECT DISTINCT regexp_split_to_array(text, '[^\\p{{L}}\\p{{Nd}}_./-]+')[3] AS term FROM benchmark),
+    tok AS (SELECT path, line, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{Nd}}_./-]+')) AS term FROM lines)
+    SELECT tok.term, path, min(line) AS line FROM tok JOIN terms USING (term) WHERE tok.term <> '' GROUP BY tok.term, path QUALIFY row_number() OVER (PARTITION BY tok.term ORDER BY path) <= 6""")
+def document_reference(spark, d):
+    terms = table(spark, d, "benchmark").select(F.get(F.split("text", evidence.TOKEN_EDGE), F.lit(2)).alias("term")).distinct()
+    return evidence.document_references(tables.files(spark, d), terms)
+
+
+ITEMS_SQL = f"""{GRAPH_SQL}, items AS (
+    SELECT src AS node, 0 AS provider_ord, kind || ':' || dst AS ord, CAST(NULL AS VARCHAR) AS path FROM edges WHERE kind IN ('tested-by', 'local-module-source', 'route-to-handler')
+    UNION ALL SELECT 'o:' || o_orderkey, 1, 'doc', 'orders/' || o_orderpriority FROM orders
+    UNION ALL SELECT 'c:' || user_id, 2, CAST(event_id AS VARCHAR), CASE WHEN event_id % 3 = 0 THEN 'nowhere' ELSE 'customer/' || (user_id % 25) END FROM events)"""
+
+
+@query(f"WITH {ITEMS_SQL} SELECT node, row_number() OVER (PARTITION BY node ORDER BY provider_ord, ord) AS rank, provider_ord, ord, path FROM items WHERE path IS NULL OR path IN (SELECT path FROM raw_nodes) QUALIFY rank <= 24")
+def collect_evidence(spark, d):
+    nodes, edges = tables.graph_of(spark, d)
+    none = F.lit(None).cast("string").alias("path")
+    structure = edges.filter(F.col("kind").isin("tested-by", "local-module-source", "route-to-handler")).select(F.col("src").alias("node"), F.lit(0).alias("provider_ord"), F.concat("kind", F.lit(":"), "dst").alias("ord"), none)
+    documents = table(spark, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("node"), F.lit(1).alias("provider_ord"), F.lit("doc").alias("ord"), F.concat(F.lit("orders/"), "o_orderpriority").alias("path"))
+    history = table(spark, d, "events").select(F.concat(F.lit("c:"), F.col("user_id").cast("string")).alias("node"), F.lit(2).alias("provider_ord"), F.col("event_id").cast("string").alias("ord"), F.when(F.col("event_id") % 3 == 0, "nowhere").otherwise(F.concat(F.lit("customer/"), (F.col("user_id") % 25).cast("string"))).alias("path"))
+    found = evidence.collect_evidence(structure.unionByName(documents).unionByName(history), nodes.select("path").distinct())
+    return found.select("node", "rank", "provider_ord", "ord", "path")
+
+
+@query("SELECT source, doc_id, CAST(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY lang, doc_id) AS BIGINT) AS used FROM documents QUALIFY used <= 18000")
+def greedy_prefix_bytes(spark, d):
+    docs = table(spark, d, "documents")
+    return greedy_prefix(docs, ["source"], [F.col("lang"), F.col("doc_id")], F.octet_length("text"), 18_000).select("source", "doc_id", "used")
+
+
+@query(f"""WITH {LINES_SQL}, w AS (SELECT path, text, line AS start, path || ':' || line AS unit FROM lines WHERE line IN (1, 3))
+    SELECT unit, arg_min(l.line, (abs(l.line - w.start), l.line)) AS line FROM w JOIN (SELECT path, text, line + 1 AS line FROM lines) l ON l.path = w.path AND l.text = w.text GROUP BY unit""")
+def nearest_line(spark, d):
+    lines = tables.lines(spark, d)
+    wanted = lines.filter(F.col("line").isin(1, 3)).select("path", "text", F.col("line").alias("start"), F.concat("path", F.lit(":"), F.col("line").cast("string")).alias("unit"))
+    return evidence.nearest_line(lines.withColumn("line", F.col("line") + 1), wanted)
+
+
+@query(f"""WITH {LINES_SQL}, m AS (SELECT path, line, CASE WHEN length(text) < 60 THEN '# ' || text ELSE text END AS text FROM lines),
+    c AS (SELECT *, max(CASE WHEN NOT regexp_matches(text, '^(//|#)') OR starts_with(text, '#!') THEN line END) OVER (PARTITION BY path ORDER BY line) AS last_code FROM m),
+    u AS (SELECT path, line AS start FROM m WHERE line % 3 = 0),
+    s AS (SELECT u.path, u.start, coalesce(c.last_code, 0) + 1 AS a, u.start - 1 AS b FROM u JOIN c ON c.path = u.path AND c.line = u.start - 1 WHERE coalesce(c.last_code, 0) + 1 <= u.start - 1)
+    SELECT s.path || ':' || s.start AS unit, count(*) AS n_lines, string_agg(trim(regexp_replace(trim(m.text), '^(//+|#+)', ''), ' '), ' ' ORDER BY m.line) AS text FROM s JOIN m ON m.path = s.path AND m.line BETWEEN s.a AND s.b GROUP BY s.path, s.start""")
+def leading_comment(spark, d):
+    lines = tables.lines(spark, d).withColumn("text", F.when(F.length("text") < 60, F.concat(F.lit("# "), "text")).otherwise(F.col("text")))
+    units = lines.filter("line % 3 = 0").select("path", F.col("line").alias("start"), F.concat("path", F.lit(":"), F.col("line").cast("string")).alias("unit"))
+    return evidence.leading_comments(lines, units)
+
+
+@query("""WITH b AS (SELECT 'u' || user_id AS unit, max(ts) FILTER (WHERE event_type = 'view') AS comment_ts, max(ts) FILTER (WHERE event_type <> 'view') AS code_ts FROM events GROUP BY user_id)
+    SELECT unit, comment_ts, code_ts, coalesce(code_ts > comment_ts, false) AS stale FROM b WHERE comment_ts IS NOT NULL""")
+def comment_age(spark, d):
+    return evidence.comment_age(tables.log(spark, d).select(F.col("path").alias("unit"), (F.col("event_type") == "view").alias("is_comment"), "ts"))
+
+
+BRIEF_SQL = f"""{GRAPH_SQL}, told AS (SELECT src AS node, dst AS other, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM edges WHERE kind = 'tested-by' QUALIFY n <= 4),
+    o AS (SELECT DISTINCT src AS node, dst AS other FROM edges WHERE kind IN ('calls', 'local-module-source', 'route-to-handler')),
+    i AS (SELECT DISTINCT dst AS node, src AS other FROM edges WHERE kind = 'calls' AND (dst, src) NOT IN (SELECT (node, other) FROM told)),
+    facts AS (
+        SELECT id AS node, 'role' AS kind, generate_subscripts(roles, 1) AS n, unnest(roles) AS other FROM nodes
+        UNION ALL (SELECT node, 'calls', row_number() OVER (PARTITION BY node ORDER BY other) AS n, other FROM o QUALIFY n <= 8)
+        UNION ALL (SELECT node, 'called-by', row_number() OVER (PARTITION BY node ORDER BY other) AS n, other FROM i QUALIFY n <= 8)
+        UNION ALL SELECT node, 'tested-by', n, other FROM told),
+    placed AS (SELECT node, kind, n, other, row_number() OVER (PARTITION BY node ORDER BY list_position(['role', 'calls', 'called-by', 'tested-by'], kind), n, other) AS place FROM facts)"""
+
+
+@query(f"WITH {BRIEF_SQL} SELECT node, kind, other, place FROM placed")
+def brief(spark, d):
+    return evidence.brief(evidence.relation_facts(*tables.graph_of(spark, d))).select("node", "kind", "other", "place")
+
+
+@query(f"""WITH {BRIEF_SQL}, r AS (SELECT node, place, '{{"kind":"' || kind || '","other":"' || other || '"}}' AS row FROM placed),
+    s AS (SELECT node, place, row, sum(strlen(row) + 1) OVER (PARTITION BY node ORDER BY place) + 1 AS size FROM r)
+    SELECT node, '[' || coalesce(string_agg(row, ',' ORDER BY place) FILTER (WHERE size <= 300), '') || ']' AS text FROM s GROUP BY node""")
+def brief_text(spark, d):
+    return evidence.brief_text(evidence.brief(evidence.relation_facts(*tables.graph_of(spark, d))), 300)
+
+
+# Review
+
+
+def _changes(spark, d):
+    fields = ["path", "kind", "start", "source"]
+    return review.compare(tables.orders_before(spark, d), tables.orders_after(spark, d), "id", fields)
+
+
+@query(f"WITH {SNAPSHOTS_SQL} SELECT * FROM changes")
+def snapshot_compare(spark, d):
+    return _changes(spark, d)
+
+
+@query("""WITH b AS (SELECT DISTINCT 'o:' || l_orderkey AS src, CASE WHEN l_returnflag = 'R' THEN 'calls' ELSE 'imports' END AS kind, 'p:' || l_partkey AS dst FROM lineitem WHERE l_partkey % 11 <> 0),
+    a AS (SELECT DISTINCT 'o:' || l_orderkey AS src, CASE WHEN l_returnflag = 'R' THEN 'calls' ELSE 'imports' END AS kind, 'p:' || l_partkey AS dst FROM lineitem WHERE l_partkey % 7 <> 0)
+    SELECT *, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def relationship_delta(spark, d):
+    e = table(spark, d, "lineitem").select("l_partkey", F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("src"), F.when(F.col("l_returnflag") == "R", "calls").otherwise("imports").alias("kind"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("dst"))
+    return review.relationship_delta(e.filter("l_partkey % 11 <> 0"), e.filter("l_partkey % 7 <> 0"))
+
+
+COHORT_SQL = f"""{SNAPSHOTS_SQL}, c AS (SELECT *, coalesce(after_path, before_path) AS path, coalesce(after_start, before_start) AS start, CASE coalesce(after_kind, before_kind) WHEN 'type' THEN '1 · types and contracts' ELSE '2 · implementation and file context' END AS cohort FROM changes)"""
+
+
+def _cohorts(spark, d):
+    c = _changes(spark, d)
+    c = c.withColumn("path", F.coalesce("after_path", "before_path")).withColumn("kind", F.coalesce("after_kind", "before_kind")).withColumn("start", F.coalesce("after_start", "before_start"))
+    return c.withColumn("cohort", review.cohort(F.col("path"), F.lit("sql"), F.col("kind")))
+
+
+@query(f"WITH {COHORT_SQL} SELECT row_number() OVER (ORDER BY cohort, path, start, id) AS stop_no, id, cohort, status FROM c QUALIFY stop_no <= 32")
+def cohort_order(spark, d):
+    return review.change_stops(_cohorts(spark, d)).select("stop_no", "id", "cohort", "status")
+
+
+@query(f"WITH {COHORT_SQL} SELECT id, substr(sha256(id || chr(0) || status || chr(0) || coalesce(before_source, '') || chr(0) || coalesce(after_source, '') || chr(0)), 1, 16) AS change_id FROM c")
+def change_ids(spark, d):
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return _changes(spark, d).select("id", review.change_id(F.col("id"), F.col("status"), empty("before_source"), empty("after_source")).alias("change_id"))
+
+
+@query(f"WITH {COHORT_SQL} SELECT cohort, status, count(*) AS changes, CAST(sum(strlen(coalesce(after_source, '')) - strlen(coalesce(before_source, ''))) AS BIGINT) AS grown FROM c GROUP BY cohort, status")
+def review_totals(spark, d):
+    size = lambda c: F.octet_length(F.coalesce(c, F.lit("")))
+    return _cohorts(spark, d).groupBy("cohort", "status").agg(F.count(F.lit(1)).alias("changes"), F.sum(size("after_source") - size("before_source")).alias("grown"))
+
+
+@query(f"""WITH {LINES_SQL}, r AS (SELECT path, line AS start, line + 1 AS "end" FROM lines WHERE length(text) > 200)
+    SELECT path, line, text FROM lines l WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.path = l.path AND l.line BETWEEN r.start AND r."end")""")
+def outside_units(spark, d):
+    lines = tables.lines(spark, d)
+    ranges = lines.filter(F.length("text") > 200).select("path", F.col("line").alias("start"), (F.col("line") + 1).alias("end"))
+    return review.outside(lines, ranges).select("path", "line", "text")
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '.go' ELSE '.py' END AS ext, doc_id % 3 AS k, text FROM documents)
+    SELECT doc_id, ext = '.go' AND k <> 1 AS generated FROM f""")
+def generated_collapse(spark, d):
+    marker, package = "// Code generated by tool. DO NOT EDIT.\n", "package x\n"
+    source = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(marker + package), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(package + marker), "text")).otherwise(F.concat(F.lit("// a\n" + marker), "text"))
+    path = F.when(F.col("doc_id") % 2 == 0, "a.go").otherwise("a.py")
+    return table(spark, d, "documents").select("doc_id", review.generated(path, source).alias("generated"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, text AS a, CASE doc_id % 4 WHEN 0 THEN replace(text, ' ', '  ') WHEN 1 THEN text WHEN 2 THEN text || chr(10) ELSE text || ' x' END AS b FROM documents)
+    SELECT doc_id, a <> b AND a <> '' AND b <> '' AND trim(regexp_replace(a, '\s+', ' ', 'g'), ' ') = trim(regexp_replace(b, '\s+', ' ', 'g'), ' ') AS whitespace_only FROM p""")
+def whitespace_only(spark, d):
+    t, n = F.col("text"), F.col("doc_id") % 4
+    other = F.when(n == 0, F.replace(t, F.lit(" "), F.lit("  "))).when(n == 1, t).when(n == 2, F.concat(t, F.lit("\n"))).otherwise(F.concat(t, F.lit(" x")))
+    return table(spark, d, "documents").select("doc_id", text.whitespace_only(t, other).alias("whitespace_only"))
+
+
+SCORES_SQL = f"""{LINES_SQL}, l AS (SELECT DISTINCT doc_id, unnest(string_split(source, chr(10))) AS text FROM files WHERE doc_id % 2 >= 0), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+    rare AS (SELECT text FROM l GROUP BY text HAVING count(*) BETWEEN 2 AND 20),
+    s AS (SELECT a.doc_id AS old, b.doc_id AS new, count(*) AS common FROM l a JOIN l b ON a.text = b.text WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.text IN (SELECT text FROM rare) GROUP BY a.doc_id, b.doc_id),
+    scores AS (SELECT old, new, round(2.0 * common / (x.n + y.n), 6) AS score FROM s JOIN n x ON x.doc_id = old JOIN n y ON y.doc_id = new)"""
+
+
+def shared_line_scores(spark, d):
+    """old, new, score: twice the shared lines over all, of even and odd documents that share a line that at most twenty hold."""
+    lines = tables.files(spark, d).select("doc_id", F.explode(F.array_distinct(F.split("source", "\n", -1))).alias("text"))
+    n = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    rare = lines.groupBy("text").agg(F.count(F.lit(1)).alias("holders")).filter("holders BETWEEN 2 AND 20").select("text")
+    few = lines.join(rare, "text", "left_semi")
+    old, new = few.filter("doc_id % 2 = 0").select("text", F.col("doc_id").alias("old")), few.filter("doc_id % 2 = 1").select("text", F.col("doc_id").alias("new"))
+    common = old.join(new, "text").groupBy("old", "new").agg(F.count(F.lit(1)).alias("common"))
+    sized = common.join(n.select(F.col("doc_id").alias("old"), F.col("n").alias("a")), "old").join(n.select(F.col("doc_id").alias("new"), F.col("n").alias("b")), "new")
+    return sized.select("old", "new", F.round(2.0 * F.col("common") / (F.col("a") + F.col("b")), 6).alias("score"))
+
+
+@query(f"""WITH {SCORES_SQL},
+    f AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY score DESC) AS n, lead(score) OVER (PARTITION BY old ORDER BY score DESC) AS second FROM scores),
+    b AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY score DESC) AS n, lead(score) OVER (PARTITION BY new ORDER BY score DESC) AS second FROM scores)
+    SELECT f.old, f.new, f.score FROM f JOIN b ON f.old = b.old AND f.new = b.new WHERE f.n = 1 AND b.n = 1 AND f.score >= 0.5 AND f.score > coalesce(f.second, 0) AND b.score > coalesce(b.second, 0)""")
+def mutual_best(spark, d):
+    return review.mutual_best(shared_line_scores(spark, d), 0.5)
+
+
+SIGNALS_SQL = f"""{GRAPH_SQL}, ch AS (
+        SELECT id, CASE WHEN start % 3 = 0 THEN 'removed' WHEN start % 3 = 1 THEN 'added' ELSE 'modified' END AS status FROM nodes WHERE is_unit AND start % 7 = 0),
+    calls AS (SELECT dst AS id, 'unchanged-callers' AS signal, src AS other FROM edges JOIN ch ON ch.id = dst WHERE edges.kind = 'calls' AND ch.status <> 'added' AND src NOT IN (SELECT id FROM ch) AND src NOT IN (SELECT id FROM support)),
+    subj AS (SELECT id FROM ch WHERE status <> 'removed' AND id NOT IN (SELECT id FROM support)),
+    tested AS (SELECT src AS id, CASE WHEN dst IN (SELECT id FROM ch) THEN 'tests-changed' ELSE 'tests-unchanged' END AS signal, dst AS other FROM edges WHERE kind = 'tested-by' AND src IN (SELECT id FROM subj)),
+    signals AS (SELECT id, signal, count(*) AS n, array_to_string(list_sort(list_distinct(list(other)))[1:12], ',') AS related FROM (SELECT * FROM calls UNION ALL SELECT * FROM tested) GROUP BY id, signal
+        UNION ALL SELECT id, 'no-known-test', 0, '' FROM subj WHERE id NOT IN (SELECT id FROM tested))"""
+
+
+def _signals(spark, d):
+    nodes, edges = tables.graph_of(spark, d)
+    m = F.col("start") % 3
+    changes = nodes.filter("is_unit AND start % 7 = 0").select("id", F.when(m == 0, "removed").when(m == 1, "added").otherwise("modified").alias("status"))
+    return review.signals(changes, edges, edges, nodes.filter(F.array_contains("roles", "test support")).select("id"))
+
+
+@query(f"WITH {SIGNALS_SQL} SELECT id, signal, n, related FROM signals")
+def signals(spark, d):
+    return _signals(spark, d)
+
+
+@query(f"WITH {SIGNALS_SQL} SELECT signal, count(*) AS units, count(*) || ' changed unit' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS detail FROM signals GROUP BY signal")
+def signal_counts(spark, d):
+    return review.signal_counts(_signals(spark, d))
+
+
+# Text, listings and bookkeeping
+
+
+@query(r"SELECT p_partkey, lower(trim(regexp_replace(replace(p_type, '_', ' '), ' +', ' ', 'g'))) AS words, string_split(string_split(trim(p_name), ' ')[-1], '.')[-1] AS short_name, CASE WHEN length(p_name) > 12 THEN substr(p_name, 1, 11) || '…' ELSE p_name END AS shown FROM part")
+def text_functions(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.split_words(F.lower("p_type")).alias("words"), text.short_name(F.col("p_name")).alias("short_name"), text.display_text(F.col("p_name"), 12).alias("shown"))
+
+
+@query()
+def replace_identifier(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2(text.replace_identifier(F.col("text"), "the", "THAT"), 256).alias("replaced_sha256"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, 'orders/' || o_orderkey AS path FROM orders), t AS (SELECT path, k % 5 = 0 AS staged, k % 3 = 0 AS unstaged, k % 11 = 0 AS untracked, k FROM o WHERE k % 2 = 0)
+    SELECT path, staged, unstaged, untracked FROM t WHERE staged OR unstaged OR untracked""")
+def working_changes(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"))
+    part = lambda n: o.filter(f"o_orderkey % {n} = 0").select("path")
+    return presentation.working_changes(part(5), part(3), part(11), part(2))
+
+
+@query("""WITH r AS (SELECT 'b' || event_id AS ref, user_id AS tip, ts, event_id = 17 AS current FROM events), m AS (SELECT DISTINCT user_id AS tip FROM events WHERE user_id % 4 = 0),
+    one AS (SELECT tip, min(ref) AS ref, max(ts) AS ts, bool_or(current) AS current FROM r GROUP BY tip)
+    SELECT row_number() OVER (ORDER BY current DESC, ts DESC, ref) AS rank, ref, tip FROM one WHERE ref <> 'b0' AND tip NOT IN (SELECT tip FROM m) QUALIFY rank <= 20""")
+def branch_tips(spark, d):
+    refs = table(spark, d, "events").select(F.concat(F.lit("b"), F.col("event_id").cast("string")).alias("ref"), F.col("user_id").alias("tip"), "ts", (F.col("event_id") == 17).alias("current"))
+    return presentation.branch_tips(refs, "b0", refs.filter("tip % 4 = 0").select("tip").distinct())
+
+
+@query("SELECT row_number() OVER (ORDER BY ts DESC, event_id) AS rank, event_id AS \"commit\", 1 + event_id % 4 AS files, event_id % 2 = 1 AS is_merge FROM events QUALIFY rank <= 30")
+def recent_commits(spark, d):
+    some = lambda n: F.transform(F.sequence(F.lit(0), n.cast("int")), lambda i: i.cast("string"))
+    log = table(spark, d, "events").select(F.col("event_id").alias("commit"), "ts", some(F.col("event_id") % 4).alias("paths"), some(F.col("event_id") % 2).alias("parents"))
+    return presentation.recent_commits(log)
+
+
+@query(r"""WITH f AS (SELECT regexp_extract(url, '//[^/]+/(\w+)', 1) AS dir, url LIKE '%.html%' AS is_test, url LIKE '%#top' AS is_entry FROM pages),
+    n AS (SELECT dir, count(*) AS files, count(*) FILTER (WHERE is_test) AS tests, count(*) FILTER (WHERE is_entry) AS entries FROM f GROUP BY dir)
+    SELECT *, files || ' file' || CASE WHEN files = 1 THEN '' ELSE 's' END || CASE WHEN tests > 0 AND tests = files THEN ' · tests' WHEN tests > 0 THEN ' · ' || tests || ' test file' || CASE WHEN tests = 1 THEN '' ELSE 's' END ELSE '' END || CASE WHEN entries > 0 THEN ' · entry point' ELSE '' END AS detail FROM n""")
+def folders(spark, d):
+    return presentation.folders(table(spark, d, "pages").select(F.regexp_extract("url", r"//[^/]+/(\w+)", 1).alias("dir"), F.col("url").contains(".html").alias("is_test"), F.col("url").endswith("#top").alias("is_entry")))
+
+
+@query("""WITH e AS (SELECT user_id, event_type AS chapter, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS fresh, ts, event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    c AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS chapter_no FROM e)
+    SELECT user_id, chapter_no, any_value(chapter) AS chapter, count(*) AS stops FROM c GROUP BY user_id, chapter_no""")
+def chapters(spark, d):
+    return presentation.chapters(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type"))
+
+
+@query("SELECT role AS section, 't' || conv_id || ':' || turn AS label, text AS hint FROM conversations WHERE contains(lower(text), 'the') OR contains('t' || conv_id || ':' || turn, 'the') UNION ALL SELECT 'typed', 'The', 'Use this revision'")
+def choices(spark, d):
+    options = table(spark, d, "conversations").select(F.col("role").alias("section"), F.concat(F.lit("t"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("label"), F.col("text").alias("hint"))
+    return presentation.choices(options, " The ")
+
+
+@query("""WITH i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS n, count(*) OVER (PARTITION BY conv_id) AS total, conv_id % 3 AS current, text FROM conversations),
+    u AS (SELECT conv_id, arg_min(n, (n - current - 1 + 10 * total) % total) AS next FROM i WHERE (length(text) + n) % 3 <> 0 GROUP BY conv_id)
+    SELECT DISTINCT i.conv_id, coalesce(u.next, -1) AS next FROM i LEFT JOIN u USING (conv_id)""")
+def next_unread(spark, d):
+    items = _stops(spark, d).withColumn("current", F.col("conv_id") % 3)
+    return presentation.next_unread(items, items.filter((F.length("text") + F.col("n")) % 3 == 0).select("conv_id", "n"), ["conv_id"])
+
+
+def _stops(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return table(spark, d, "conversations").withColumn("n", (F.row_number().over(w) - 1).cast("long")).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
+
+
+@query("""WITH i AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS n, role, text FROM conversations), m AS (SELECT *, (length(text) + n) % 3 = 0 AS done FROM i)
+    SELECT conv_id, count(*) FILTER (WHERE done) AS read, count(*) AS total, string_agg(CASE WHEN done THEN '- [x] ' ELSE '- [ ] ' END || role || ' ' || n, chr(10) ORDER BY n) AS text FROM m GROUP BY conv_id""")
+def review_summary(spark, d):
+    items = _stops(spark, d).withColumn("label", F.concat("role", F.lit(" "), F.col("n").cast("string")))
+    return presentation.review_summary(items.select("conv_id", "n", "label"), items.filter((F.length("text") + F.col("n")) % 3 == 0).select("conv_id", "n"), ["conv_id"])
+
+
+@query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 3.0) AS BIGINT) AS tokens, sha256(lang || chr(0) || text || chr(0)) AS digest FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), text.content_digest(F.col("lang"), F.col("text")).alias("digest"))
+
+
+@query("""SELECT doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN 'new ' || doc_id WHEN doc_id % 5 = 0 THEN 'old ' || doc_id END AS text FROM documents""")
+def cache_lookup(spark, d):
+    keys = table(spark, d, "documents").select(F.col("doc_id").alias("key"))
+    cache = lambda n, word: keys.filter(f"key % {n} = 0").withColumn("text", F.concat(F.lit(f"{word} "), F.col("key").cast("string")))
+    return presentation.cache_lookup(keys, cache(3, "new"), cache(5, "old"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, CAST(ceil(octet_length(encode(text)) / 3.0) AS BIGINT) AS cost, turn % 4 = 3 AS cached FROM conversations),
+    f AS (SELECT conv_id, n, cost, cached OR cost <= 120 AS admitted, CASE WHEN cached OR cost > 120 THEN 0 ELSE cost END AS used FROM r WHERE n = 1
+        UNION ALL SELECT r.conv_id, r.n, r.cost, r.cached OR f.used + r.cost <= 120, f.used + CASE WHEN NOT r.cached AND f.used + r.cost <= 120 THEN r.cost ELSE 0 END FROM f JOIN r ON r.conv_id = f.conv_id AND r.n = f.n + 1)
+    SELECT conv_id, n, cost, admitted, used FROM f""")
+def budget_admission(spark, d):
+    requests = _stops(spark, d).select("conv_id", (F.col("n") + 1).alias("n"), text.token_estimate(F.col("text")).alias("cost"), (F.col("turn") % 4 == 3).alias("cached"))
+    return presentation.budget_admission(requests, ["conv_id"], 120)
+
+
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER w AS spot, lag(event_type) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), f AS (SELECT * FROM e WHERE event_type IS DISTINCT FROM previous)
+    SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY spot DESC) AS back, event_type FROM f QUALIFY back <= 20""")
+def visit_history(spark, d):
+    return presentation.latest_history(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], "event_type", 20)
+
+
+@query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents QUALIFY rank <= 4")
+def top_per_folder(spark, d):
+    return top_k(table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("size")), ["source"], [F.col("size").desc(), F.col("doc_id")], 4, "rank").drop("size")
