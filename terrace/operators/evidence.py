@@ -89,7 +89,7 @@ def leading_comments(lines: DataFrame, units: DataFrame) -> DataFrame:
     spans = above.select("unit", "path", (F.coalesce("last_code", F.lit(0)) + 1).alias("from"), (F.col("start") - 1).alias("to")).filter(F.col("from") <= F.col("to"))
     body = marked.select(F.col("path").alias("b_path"), F.col("line").alias("b_line"), trimmed.alias("b_text"))
     joined = spans.join(body, (F.col("path") == F.col("b_path")) & F.col("b_line").between(F.col("from"), F.col("to")))
-    words = joined.filter(~F.col("b_text").rlike(r"^(//(go:|nolint|lint:|line )|# ?(noqa|type:|pylint:|shellcheck ))"))
+    words = joined.filter(~F.col("b_text").rlike(r"^(//(go:|line )|// ?(nolint|lint:)|# ?(noqa|type:|pylint:|shellcheck ))"))
     return words.groupBy("unit").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b_line", "b_text"))), lambda x: F.trim(F.regexp_replace(x["b_text"], r"^(//+|#+)", ""))), " ").alias("text"))
 
 

@@ -9,18 +9,26 @@ from ..errors import EngineError, Kind
 from ..functions.text import content_digest, path_prefixes
 
 #: Limits of a scan, and names that are never indexed.
-MAX_FILE_BYTES, MAX_TOTAL_BYTES, MAX_FILES = 262_144, 33_554_432, 4_096
-EXCLUDED_DIRS = (".git", ".hg", ".svn", "node_modules", "vendor", "dist", "build", ".terraform", ".idea", ".vscode", "__pycache__", ".venv", "venv")
-EXCLUDED_SUFFIXES = (".tfvars", ".tfvars.json", ".tfstate", ".pem", ".key", ".p12", ".pfx")
+MAX_FILE_BYTES, MAX_TOTAL_BYTES, MAX_FILES, MAX_ENTRIES, MAX_DEPTH = 262_144, 33_554_432, 4_096, 50_000, 64
+EXCLUDED_DIRS = (".git", ".terraform", "node_modules", "vendor", ".venv", "dist", "build", ".dockerbuild", ".ssh", ".aws", ".terrace")
+EXCLUDED_SUFFIXES = (".tfvars", ".tfvars.json", ".tfstate", ".tfplan", ".lock.hcl", ".min.js", ".pem", ".key", ".p12", ".pfx")
 
 
 def excluded(path: Column) -> Column:
-    """Whether any part of a path is never indexed."""
-    parts, name = F.split(path, "/"), F.lower(F.element_at(F.split(path, "/"), -1))
-    hit = F.arrays_overlap(F.transform(parts, F.lower), F.array(*map(F.lit, EXCLUDED_DIRS)))
+    """Whether a path is never indexed, for a directory above it or for its own name."""
+    parts = F.split(path, "/")
+    dirs, name = F.slice(parts, F.lit(1), F.size(parts) - 1), F.element_at(parts, -1)
+    hit = F.arrays_overlap(dirs, F.array(*map(F.lit, EXCLUDED_DIRS)))
     for suffix in EXCLUDED_SUFFIXES:
         hit = hit | name.endswith(suffix)
-    return hit | name.contains(".tfstate.") | (name == "config.json") | name.startswith(".env")
+    return hit | name.contains(".tfstate.") | (name == "config.json") | (name == ".env") | name.startswith(".env.")
+
+
+def excluded_name(name: str, is_dir: bool) -> bool:
+    """The same for one name, for walks that prune before they descend."""
+    if is_dir:
+        return name in EXCLUDED_DIRS
+    return name.endswith(EXCLUDED_SUFFIXES) or ".tfstate." in name or name in ("config.json", ".env") or name.startswith(".env.")
 
 
 def scan_bounded(files: DataFrame, most_bytes: int = MAX_FILE_BYTES) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ignore, text
+from ..functions import diff, ignore, text
 from ..operators import evidence, graph, navigation, presentation, review, scan
 from ..operators.relational import greedy_prefix, top_k
 from . import tables
@@ -424,6 +424,39 @@ def mutual_best(spark, d):
     return review.mutual_best(shared_line_scores(spark, d), 0.5)
 
 
+def _near_pairs(spark, d):
+    """Pairs of documents that share rare lines: old, new, before, after."""
+    docs = tables.files(spark, d)
+    pairs = review.mutual_best(shared_line_scores(spark, d), 0.3).select("old", "new")
+    return pairs.join(docs.select(F.col("doc_id").alias("old"), F.col("source").alias("before")), "old").join(docs.select(F.col("doc_id").alias("new"), F.col("source").alias("after")), "new")
+
+
+@query()
+def diff_ops(spark, d):
+    return diff.diff_table(_near_pairs(spark, d).withColumnRenamed("old", "id"), "id").select("id", "ops", "added", "removed")
+
+
+@query()
+def hunks(spark, d):
+    each = diff.diff_table(_near_pairs(spark, d).withColumnRenamed("old", "id"), "id").select("id", F.posexplode("hunks").alias("hunk_no", "lines"))
+    return each.select("id", "hunk_no", F.size("lines").alias("n_lines"), F.to_json("lines").alias("lines"))
+
+
+@query()
+def rename_score(spark, d):
+    return diff.score_table(_near_pairs(spark, d).withColumn("old_name", F.lit("func the")).withColumn("new_name", F.lit("func THE")))
+
+
+@query()
+def parse_units(spark, d):
+    """Documents as source files of every language, by the remainder of their id."""
+    from ..functions import parsers
+
+    names = F.array(*map(F.lit, ("a.py", "b.sh", "c.go", "d.tf", "e.yml", "f.md", "g.js")))
+    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int"))).alias("path"), F.concat(F.lit("def f():\n    pass\n\nclass C:\n    x = 1\n"), "text").alias("source"))
+    return parsers.parse_units(files).drop("links")
+
+
 SIGNALS_SQL = f"""{GRAPH_SQL}, ch AS (
         SELECT id, CASE WHEN start % 3 = 0 THEN 'removed' WHEN start % 3 = 1 THEN 'added' ELSE 'modified' END AS status FROM nodes WHERE is_unit AND start % 7 = 0),
     calls AS (SELECT dst AS id, 'unchanged-callers' AS signal, src AS other FROM edges JOIN ch ON ch.id = dst WHERE edges.kind = 'calls' AND ch.status <> 'added' AND src NOT IN (SELECT id FROM ch) AND src NOT IN (SELECT id FROM support)),
