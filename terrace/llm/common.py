@@ -69,7 +69,7 @@ def slices(batch, rows: int = 512):
 BROADCAST_ROWS = 500_000
 
 
-def few(df: DataFrame, tag: str) -> DataFrame:
-    """``df``, written; marked for broadcast if it has at most BROADCAST_ROWS rows. Otherwise a join shuffles as usual."""
+def few(df: DataFrame, tag: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, written; marked for broadcast if it has at most ``most`` rows. Otherwise a join shuffles as usual."""
     out = stage(df, tag)
-    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+    return F.broadcast(out) if out.count() <= most else out

@@ -12,8 +12,10 @@
    different, and the same entity has the same surrogate wherever it stands.
 3. Replacement. Each mention is rewritten with its own separators and case.
 
-Only distinct entities and the documents that a cheap test can't clear are
-shuffled. The table of entities is never collected or broadcast.
+A cheap test clears most documents before any Python runs. Only entities are
+shuffled; texts stay where they are while the texts with entities are few, and
+are joined with their entities by a shuffle beyond that. The table of entities is
+never collected or broadcast.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stage, unstage
+from .common import few, slices, stage, unstage
+
+#: Texts with entities, at most, whose surrogates a join may send to every executor.
+MOST_MAPS = 100_000
 
 #: Given names by script and gender, and titles by the gender they tell.
 GIVEN = {
@@ -43,7 +48,8 @@ ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрс
 
 GENDER = {name.lower(): key for key, names in GIVEN.items() for name in names}
 JUNK = r"[^\w\n]"
-CAPITAL = r"(?:[^\W\d_a-zß-öø-ÿа-я][^\W\d_]*(?:['’-][^\W\d_]+)*)"
+UPPER = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я"
+CAPITAL = rf"(?:[{UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)*)"
 PATTERNS = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w][\w.+-]*@[\w-]+(?:\.[\w-]+)+")),
     ("iban", "0", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -56,8 +62,15 @@ PATTERNS = [
 ]
 TITLED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for x in TITLES.values() for t in x)})\.? (?:(?P<given>{CAPITAL}) )?(?P<surname>{CAPITAL})")
 PAIR = re.compile(rf"(?<!\w)(?P<given>{CAPITAL}) (?P<surname>{CAPITAL})")
-#: Java pattern without which a text holds none of the above.
-MAYBE = r"@|[0-9]{3}|[0-9]\.[0-9]|(?i:token|secret|passw|api.?key)|\b(?:" + "|".join(n for x in (*GIVEN.values(), *TITLES.values()) for n in x) + r")\b|(?iu)\b(?:" + "|".join(n for x in GIVEN.values() for n in x) + r")\b"
+#: Java patterns; a text that matches neither and has none of ``@=:`` holds none of the above.
+MAYBE_NUMBER = r"[0-9]{3}|[0-9]\.[0-9]"
+MAYBE_NAME = rf"[{UPPER}][^\s.,;:!?]*+ [{UPPER}]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Frau|Herr|S(?:r|ra|eñora?)|Dr|Prof)\. [{UPPER}]"
+
+
+def may_hold(text: Column) -> Column:
+    """A cheap test that every text with an entity passes."""
+    hit = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike(MAYBE_NUMBER) | text.rlike(MAYBE_NAME)
+    return F.coalesce(hit, F.lit(False))
 
 
 def script_of(word: str) -> str:
@@ -265,14 +278,13 @@ def replace_pii(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     """
     df = df.drop("n_entities")
     cols = df.columns
-    may = F.coalesce(F.col(text_col).rlike(MAYBE), F.lit(False))
-    clean = df.filter(~may).withColumn("n_entities", F.lit(0).cast("long"))
-    suspects = df.filter(may)
-    seen = stage(mentions(suspects, text_col), "mentions")
+    seen = stage(mentions(df.filter(may_hold(F.col(text_col))), text_col), "mentions")
     entities = stage(seen.select("kind", "entity").distinct(), "entities")
     chosen = assign(entities, key)
     per_text = seen.join(chosen, ["kind", "entity"]).groupBy(F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__map"))
-    with_map = suspects.withColumn("__text_key", F.xxhash64(text_col)).join(per_text, F.col("__text_key") == F.col("__key"), "left").drop("__text_key", "__key")
+    joined = df.join(few(per_text, "maps", MOST_MAPS), F.xxhash64(text_col) == F.col("__key"), "left").select(*cols, "__map")
+    clean = joined.filter("__map IS NULL").drop("__map").withColumn("n_entities", F.lit(0).cast("long"))
+    with_map = joined.filter("__map IS NOT NULL")
     schema = with_map.drop("__map").withColumn("n_entities", F.lit(0).cast("long")).schema
     at = cols.index(text_col)
 

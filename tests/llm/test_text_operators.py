@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrace.llm import bpe, langid, lz, packing, pii, urls
 from terrace.llm.queries import URL_RULES, vocabulary
@@ -236,3 +237,12 @@ def test_surrogates_never_collide(spark, monkeypatch):
     got = pii.assign(entities, b"k").collect()
     cores = [r.core for r in got]
     assert len(got) == 30 and len(set(cores)) == 30 and not set(cores) & {r.entity for r in got}
+
+
+def test_cheap_test_clears_no_text_with_entities(spark):
+    rng, rows = random.Random(8), []
+    parts = ["Anna", "ANNA", "Keller", "O'Neil", "Mr.", "Frau", "Dr. ", "Мария", "Ольга", "Петрова", "漢", "²x", "a", "b c", ".", " ", "  ", "1.2.3.4", "12", "345", "x@y.zz", "token", "=", ": ", "abcdefghijkl0", "\n"]
+    for n in range(3000):
+        rows.append((n, rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 6)))))
+    hits = {r.i for r in spark.createDataFrame(rows, "i int, t string").filter(pii.may_hold(F.col("t"))).collect()}
+    assert not [t for n, t in rows if pii.detect(t) and n not in hits]
