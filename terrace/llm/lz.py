@@ -1,6 +1,6 @@
 """Document fingerprints from Lempel-Ziv phrases.
 
-A text is split into symbols, words and single other characters, and parsed as
+A text is split into symbols, words and other characters, and parsed as
 LZ78 does: a phrase is the longest one met before and the symbol after it. The
 set of phrases is what a compressor would learn from the text. Phrases are hashed
 and the set is kept as a minimum-hash signature; the share of equal places of two
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import slices, shuffle_width
 
 PLACES, STORE = 128, 400_000
-SYMBOL = re.compile(r"\w{1,32}|\W")
+#: A word with the blank after it, or any other character.
+SYMBOL = re.compile(r"\w{1,32} ?|\W")
+BREAK = re.compile(r"\W(?=\w*\Z)")
 MASK = (1 << 61) - 1
 _RNG = np.random.Generator(np.random.PCG64(11))
 FACTOR = _RNG.integers(1, 2**63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,17 +90,16 @@ def compare(text: str, other: str) -> tuple[str, np.ndarray, np.ndarray]:
     ``other``. Symbols that both texts start with are parsed once.
     """
     half = len(text) // 2
-    edited = text[: len(text) - half] + other[:half]
-    mine, theirs = SYMBOL.findall(text), SYMBOL.findall(edited)
-    same, most, size, stop = 0, min(len(mine), len(theirs)), 0, len(text) - half
-    while same < most and size + len(mine[same]) <= stop and mine[same] == theirs[same]:
-        size += len(mine[same])
-        same += 1
+    kept = text[: len(text) - half]
+    edited = kept + other[:half]
+    # What stands before the last break of the kept part is split into the same symbols in both.
+    found = BREAK.search(kept, max(0, len(kept) - 256))
+    cut = found.end() if found else 0
     phrases: set[int] = set()
-    node = parse(mine[:same], phrases)
-    rest = set(phrases)
-    parse(mine[same:], phrases, node)
-    parse(theirs[same:], rest, node)
+    node = parse(SYMBOL.findall(text[:cut]), phrases)
+    rest = phrases.copy()
+    parse(SYMBOL.findall(text[cut:]), phrases, node)
+    parse(SYMBOL.findall(edited[cut:]), rest, node)
     return edited, signature(phrases), signature(rest)
 
 
