@@ -11,9 +11,10 @@ candidate pair's similarity; the pairs left are verified on their full sets.
 Work is bounded as follows. Documents with the same words are one class from the
 start, and only one of them goes on. Within a band's bucket every member is
 compared with the bucket's first, not with all others. Pairs are handled in groups
-of one hub document and its partners, dealt in salted parts. Members of a bucket
-that are in different components after that are compared with one another too, in
-blocks, on their sketches; those that are in one component by then need no link.
+of one hub document and its partners, dealt in salted parts. A large bucket whose
+members are in different components after that tries its most central member as
+the hub. What is in different components even then is compared in blocks, in
+memory, and only links that join components come out of a block.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from .common import few, slices, stage, unstage
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65534
-SALT, BLOCK = 256, 512
+SALT, BLOCK, WIDE, PIVOT_ROUNDS = 256, 512, 32, 3
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -197,16 +198,22 @@ def likely(least: float) -> Callable[[tuple, list[tuple]], list[bool]]:
     return keep
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of two sorted sets."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort()
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(a) + len(b) - n)
+
+
 def verified(percent: int) -> Callable[[tuple, list[tuple]], list[bool]]:
-    """100 * intersection >= percent * union, on the full sets."""
+    """Whether pairs are linked, on the full sets."""
 
     def keep(hub, rows):
-        a, out = np.frombuffer(hub[2], np.uint64), []
-        for _, _, data in rows:
-            b = np.frombuffer(data, np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out.append(100 * both >= percent * (len(a) + len(b) - both))
-        return out
+        a = np.frombuffer(hub[2], np.uint64)
+        return [linked(a, np.frombuffer(data, np.uint64), percent) for _, _, data in rows]
 
     return keep
 
@@ -251,55 +258,106 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
 
 
-def rest_of_buckets(members: DataFrame, labels: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (hub, rep) within buckets whose members are in several components.
+def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, rep, component, size: buckets whose members, without the first, are in several components."""
+    labelled = members.filter("rep <> first").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
+    spread = labelled.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("b", "size")
+    return labelled.join(spread, F.col("bucket") == F.col("b")).drop("b")
+
+
+def pivots(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """hub, rep: in each bucket of more than WIDE members the most central one, with those of other components.
 
-    The pairs of a bucket's first member have been tried before. Buckets are
-    compared in blocks of BLOCK members, one block with another, on sketches, and
-    only pairs in different components are looked at.
+    Each block of a bucket names the member with the most registers in common
+    with the rest of the block, and the best of these is the bucket's: as many
+    pairs as members.
     """
-    labelled = members.join(labels, members["rep"] == labels["node"], "left").select("bucket", "rep", "first", F.coalesce("component", "rep").alias("component"))
-    open_ = labelled.filter("rep <> first").groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("b", "size")
-    rows = labelled.filter("rep <> first").join(open_, labelled["bucket"] == open_["b"])
-    blocks = F.ceil(F.col("size") / BLOCK)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks))
-    data = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), F.col("registers").alias("data"))
-    rows = rows.join(data, rows["rep"] == data["r"])
-    # Block pair (i, j) with i <= j gets the members of both.
-    placed = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "data")
-    dealt = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    wide = rows.filter(F.col("size") > WIDE)
+    data = classes.select(F.col("rep").alias("r"), F.col("registers").alias("data"))
+    placed = wide.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).join(data, F.col("rep") == F.col("r")).select("bucket", "block", "rep", "data")
+    dealt = placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def pairs():
-            own = np.array([r[0] for r in held])
-            comp = np.array([r[2] for r in held])
-            n = np.array([r[3] for r in held], np.float64)
-            regs = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(len(held), -1)
-            out = []
-            for x in range(len(held)):
-                later = np.arange(x + 1, len(held))
-                later = later[(comp[later] != comp[x]) & ((key[1] == key[2]) | (own[later] != own[x]))]
-                if len(later):
-                    good = later[estimate(regs[x], n[x], regs[later], n[later]) >= least]
-                    out.extend((held[x][1], held[y][1]) for y in good)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["hub", "rep"])
-
-        for batch in batches:
-            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != (bucket, i, j):
+        for (bucket, _), held in grouped(batches, 2):
+            regs = np.frombuffer(b"".join(r[1] for r in held), np.uint16).reshape(len(held), -1)
+            score = [float((regs == r).mean()) for r in regs]
+            best = int(np.argmax(score))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([held[best][0]], pa.int64()), pa.array([score[best]], pa.float64())], names=["bucket", "rep", "score"])
+
+    best = dealt.mapInArrow(run, "bucket long, rep long, score double").groupBy(F.col("bucket").alias("p_bucket")).agg(F.max(F.struct("score", "rep"))["rep"].alias("hub"))
+    own = wide.select(F.col("bucket").alias("o_bucket"), F.col("rep").alias("o_rep"), F.col("component").alias("own"))
+    best = best.join(own, (F.col("p_bucket") == F.col("o_bucket")) & (F.col("hub") == F.col("o_rep"))).select("p_bucket", "hub", "own")
+    return wide.join(best, (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("own"))).select("hub", "rep").distinct()
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
+    """(key, rows) of consecutive rows with the same first ``keys`` columns; the rows without them."""
+    key, held = None, []
+    for batch in batches:
+        for part in slices(batch):
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                if row[:keys] != key:
                     if held:
-                        yield pairs()
-                    key, held = (bucket, i, j), []
-                held.append(row)
-        if held:
-            yield pairs()
+                        yield key, held
+                    key, held = row[:keys], []
+                held.append(row[keys:])
+    if held:
+        yield key, held
+
+
+def links_within(rows: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """hub, rep: verified links between different components of a bucket, enough to join all that any link joins.
+
+    Buckets are compared in blocks of BLOCK members, one block with another.
+    Within two blocks, central members go first, and a pair that links have joined
+    by then is not compared; so at most as many links come out as there are members.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK)
+    known = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), "registers")
+    full = sets.select(F.col("rep").alias("s"), "data")
+    placed = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component").join(known, F.col("rep") == F.col("r")).join(full, F.col("rep") == F.col("s"))
+    dealt = placed.select("bucket", "i", "j", "own", "rep", "component", "n", "registers", "data").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, held in grouped(batches, 3):
+            out = block_links(held, key[1] == key[2], least, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in out], pa.int64()) for n in (0, 1)], names=["hub", "rep"])
 
     return dealt.mapInArrow(run, "hub long, rep long").distinct()
 
 
+def block_links(held: list, one_block: bool, least: float, percent: int) -> list[tuple[int, int]]:
+    """Links among rows (own block, rep, component, n, registers, set) of one block, or between two."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    regs = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(len(held), -1)
+    n, own = np.array([r[3] for r in held], np.float64), np.array([r[0] for r in held])
+    same = np.stack([(regs == r).mean(axis=1) for r in regs])
+    sets: dict[int, np.ndarray] = {}
+    full = lambda x: sets[x] if x in sets else sets.setdefault(x, np.frombuffer(held[x][5], np.uint64))
+    out, done = [], np.zeros(len(held), bool)
+    for x in np.argsort(-same.sum(axis=1), kind="stable"):
+        done[x] = True
+        # Agreeing registers alone are a looser test than the likelihood, and a cheaper one.
+        near = np.flatnonzero(~done & (same[x] >= least - 0.05) & (np.full(len(held), one_block) | (own != own[x])))
+        near = near[[find(held[y][2]) != find(held[x][2]) for y in near]] if len(near) else near
+        if len(near):
+            near = near[estimate(regs[x], n[x], regs[near], n[near]) >= least]
+        for y in near[np.argsort(-same[x][near], kind="stable")] if len(near) else ():
+            a, b = find(held[x][2]), find(held[y][2])
+            if a != b and linked(full(x), full(y), percent):
+                parent[a] = b
+                out.append((held[x][1], held[y][1]))
+    return out
+
+
 def near_groups(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept.
 
@@ -329,10 +387,21 @@ def near_groups(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "
     either = lambda p: p.select(F.col("hub").alias("rep")).unionByName(p.select("rep"))
     links = stage(against_hubs(candidates, full_sets(df, either(candidates), size, id_col, text_col), verified(percent)), "links")
     labels = stage(components(links), "labels")
-    rest = stage(rest_of_buckets(members, labels, classes, least), "rest")
+    for _ in range(PIVOT_ROUNDS):  # large buckets first get a better hub than their first member
+        tried = stage(pivots(open_buckets(members, labels), classes), "pivots")
+        if tried.isEmpty():
+            break
+        near = stage(against_hubs(tried, sketches, likely(least)), "candidates")
+        found = stage(against_hubs(near, full_sets(df, either(near), size, id_col, text_col), verified(percent)), "links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = stage(components(links), "labels")
+    rest = stage(open_buckets(members, labels), "rest")
     if not rest.isEmpty():
-        more = against_hubs(rest, full_sets(df, either(rest), size, id_col, text_col), verified(percent))
-        labels = stage(components(links.unionByName(more)), "labels")
+        more = stage(links_within(rest, classes, full_sets(df, rest, size, id_col, text_col), least, percent), "links")
+        if not more.isEmpty():
+            labels = stage(components(links.unionByName(more)), "labels")
     labelled = classes.select("words_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("words_key").alias("k"), F.coalesce("component", "rep").alias("component"))
     out = docs.join(labelled, docs["words_key"] == labelled["k"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

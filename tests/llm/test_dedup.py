@@ -112,18 +112,38 @@ def test_near_chain_in_one_bucket(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == sorted(brute_near(rows, 2, 80))
 
 
-def test_rest_of_buckets_in_blocks(spark, monkeypatch):
+def test_links_within_blocks(spark, monkeypatch):
+    """Every block pair is looked at, and what comes out joins all that any link joins."""
     monkeypatch.setattr(setsketch, "BLOCK", 3)
     rng = np.random.default_rng(0)
-    members, classes = [], []
     base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
-    for n in range(10):
-        s = np.unique(np.concatenate([base[: 380 if n else 10], rng.integers(0, 2**63, 8).astype(np.uint64)]))
+    classes, full = [], []
+    for n in range(12):
+        s = np.unique(np.concatenate([base[:380] if n % 3 else base[:10], rng.integers(0, 2**63, 8 if n % 3 else 300).astype(np.uint64)]))
         classes.append((n, len(s), bytearray(setsketch.sketch(s).tobytes())))
-        members.append((1, n, 0))
-    rest = setsketch.rest_of_buckets(spark.createDataFrame(members, "bucket long, rep long, first long"), spark.createDataFrame([(4, 1), (1, 1)], "node long, component long"), spark.createDataFrame(classes, "rep long, n_shingles long, registers binary"), 0.6)
-    got = {tuple(sorted(r)) for r in rest.collect()}
-    assert got == {(a, b) for a in range(1, 10) for b in range(a + 1, 10) if (a, b) != (1, 4)}
+        full.append((n, len(s), bytearray(s.tobytes())))
+    rows = spark.createDataFrame([(1, n, n, 12) for n in range(12)], "bucket long, rep long, component long, size long")
+    args = spark.createDataFrame(classes, "rep long, n_shingles long, registers binary"), spark.createDataFrame(full, "rep long, n long, data binary")
+    got = setsketch.components(setsketch.links_within(rows, *args, 0.6, 80)).collect()
+    assert {(r.node, r.component) for r in got} == {(n, 1) for n in range(12) if n % 3}
+
+
+def test_one_hub_of_many_copies(spark, monkeypatch):
+    """Copies that are alike only to one document, which is not the first, end in one group, by as many rows as copies."""
+    rng = random.Random(3)
+    base = [f"w{n}" for n in range(300)]
+    rows = [(50, " ".join(base))]
+    for n in range(100):
+        w = base.copy()
+        for at in rng.sample(range(300), 14):
+            w[at] = f"x{n}.{at}"
+        rows.append((n + (n >= 50), " ".join(w)))
+    seen = []
+    real = setsketch.pivots
+    monkeypatch.setattr(setsketch, "pivots", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = setsketch.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_near(rows, 2, 80))
+    assert len({r.component_id for r in got}) == 1 and seen[0].count() <= 32 * 101
 
 
 def test_sketch_merges_and_estimates():
