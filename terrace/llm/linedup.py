@@ -16,6 +16,8 @@
    interval: the places where one run starts. All but its first place, in the
    order of documents, are later copies, and their lines are deleted. The lines
    deleted for neighbouring places merge into whole maximal runs.
+5. Long lines. A line of at least LONG_LINE words is a passage of its own: its
+   group in the first ranks is an interval as well.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, stage, unstage
 
 MIN_LINES = 2
+#: Words from which a single line that stands earlier too is deleted.
+LONG_LINE = 50
 
 
 def running(df: DataFrame, keys: list[str], amount: str, group: str) -> DataFrame:
@@ -171,8 +175,18 @@ def common_prefixes(final: DataFrame, parted: DataFrame, levels: list[DataFrame]
     return stage(settled.unionByName(rest.select("place", "lcp")), "lcp")
 
 
-def later_copies(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
-    """row, at, copies: starts of ``least`` lines that stand earlier too, and how often they occur."""
+def but_first(members: DataFrame, docs: DataFrame, lines: int) -> DataFrame:
+    """row, at, lines, copies: all members (interval, row, at) but the first of each interval, by document and place."""
+    order = docs.select(F.col("row").alias("d_row"), "doc_id")
+    members = stage(members.join(order, F.col("row") == F.col("d_row")).select("interval", "row", "at", "doc_id"), "members")
+    spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "at")
+    first = members.groupBy(F.col("interval").alias("i")).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("copies"))
+    joined = members.join(first, F.col("interval") == F.col("i"))
+    return joined.filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))).select("row", "at", F.lit(lines).alias("lines"), "copies")
+
+
+def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = LONG_LINE) -> DataFrame:
+    """row, at, lines, copies: starts of ``least`` lines, or of one line of ``words`` words, that stand earlier too, and how often they occur."""
     final, parted, levels = suffix_array(docs)
     lcp = common_prefixes(final, parted, levels)
     # A run of places with a long common prefix, and the place before it, is an interval.
@@ -180,30 +194,30 @@ def later_copies(docs: DataFrame, least: int = MIN_LINES) -> DataFrame:
     places = linked.select("place", F.lit(1).alias("joined")).unionByName(linked.select((F.col("place") - 1).alias("place"), F.lit(0).alias("joined"))).groupBy("place").agg(F.max("joined").alias("joined"))
     flagged = places.select("place", (1 - F.col("joined")).cast("long").alias("opens"))
     summed = running(flagged, ["place"], "opens", "place").select("place", (F.col("before") + F.col("opens")).alias("interval"))
-    order = docs.select(F.col("row").alias("d_row"), "doc_id")
-    members = summed.join(final, F.col("place") == F.col("rank")).join(order, F.col("row") == F.col("d_row")).select("interval", "row", "at", "doc_id")
-    members = stage(members, "members")
-    spot = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "at")
-    first = members.groupBy(F.col("interval").alias("i")).agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("copies"))
-    joined = members.join(first, F.col("interval") == F.col("i"))
-    return joined.filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))).select("row", "at", "copies")
+    out = but_first(summed.join(final, F.col("place") == F.col("rank")).select("interval", "row", "at"), docs, least)
+    if words is None:
+        return out
+    long = F.transform(F.split("text", "\n", -1), lambda s: F.regexp_count(s, F.lit(r"\S+")) >= words)
+    each = docs.select(F.col("row").alias("l_row"), F.posexplode(long).alias("l_at", "long")).filter("long")
+    alone = levels[0].join(each, (F.col("row") == F.col("l_row")) & (F.col("at") == F.col("l_at"))).select(F.col("rank").alias("interval"), "row", "at")
+    return out.unionByName(but_first(alone, docs, 1))
 
 
-def drop_repeated_runs(df: DataFrame, least: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_runs(df: DataFrame, least: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", words: int | None = LONG_LINE) -> DataFrame:
     """One row a document: doc_id, n_lines, n_deleted, runs, text.
 
     Lines are what newlines separate; a null text counts as an empty one, which
     is one empty line. A line is deleted when it belongs to ``least`` or more
-    successive lines that stand earlier as well, by document id (nulls last) and
-    place; earlier places in the same document count, and the two may overlap.
+    successive lines that stand earlier as well, or alone has ``words`` or more
+    words (None: no line alone) and does, by document id (nulls last) and place; earlier places in the same document count, and the two may overlap.
     ``runs`` lists the deleted maximal runs (first line, from 0, number of lines,
     and how often their most frequent part occurs). Rows with the same id are in
     the order in which they were read. An empty table gives no rows; other columns
     are not read.
     """
     docs = numbered(df, id_col, text_col)
-    starts = later_copies(docs, least)
-    per_row = starts.groupBy(F.col("row").alias("s_row")).agg(F.sort_array(F.collect_list(F.struct("at", "copies"))).alias("starts"))
+    starts = later_copies(docs, least, words)
+    per_row = starts.groupBy(F.col("row").alias("s_row")).agg(F.sort_array(F.collect_list(F.struct("at", "lines", "copies"))).alias("starts"))
     joined = docs.select("row", "doc_id", "text").join(per_row, F.col("row") == F.col("s_row"), "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +229,10 @@ def drop_repeated_runs(df: DataFrame, least: int = MIN_LINES, id_col: str = "doc
                 spans: list[list[int]] = []
                 for x in found or ():
                     if spans and x["at"] <= spans[-1][0] + spans[-1][1]:
-                        spans[-1][1] = x["at"] + least - spans[-1][0]
+                        spans[-1][1] = max(spans[-1][1], x["at"] + x["lines"] - spans[-1][0])
                         spans[-1][2] = max(spans[-1][2], x["copies"])
                     else:
-                        spans.append([x["at"], least, x["copies"]])
+                        spans.append([x["at"], x["lines"], x["copies"]])
                 for first, n, _ in spans:
                     gone[first : first + n] = True
                 totals.append(len(lines))

@@ -34,8 +34,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document without the lines of runs that stand in an earlier place."""
-    return linedup.drop_repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
+    """Each document without the lines of runs of two lines or more that stand in an earlier place, as the SQL has it."""
+    return linedup.drop_repeated_runs(table(spark, sf_dir, "documents"), words=None).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

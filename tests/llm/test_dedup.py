@@ -215,6 +215,15 @@ def test_repeated_rows_are_later_copies(spark):
     assert got == [(1, 0), (1, 2)]
 
 
+def test_a_long_line_alone_is_a_run(spark):
+    long, short = " ".join(f"w{n}" for n in range(50)), " ".join(f"w{n}" for n in range(49))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, short), (5, short), (6, f"{long}\nb\nx"), (7, None), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_deleted, r.text, [tuple(x) for x in r.runs]) for r in linedup.drop_repeated_runs(df).collect()}
+    assert got == {1: (0, rows[0][1], []), 2: (1, "c\nd", [(1, 1, 5)]), 3: (1, "", [(0, 1, 5)]), 4: (0, short, []), 5: (0, short, []), 6: (2, "x", [(0, 2, 5)]), 7: (0, "", []), None: (1, "", [(0, 1, 5)])}
+    assert {r.doc_id for r in linedup.drop_repeated_runs(df, words=None).collect() if r.n_deleted} == {6}
+
+
 def test_common_prefixes(spark):
     rng = random.Random(9)
     docs = [[rng.choice("abc") for _ in range(rng.randint(1, 40))] for _ in range(6)]
