@@ -23,6 +23,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +50,23 @@ ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрс
 
 GENDER = {name.lower(): key for key, names in GIVEN.items() for name in names}
 JUNK = r"[^\w\n]"
-UPPER = "A-ZÀ-ÖØ-ÞΆ-ΏΑ-ΫЀ-Я"
+
+
+def ranges(kinds: set[str]) -> str:
+    """What stands between the brackets of a pattern for the characters of these Unicode categories."""
+    out, start = [], None
+    for c in range(sys.maxunicode + 2):
+        inside = c <= sys.maxunicode and unicodedata.category(chr(c)) in kinds
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            out.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return "".join(out)
+
+
+#: What a name starts with: any letter but a lower-case one, in any script; in Java, also characters newer than its tables.
+UPPER, JAVA_UPPER = ranges({"Lu", "Lt", "Lm", "Lo"}), r"\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{Cn}"
 CAPITAL = rf"(?:[{UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)*)"
 PATTERNS = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w][\w.+-]*@[\w-]+(?:\.[\w-]+)+")),
@@ -64,7 +82,7 @@ TITLED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for x in TITLES.values() for
 PAIR = re.compile(rf"(?<!\w)(?P<given>{CAPITAL}) (?P<surname>{CAPITAL})")
 #: Java patterns; a text that matches neither and has none of ``@=:`` holds none of the above.
 MAYBE_NUMBER = r"[0-9]{3}|[0-9]\.[0-9]"
-MAYBE_NAME = rf"[{UPPER}][^\s.,;:!?]*+ [{UPPER}]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Frau|Herr|S(?:r|ra|eñora?)|Dr|Prof)\. [{UPPER}]"
+MAYBE_NAME = rf"[{JAVA_UPPER}][^\s.,;:!?]*+ [{JAVA_UPPER}]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Frau|Herr|S(?:r|ra|eñora?)|Dr|Prof)\. [{JAVA_UPPER}]"
 
 
 def may_hold(text: Column) -> Column:

@@ -246,3 +246,12 @@ def test_cheap_test_clears_no_text_with_entities(spark):
         rows.append((n, rng.choice(["", " "]).join(rng.choice(parts) for _ in range(rng.randint(1, 6)))))
     hits = {r.i for r in spark.createDataFrame(rows, "i int, t string").filter(pii.may_hold(F.col("t"))).collect()}
     assert not [t for n, t in rows if pii.detect(t) and n not in hits]
+
+
+def test_names_start_with_any_capital(spark):
+    rows = ["Mr. Čapek", "Dr Łukasiewicz", "Frau Şahin", "Dr. Živković", "Anna Šimková", "Herr Őze", "Mme Đorđević", "Dr. Ðað", "Mr ǅep", "Dr. Աբգար", "Dr. 田中", "Mr. ʻIo"]
+    for t in rows:
+        assert [k for _, _, k, _ in pii.detect(t)][-1:] == ["surname:latin"], t
+    assert not pii.detect("Mr. čapek") and not pii.detect("Dr şahin")
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert df.filter(pii.may_hold(F.col("t"))).count() == len(rows)
