@@ -68,11 +68,22 @@ def ranges(kinds: set[str]) -> str:
 #: What a name starts with: any letter but a lower-case one, in any script; in Java, also characters newer than its tables.
 UPPER, JAVA_UPPER = ranges({"Lu", "Lt", "Lm", "Lo"}), r"\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{Cn}"
 CAPITAL = rf"(?:[{UPPER}][^\W\d_]*(?:['’-][^\W\d_]+)*)"
+#: Country codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: What may stand between two digits of a phone number.
+GAP = r"(?:[ \u00a0\u202f./-]|[ .-]?\(|\)[ ./-]?)?"
+NATIONAL = re.compile(rf"(?<![\w+/=&#])(?<!\d[.,])(?<!\w-)\(?\d(?:{GAP}\d){{6,14}}(?!-?\w|,\d)")
+#: National numbers' shape, but dates, years, decimal fractions or grouped thousands.
+NO_PHONE = re.compile(
+    r"(?:1\d|20)\d\d([-./])[01]?\d\1[0-3]?\d(?!\d)|[0-3]?\d([-./])[0-3]?\d\2(?:1\d|20)\d\d(?!\d)"
+    r"|(?:(?:1\d|20)\d\d[ ./-])+(?:1\d|20)\d\d$|\d+\.\d+$|[1-9]\d?([ .\u00a0\u202f])\d{3}(?:\3\d{3})*$"
+)
 PATTERNS = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w][\w.+-]*@[\w-]+(?:\.[\w-]+)+")),
     ("iban", "0", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("secret", "0", re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])")),
     ("phone", "0", re.compile(rf"(?<!\w)\+\d{{1,3}}{JUNK}{{1,8}}\(?\d{{2,4}}\)?{JUNK}{{1,8}}\d{{3}}{JUNK}{{1,5}}\d{{4}}(?!\w)|(?<![\w(])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\w)")),
+    ("phone", "0", re.compile(rf"(?<![\w+])\+\(?\d(?:{GAP}\d){{6,14}}(?!\w)")),
     ("ip", "0", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")),
     ("card", "0", re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")),
     ("ssn", "0", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -81,7 +92,7 @@ PATTERNS = [
 TITLED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for x in TITLES.values() for t in x)})\.? (?:(?P<given>{CAPITAL}) )?(?P<surname>{CAPITAL})")
 PAIR = re.compile(rf"(?<!\w)(?P<given>{CAPITAL}) (?P<surname>{CAPITAL})")
 #: Java patterns; a text that matches neither and has none of ``@=:`` holds none of the above.
-MAYBE_NUMBER = r"[0-9]{3}|[0-9]\.[0-9]"
+MAYBE_NUMBER = r"[0-9]{3}|[0-9]\.[0-9]|[0-9](?:[ \u00a0\u202f./()-]{0,3}[0-9]){6}"
 MAYBE_NAME = rf"[{JAVA_UPPER}][^\s.,;:!?]*+ [{JAVA_UPPER}]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Frau|Herr|S(?:r|ra|eñora?)|Dr|Prof)\. [{JAVA_UPPER}]"
 
 
@@ -104,6 +115,17 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def dialled(s: str) -> str:
+    """Country code and the rest of a phone number, the same however it is grouped."""
+    digits = re.sub(r"\D", "", s)
+    if not s.startswith("+"):
+        return f":{digits}"
+    code = digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGIT_CODES else 3]
+    group = re.match(r"\+\(?(\d+)", s)[1]
+    lead = code if group.startswith(code) else group
+    return f"{lead}:{digits[len(lead) :]}"
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Mentions as (start, end, kind, entity), in order and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -129,9 +151,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 entity = re.sub(r"\D", "", s)
                 if name == "phone":
-                    lead = re.match(r"\+(\d+)", s)
-                    entity = f"{lead[1] if lead else ''}:{entity[len(lead[1]) if lead else 0 :]}"
+                    entity = dialled(s)
             found.append((start, end, name, entity))
+    if digits and NATIONAL.search(text):  # national numbers have a loose shape, and take only what nothing else has taken
+        free = list(text)
+        for start, end, _, _ in found:
+            free[start:end] = "\n" * (end - start)
+        found += [(*m.span(), "phone", dialled(m[0])) for m in NATIONAL.finditer("".join(free)) if not NO_PHONE.match(m[0])]
     for pattern in (TITLED, PAIR):
         for m in pattern.finditer(text):
             given, surname = m["given"], m["surname"]
@@ -186,7 +212,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "phone":
         lead, _, rest = entity.partition(":")
-        return f"{lead}:{same_classes(rest, draw)}"
+        return f"{lead}:{same_classes(rest + '0' * (attempt // 8), draw)}"
     if kind == "card":
         body = entity[0] + same_classes(entity[1:-1], draw)
         right = str(-luhn(body + "0") % 10)
@@ -219,7 +245,7 @@ def render(mention: str, kind: str, core: str) -> str:
     """``core`` with the separators and the case of the mention it replaces."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(core.replace(":", ""))
-        return "".join(next(digits, c) if c.isdigit() else c for c in mention)
+        return "".join([next(digits, c) if c.isdigit() else c for c in mention] + list(digits))
     if kind == "iban":
         chars = iter(core)
         return "".join(c if c == " " else next(chars, c) for c in mention)

@@ -255,3 +255,28 @@ def test_names_start_with_any_capital(spark):
     assert not pii.detect("Mr. čapek") and not pii.detect("Dr şahin")
     df = spark.createDataFrame([(t,) for t in rows], "t string")
     assert df.filter(pii.may_hold(F.col("t"))).count() == len(rows)
+
+
+PHONES = [
+    "+33 1 42 68 53 00", "01 42 68 53 00", "0142685300", "01.42.68.53.00",  # fr
+    "+49 30 901820", "+49 (0)30 901820", "030/901820", "030 901820", "0151-23456789",  # de
+    "+34 612 345 678", "612 345 678", "612345678", "91 234 56 78", "(91) 234 56 78",  # es
+    "+15551234567", "+1 555 123 4567", "+1-555-123-4567", "555-123-4567", "555.123.4567", "(555) 123-4567", "555-1234",  # en
+    "06 12 34 56 78",
+]
+NO_PHONES = ["2024-01-31", "31.12.2024", "12/31/2024", "2024-01-31 10", "1990-2000", "3.1415926", "1.234.567", "1 234 567", "12 34 56", "1234567,5", "550e8400-e29b-41d4-a716-4466554400zz", "x1234567", "1234567890123456789012"]
+
+
+def test_phone_formats(spark):
+    for t in PHONES:
+        text = f"Call {t}, or write"
+        assert [(text[a:b], k) for a, b, k, _ in pii.detect(text)] == [(t, "phone")], t
+    for t in NO_PHONES:
+        assert not [x for x in pii.detect(f"See {t} there") if x[2] == "phone"], t
+    assert len(pii.detect("0033 1 42 68 53 00")) == 1  # 13 digits: a card's shape, and replaced as one
+    assert {pii.dialled(t) for t in PHONES if t.startswith("+1")} == {"1:5551234567"}
+    df = spark.createDataFrame([(n, f"call {t} soon") for n, t in enumerate(PHONES)], "doc_id long, text string")
+    for r in pii.replace_pii(df, b"key").collect():
+        assert r.n_entities == 1 and PHONES[r.doc_id] not in r.text and len(r.text) == len(f"call {PHONES[r.doc_id]} soon")
+    both = "555-1234 4111 1111 1111 1111"
+    assert pii.render("555-1234", "phone", ":12345678") == "123-45678" and pii.detect(both)
