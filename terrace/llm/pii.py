@@ -226,6 +226,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         _, gender, script = kind.split(":")
         pool = GIVEN.get((script, gender)) or [n for (s, _), names in GIVEN.items() if s == script for n in names]
         known = [n.lower() for n in pool]
+        if attempt:  # the pool alone is too small: names grow by a syllable with each attempt
+            parts = SYLLABLES[script]
+            return known[draw.below(len(known))] + "".join(parts[draw.below(len(parts))] for _ in range(attempt))
         if entity in known:  # a shuffle of the pool keeps known names apart; no name stays itself
             order = sorted(known, key=lambda n: Draw(key, f"order{chr(0)}{script}{chr(0)}{n}").below(1 << 62))
             return order[(order.index(entity) + 1) % len(order)]
@@ -236,9 +239,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     return same_classes(entity, draw)
 
 
-def shared_pool(kind: str) -> bool:
-    """Given names come from a small fixed pool; the surname beside them keeps persons apart."""
-    return kind.startswith("given")
+def family(kind: Column) -> Column:
+    """What surrogates must differ within: a kind, or all given names, whose gender a title may leave open."""
+    return F.when(kind.startswith("given"), F.lit("given")).otherwise(kind)
 
 
 def render(mention: str, kind: str, core: str) -> str:
@@ -288,21 +291,21 @@ def draw_all(df: DataFrame, key: bytes) -> DataFrame:
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, entity, core: a surrogate for each distinct entity, without collisions.
 
-    ``core`` is unique within a kind and is no entity of that kind, except for
-    given names, whose pool is fixed. Each round settles every candidate that no
-    other entity has; the expected number of rounds doesn't grow with the input,
-    because the spaces drawn from are far larger than the entities.
+    ``core`` is unique within a family of kinds and is no entity of it. Each round
+    settles every candidate that no other entity has; the number of rounds grows
+    at most with the logarithm of the input, because the spaces drawn from are far
+    larger than the entities or grow with each attempt.
     """
     pending = entities.select("kind", "entity", F.lit(0).alias("attempt"))
     done: DataFrame | None = None
-    pooled = F.col("kind").startswith("given")
+    of = family(F.col("kind")).alias("family")
     while True:
-        drawn = stage(draw_all(pending, key), "drawn")
-        taken = entities.select("kind", F.col("entity").alias("core"))
+        drawn = stage(draw_all(pending, key).select("*", of), "drawn")
+        taken = entities.select(of, F.col("entity").alias("core"))
         if done is not None:
-            taken = taken.unionByName(done.select("kind", "core"))
-        winners = drawn.groupBy("kind", "core").agg(F.min("entity").alias("first")).join(taken, ["kind", "core"], "left_anti")
-        marked = drawn.join(winners, ["kind", "core"], "left").withColumn("won", pooled | F.coalesce(F.col("first") == F.col("entity"), F.lit(False)))
+            taken = taken.unionByName(done.select(of, "core"))
+        winners = drawn.groupBy("family", "core").agg(F.min(F.struct("entity", "kind")).alias("first")).join(taken, ["family", "core"], "left_anti")
+        marked = drawn.join(winners, ["family", "core"], "left").withColumn("won", F.coalesce(F.col("first") == F.struct("entity", "kind"), F.lit(False)))
         marked = stage(marked.select("kind", "entity", "attempt", "core", "won"), "marked")
         unstage(drawn)
         won = marked.filter("won").select("kind", "entity", "core")

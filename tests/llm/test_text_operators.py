@@ -1,6 +1,7 @@
 """Encoding, language ID, packing, fingerprints, URL filter and PII, against plainer versions."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -280,3 +281,14 @@ def test_phone_formats(spark):
         assert r.n_entities == 1 and PHONES[r.doc_id] not in r.text and len(r.text) == len(f"call {PHONES[r.doc_id]} soon")
     both = "555-1234 4111 1111 1111 1111"
     assert pii.render("555-1234", "phone", ":12345678") == "123-45678" and pii.detect(both)
+
+
+def test_given_names_never_collide(spark):
+    """More names of a gender than the pool has, and pool names that stand in the corpus."""
+    names = ["A" + "".join(c) for c in itertools.product("abdeiklmnorstu", "aeiou", "bdn")]
+    text = " and ".join([f"Mr {n} Smith" for n in names] + [f"Dr {n} Smith" for n in names[:40]] + [f"{n} Smith" for n in pii.GIVEN["latin", "m"]])
+    new = pii.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"key").collect()[0].text
+    persons = [" ".join(p.split()[-2:]) for p in new.split(" and ")]
+    assert len(names) > 200 and len(persons) == len(set(persons)) == len(names) + 40 + len(pii.GIVEN["latin", "m"])
+    old = {n.lower() for n in names} | {n.lower() for n in pii.GIVEN["latin", "m"]}
+    assert not {p.split()[0].lower() for p in persons} & old
