@@ -81,7 +81,7 @@ NO_PHONE = re.compile(
 PATTERNS = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w][\w.+-]*@[\w-]+(?:\.[\w-]+)+")),
     ("iban", "0", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("secret", "0", re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])")),
+    ("secret", "", re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])")),
     ("phone", "0", re.compile(rf"(?<!\w)\+\d{{1,3}}{JUNK}{{1,8}}\(?\d{{2,4}}\)?{JUNK}{{1,8}}\d{{3}}{JUNK}{{1,5}}\d{{4}}(?!\w)|(?<![\w(])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\w)")),
     ("phone", "0", re.compile(rf"(?<![\w+])\+\(?\d(?:{GAP}\d){{6,14}}(?!\w)")),
     ("ip", "0", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")),
@@ -92,7 +92,9 @@ PATTERNS = [
 TITLED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for x in TITLES.values() for t in x)})\.? (?:(?P<given>{CAPITAL}) )?(?P<surname>{CAPITAL})")
 PAIR = re.compile(rf"(?<!\w)(?P<given>{CAPITAL}) (?P<surname>{CAPITAL})")
 #: Java patterns; a text that matches neither and has none of ``@=:`` holds none of the above.
-MAYBE_NUMBER = r"[0-9]{3}|[0-9]\.[0-9]|[0-9](?:[ \u00a0\u202f./()-]{0,3}[0-9]){6}"
+#: Digits are of any script, and those newer than Java's tables, as Python's are.
+JAVA_DIGIT = r"[\p{Nd}\p{Cn}]"
+MAYBE_NUMBER = rf"{JAVA_DIGIT}{{3}}|{JAVA_DIGIT}\.{JAVA_DIGIT}|{JAVA_DIGIT}(?:[ \u00a0\u202f./()-]{{0,3}}{JAVA_DIGIT}){{6}}|[0-9A-Fa-f]{{32}}|[A-Z]{{2}}{JAVA_DIGIT}{{2}} ?[A-Z0-9]{{4}}"
 MAYBE_NAME = rf"[{JAVA_UPPER}][^\s.,;:!?]*+ [{JAVA_UPPER}]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Frau|Herr|S(?:r|ra|eñora?)|Dr|Prof)\. [{JAVA_UPPER}]"
 
 
@@ -115,8 +117,14 @@ def iban_rest(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
+def plain_digits(s: str) -> str:
+    """Decimal digits of any script as 0 to 9; the rest stays."""
+    return s if s.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in s)
+
+
 def dialled(s: str) -> str:
     """Country code and the rest of a phone number, the same however it is grouped."""
+    s = plain_digits(s)
     digits = re.sub(r"\D", "", s)
     if not s.startswith("+"):
         return f":{digits}"
@@ -131,7 +139,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     digits = re.search(r"\d", text) is not None
     for kind, need, pattern in PATTERNS:
-        if (need == "0" and not digits) or (need not in ("0",) and not any(c in text for c in need)):
+        if not digits if need == "0" else need and not any(c in text for c in need):
             continue
         for m in pattern.finditer(text):
             start, end = m.span("value") if kind == "assigned" else m.span()
@@ -139,17 +147,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             if name == "email":
                 entity = s.lower()
             elif name == "iban":
-                entity = s.replace(" ", "")
+                entity = plain_digits(s.replace(" ", ""))
                 if iban_rest(entity) != 1:
                     continue
             elif name == "ip":
-                entity = s
+                entity = plain_digits(s)
                 if any(int(x) > 255 for x in s.split(".")):
                     continue
             elif name == "secret":
-                entity = s.lower()
+                entity = plain_digits(s.lower())
             else:
-                entity = re.sub(r"\D", "", s)
+                entity = plain_digits(re.sub(r"\D", "", s))
                 if name == "phone":
                     entity = dialled(s)
             found.append((start, end, name, entity))
@@ -248,7 +256,7 @@ def render(mention: str, kind: str, core: str) -> str:
     """``core`` with the separators and the case of the mention it replaces."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(core.replace(":", ""))
-        return "".join([next(digits, c) if c.isdigit() else c for c in mention] + list(digits))
+        return "".join([chr(ord(c) - int(c) + int(next(digits, c))) if c.isdecimal() else c for c in mention] + list(digits))
     if kind == "iban":
         chars = iter(core)
         return "".join(c if c == " " else next(chars, c) for c in mention)
