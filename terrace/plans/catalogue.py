@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diff, ignore, text
+from ..llm.common import stage
 from ..operators import evidence, graph, navigation, presentation, review, scan
 from ..operators.relational import greedy_prefix, top_k
 from . import tables
@@ -424,10 +425,42 @@ def mutual_best(spark, d):
     return review.mutual_best(shared_line_scores(spark, d), 0.5)
 
 
+def line_matches(files, least):
+    """old, new, score: even and odd documents that are each other's only best by all distinct lines, at ``least`` or more.
+
+    Documents with equal lines are one class; of a class with two on a side none
+    can be an only best. A pair of classes is compared if the first line that they
+    share, rarest first, leaves room for the lines they must share. No line is
+    dropped for its number of holders.
+    """
+    sets = files.select("doc_id", F.array_sort(F.array_distinct(F.transform(F.split("source", "\n", -1), lambda x: F.unhex(F.md5(x))))).alias("lines")).filter("lines IS NOT NULL AND doc_id IS NOT NULL")
+    even = F.col("doc_id") % 2 == 0
+    ids = [F.min("doc_id").alias("rep"), F.min(F.when(even, F.col("doc_id"))).alias("old_id"), F.min(F.when(~even, F.col("doc_id"))).alias("new_id"), F.count(F.when(even, 1)).alias("olds"), F.count(F.when(~even, 1)).alias("news")]
+    classes = stage(sets.groupBy("lines").agg(*ids).withColumn("n", F.size("lines")), "classes")
+    each = classes.select("rep", F.explode("lines").alias("line"))
+    held = each.groupBy("line").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    n = classes.select("rep", "n", "olds", "news")
+    shared = each.join(held, "line").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("holders", "line"))).alias("by")).join(n, "rep")
+    # ``left`` counts the shared lines from this one on; fewer than any partner of its own size or less asks for can't be the first.
+    placed = shared.select("rep", "n", "olds", "news", F.size("by").alias("k"), F.posexplode("by").alias("at", "x")).select("rep", "n", "olds", "news", F.col("x.line").alias("line"), (F.col("k") - F.col("at")).alias("left"))
+    placed = stage(placed.filter(F.col("left") * (2 - least) >= least * F.col("n") - 1e-6), "placed")
+    side = lambda c, a: placed.filter(f"{c}s > 0").select("line", F.col("rep").alias(c), F.col("n").alias(f"{a}_n"), F.col("left").alias(f"{a}_left"))
+    room = F.least("a_left", "b_left") * 2 >= least * (F.col("a_n") + F.col("b_n")) - 1e-6
+    pairs = side("old", "a").join(side("new", "b"), "line").filter(room & (F.col("old") != F.col("new"))).select("old", "new").distinct()
+    held_by = lambda c: classes.select(F.col("rep").alias(c), F.col("lines").alias(f"{c}_lines"))
+    common = F.size(F.array_intersect("old_lines", "new_lines"))
+    scores = pairs.join(held_by("old"), "old").join(held_by("new"), "new").select("old", "new", F.round(2.0 * common / (F.size("old_lines") + F.size("new_lines")), 6).alias("score"))
+    same = classes.filter("olds > 0 AND news > 0").select(F.col("rep").alias("old"), F.col("rep").alias("new"), F.lit(1.0).alias("score"))
+    best = review.mutual_best(stage(scores.unionByName(same), "scores"), least)
+    old = classes.filter("olds = 1").select(F.col("rep").alias("old"), "old_id")
+    new = classes.filter("news = 1").select(F.col("rep").alias("new"), "new_id")
+    return best.join(old, "old").join(new, "new").select(F.col("old_id").alias("old"), F.col("new_id").alias("new"), "score")
+
+
 def _near_pairs(spark, d):
-    """Pairs of documents that share rare lines: old, new, before, after."""
+    """Pairs of documents that are each other's only best by their lines: old, new, before, after."""
     docs = tables.files(spark, d)
-    pairs = review.mutual_best(shared_line_scores(spark, d), 0.3).select("old", "new")
+    pairs = line_matches(docs, 0.3).select("old", "new")
     return pairs.join(docs.select(F.col("doc_id").alias("old"), F.col("source").alias("before")), "old").join(docs.select(F.col("doc_id").alias("new"), F.col("source").alias("after")), "new")
 
 

@@ -130,3 +130,21 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
     assert sorted(names) == sorted(got.columns)
     rows = want.fetchall()
     assert sorted(tuple(value(r[c]) for c in names) for r in got.collect()) == sorted(tuple(map(value, r)) for r in rows)
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5])
+def test_line_matches_count_every_line(spark, least):
+    """Also lines that more than twenty documents hold, against brute force."""
+    import random
+
+    rng = random.Random(6)
+    hot = [f"hot {n}" for n in range(8)]
+    rows = [(n, "\n".join(rng.sample(hot, rng.randint(0, 6)) + [f"rare {rng.randrange(60)}" for _ in range(rng.randint(0, 4))])) for n in range(120)]
+    rows += [(n, "\n".join(hot)) for n in range(200, 260)] + [(301, "\n".join([*hot, "p", "q"])), (302, "\n".join([*hot, "p", "r"])), (400, "z"), (401, "z"), (402, None)]
+    rows += [(n, "\n".join(f"fifty {m}" for m in range(50))) for n in range(501, 545, 2)] + [(n, "\n".join([f"fifty {m}" for m in range(50)] + [f"own {n}"])) for n in range(600, 602)]
+    sets = {i: set(t.split("\n")) for i, t in rows if t is not None}
+    score = {(a, b): round(2.0 * len(sets[a] & sets[b]) / (len(sets[a]) + len(sets[b])), 6) for a in sets for b in sets if a % 2 == 0 and b % 2}
+    top = lambda pair: (score[pair] >= least and all(score[o] < score[pair] for o in score if o != pair and (o[0] == pair[0] or o[1] == pair[1])))
+    want = {(*pair, score[pair]) for pair in score if top(pair)}
+    got = [tuple(r) for r in catalogue.line_matches(spark.createDataFrame(rows, "doc_id long, source string"), least).collect()]
+    assert (302, 301, 0.9) in want and sorted(got) == sorted(want)
