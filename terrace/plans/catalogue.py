@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import diff, ignore, text
-from ..llm.common import stage
 from ..operators import evidence, graph, navigation, presentation, review, scan
 from ..operators.relational import greedy_prefix, top_k
+from ..staging import stage
 from . import tables
 from .tables import FILES_SQL, GRAPH_SQL, LINES_SQL, SNAPSHOTS_SQL, table
 
