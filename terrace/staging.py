@@ -50,7 +50,8 @@ def unstage(df: DataFrame) -> None:
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Bound the batches that Python workers get by bytes, where the session doesn't say otherwise."""
+    """Bound the batches that Python workers get by bytes, where the session has Spark's larger bound."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name)) > BATCH_BYTES:
+    bound = spark.conf.get(name).rstrip("b")
+    if bound.isdigit() and int(bound) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
