@@ -21,16 +21,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Store, kept_in_worker, slices
 
 WINDOW, MEAN_CHUNK_BITS = 16, 10
-CACHE_WORDS, CACHE_CHUNK_BYTES = 400_000, 48_000_000
+#: Bytes, at most, of the stores of pieces and of chunks in a worker.
+PIECE_BYTES, CHUNK_BYTES = 24_000_000, 32_000_000
 
 #: Texts of these characters alone take the quick path: their NFC form is themselves,
 #: their lower case has as many characters, and one byte of Latin-1 stands for each.
@@ -48,26 +50,17 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
-class Pieces(dict):
-    """Piece of text -> its ids as little-endian 32-bit integers; a miss is merged by the tokenizer's model."""
-
-    def __init__(self, model, most: int):
-        super().__init__()
-        self.model, self.most = model, most
-        shown = byte_alphabet()
-        self.shown = {cp: "".join(shown[b] for b in chr(cp).encode()) for cp in range(256)}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece.translate(self.shown))], "<u4").tobytes()
-        if len(self) < self.most and len(piece) < 64:
-            self[piece] = ids
-        return ids
+def merged(model) -> Callable[[str], bytes]:
+    """Piece of text -> its ids as little-endian 32-bit integers, by the tokenizer's model."""
+    shown = byte_alphabet()
+    table = {cp: "".join(shown[b] for b in chr(cp).encode()) for cp in range(256)}
+    return lambda piece: np.array([t.id for t in model.tokenize(piece.translate(table))], "<u4").tobytes()
 
 
 class Encoder:
     """Ids of a text exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, words: int = CACHE_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -75,14 +68,17 @@ class Encoder:
         self.tok.no_padding()
         self.lower = self.tok.normalizer is not None
         self.find = (WORD_PIECES if self.lower else BYTE_PIECES).findall
-        self.pieces = Pieces(self.tok.model, words)
+        self.pieces = Store(merged(self.tok.model), PIECE_BYTES)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.chunks = Store(self.plain, CHUNK_BYTES)
+
+    @cached_property
+    def names(self) -> list[str]:
         vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.names = [""] * (max(vocab.values()) + 1)
+        out = [""] * (max(vocab.values()) + 1)
         for name, i in vocab.items():
-            self.names[i] = name
-        self.chunks: dict[str, bytes] = {}
-        self.held = 0
+            out[i] = name
+        return out
 
     def plain(self, text: str) -> bytes:
         """Ids as bytes, without chunks."""
@@ -90,24 +86,13 @@ class Encoder:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.pieces.__getitem__, self.find(text.lower() if self.lower else text)))
 
-    def chunk(self, text: str) -> bytes:
-        ids = self.chunks.get(text)
-        if ids is None:
-            ids = self.plain(text)
-            self.held += 4 * len(text) + len(ids)
-            if self.held > CACHE_CHUNK_BYTES:
-                self.chunks.clear()
-                self.held = 4 * len(text) + len(ids)
-            self.chunks[text] = ids
-        return ids
-
     def encode(self, text: str) -> bytes:
         """Ids as bytes, from shared chunks with repaired joins."""
         cuts, spaces = cut_positions(text)
         if not cuts:
-            return self.chunk(text)
+            return self.chunks[text]
         edges = [0, *cuts, len(text)]
-        parts = [self.chunk(text[a:b]) for a, b in zip(edges, edges[1:])]
+        parts = [self.chunks[text[a:b]] for a, b in zip(edges, edges[1:])]
         out = [parts[0]]
         for n, cut in enumerate(cuts, 1):
             last, window, right = self.join(text, edges[n - 1], cut, edges[n + 1], spaces, out[-1], parts[n])
@@ -169,14 +154,9 @@ def cut_positions(text: str) -> tuple[list[int], np.ndarray]:
     return hits[keep].tolist(), spaces
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary and worker; its stores are bounded."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept_in_worker("bpe", path, lambda: Encoder(path))
 
 
 #: Columns the operator can return, in Arrow and Spark types.

@@ -1,49 +1,24 @@
-"""Shared plumbing: tables written to the cluster's shared folder, and text helpers.
-
-Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and
-reading it back. A lost executor then costs only the task it was running.
-"""
+"""Shared plumbing: what workers keep, batches in small parts, broadcasts of counted size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
+import sys
+from collections.abc import Callable, Iterator
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that count as white space wherever a contract speaks of ASCII white space.
-ASCII_SPACE = r"[\x20\x09-\x0D]"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="terrace-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+from ..staging import modest_batches, shared_dir, stage, unstage
 
+__all__ = ["ASCII_SPACE", "Store", "few", "kept_in_worker", "lower_ascii", "modest_batches", "shared_dir", "shuffle_width", "slices", "stage", "table", "unstage"]
 
-def stage(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    object.__setattr__(out, "stage_path", path)
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    path = df.__dict__.get("stage_path")
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: Characters that count as white space wherever a contract speaks of ASCII white space.
+ASCII_SPACE = r"[\x20\x09-\x0D]"
+#: Bytes, at most, that a part of a batch and a store in a worker hold.
+PART_BYTES, STORE_BYTES = 2_000_000, 24_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,17 +34,61 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch, rows: int = 512):
-    """Parts of an Arrow batch, so that what a part is turned into stays small."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def slices(batch: pa.RecordBatch, rows: int = 512, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch of at most ``rows`` rows and ``most`` bytes, so that what a part is turned into stays small; a longer row is a part of its own."""
+    todo = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
+    while todo:
+        part = todo.pop()
+        if part.num_rows < 2 or part.nbytes <= most:
+            yield part
+        else:
+            half = part.num_rows // 2
+            todo += [part.slice(half), part.slice(0, half)]
+
+
+class Store(dict):
+    """Key -> ``make`` of it, found once; emptied when it holds ``most`` bytes."""
+
+    def __init__(self, make: Callable[[Any], Any], most: int = STORE_BYTES):
+        super().__init__()
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.make(key)
+        cost = sys.getsizeof(key) + sys.getsizeof(value) + 100  # and its place in the table
+        if cost > self.most // 16:
+            return value
+        if self.held + cost > self.most:
+            self.clear()
+            self.held = 0
+        self.held += cost
+        self[key] = value
+        return value
+
+
+_KEPT: dict[str, Any] = {}
+_OWNER = ""
+
+
+def kept_in_worker(operator: str, name: str = "", make: Callable[[], Any] | None = None) -> Any:
+    """What ``operator`` keeps in a Python worker from one task to the next; what others left there goes first."""
+    global _OWNER
+    if operator != _OWNER:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _OWNER = operator
+    if make is not None and name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT.get(name)
 
 
-#: Rows of a few numbers each, at most, that a join may send to every executor.
-BROADCAST_ROWS = 500_000
+#: Rows of a few numbers each, and bytes of others, at most, that a join may send to every executor.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
 
 
-def few(df: DataFrame, tag: str, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, written; marked for broadcast if it has at most ``most`` rows. Otherwise a join shuffles as usual."""
+def few(df: DataFrame, tag: str, size: Column | None = None) -> DataFrame:
+    """``df``, written; marked for broadcast if it has few rows and, where ``size`` tells those of a row, few bytes. Otherwise a join shuffles as usual."""
     out = stage(df, tag)
-    return F.broadcast(out) if out.count() <= most else out
+    rows, held = out.agg(F.count(F.lit(1)), F.sum(F.lit(0) if size is None else size)).first()
+    return F.broadcast(out) if rows <= BROADCAST_ROWS and (held or 0) <= BROADCAST_BYTES else out

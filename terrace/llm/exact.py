@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import ASCII_SPACE, few, stage
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+#: Rows from which a group is joined in parts, and how many.
+LARGE, PARTS = 1000, 16
 #: A chunk may end after one of these pairs; letters of several scripts, digits and marks.
 BOUNDARY = r"(?<=[aeiouáéèíóúäöüаеио0-9،。、][nrstlдрстн.!?])"
 
@@ -45,35 +47,52 @@ def ambiguous(parts: DataFrame, ident: Callable[[Column], Column]) -> bool:
     return not distinct.groupBy("id").count().filter("count > 1").isEmpty()
 
 
+def recipe_groups(rows: DataFrame, ident: Callable[[Column], Column] = sha_id) -> DataFrame:
+    """row, doc_id, keep_row, keep_id, group_size, text_sha256 of (row, doc_id, text); row tells rows apart."""
+    text = rows.select("row", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"), normalised(F.col("text")).alias("body"))
+    parts = text.select("row", "doc_id", "size", chunks(F.col("body")).alias("recipe_text"), F.sha2("body", 256).alias("text_sha256"))
+    as_text = ambiguous(parts, ident)
+    recipe = F.col("recipe_text").cast("array<binary>") if as_text else F.transform("recipe_text", ident)
+    recipes = stage(parts.select("row", "doc_id", "size", "text_sha256", recipe.alias("recipe")), "recipes")
+    # With a verified list, its digest is what the join deals rows by; the list itself decides.
+    keyed = recipes.withColumn("deal", F.xxhash64("recipe"))
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "size", (-F.col("doc_id")).alias("first"), (-F.col("row")).alias("second")))
+    groups = stage(keyed.groupBy("deal", "recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1"), "groups")
+    # The rows of a large group are dealt in parts, and the group's own row goes to each.
+    large = few(groups.filter(F.col("group_size") > LARGE).select(F.col("deal").alias("l_deal")).distinct(), "large")
+    parted = F.when(F.col("l_deal").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(PARTS - 1)))
+    groups = groups.join(large, F.col("deal") == F.col("l_deal"), "left")
+    groups = groups.select(F.col("deal").alias("g_deal"), F.col("recipe").alias("g_recipe"), (-F.col("best.first")).alias("keep_id"), (-F.col("best.second")).alias("keep_row"), "group_size", F.explode(parted).alias("g_part"))
+    part = F.when(F.col("l_deal").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.lit(PARTS)).cast("int"))
+    dealt = keyed.join(large, F.col("deal") == F.col("l_deal"), "left").withColumn("part", part)
+    joined = dealt.join(groups, (F.col("deal") == F.col("g_deal")) & (F.col("part") == F.col("g_part")) & (F.col("recipe") == F.col("g_recipe")), "left")
+    alone = F.col("group_size").isNull()
+    keep = lambda group, own: F.when(alone, F.col(own)).otherwise(F.col(group)).alias(group)
+    return joined.select("row", "doc_id", keep("keep_row", "row"), keep("keep_id", "doc_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "text_sha256")
+
+
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ident: Callable[[Column], Column] = sha_id) -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without ASCII white space; null counts as
     empty, and empty texts form one group. Of a group the row with the most code
-    points stays, then the smallest id. Rows that repeat an id each give a row.
+    points stays, then the smallest id. Rows that repeat an id each give a row,
+    and those that repeat an id and its text are all marked as kept.
     Null ids come after all others in that choice, so a group of null ids alone
     has a null keep_id, and its rows are kept. An empty table gives no rows;
     other columns are not read.
     """
-    text = df.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"), normalised(F.col(text_col)).alias("body"))
-    parts = text.select("doc_id", "size", chunks(F.col("body")).alias("recipe_text"), F.sha2("body", 256).alias("text_sha256"))
-    as_text = ambiguous(parts, ident)
-    recipe = F.col("recipe_text").cast("array<binary>") if as_text else F.transform("recipe_text", ident)
-    recipes = stage(parts.select("doc_id", "size", "text_sha256", recipe.alias("recipe")), "recipes")
-    # With a verified list, its digest is what the join deals rows by; the list itself decides.
-    keyed = recipes.withColumn("deal", F.xxhash64("recipe"))
-    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "size", (-F.col("doc_id")).alias("first")))
-    groups = keyed.groupBy("deal", "recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(F.col("deal").alias("g_deal"), F.col("recipe").alias("g_recipe"), (-F.col("best.first")).alias("keep_id"), "group_size")
-    joined = keyed.join(groups, (F.col("deal") == F.col("g_deal")) & (F.col("recipe") == F.col("g_recipe")))
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return recipe_groups(rows, ident).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` that exact_groups keeps, with all their columns.
+    """One row of ``df`` of each group of equal texts, with all its columns.
 
-    A row is known by its id and its text, so rows that share an id don't fall together.
+    The row that exact_groups keeps; of several with that id and text, and of null
+    ids alone, exactly one. An empty table gives no rows.
     """
-    gone = exact_groups(df, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone"), F.xxhash64("text_sha256").alias("__gone_text")).distinct()
-    same = (F.col(id_col) == F.col("__gone")) & (F.xxhash64(F.sha2(normalised(F.col(text_col)), 256)) == F.col("__gone_text"))
-    return df.join(few(gone, "gone"), same, "left_anti")
+    held = stage(df.withColumn("__row", F.monotonically_increasing_id()), "held")
+    rows = held.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = recipe_groups(rows).filter("row <> keep_row").select(F.col("row").alias("__gone"))
+    return held.join(few(gone, "gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

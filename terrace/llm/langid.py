@@ -24,10 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import slices
+from .common import STORE_BYTES, kept_in_worker, slices
 
 SAMPLE, ROUNDS, SMOOTH, FLOOR = 150, 3, 0.05, 1e-9
-STORE, LONGEST_PIECE = 400_000, 16
+#: Letters up to which products of probabilities stay in a float's range.
+SAFE = 40
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 
@@ -42,20 +43,23 @@ def vocabulary(path: str) -> list[str]:
 
 @dataclass
 class Model:
-    """langs: sorted names. pieces: piece -> its probability in each of them."""
+    """langs: sorted names. pieces: piece -> its probability in each of them. longest: the most characters of a piece."""
 
     langs: list[str]
     pieces: dict[str, np.ndarray]
 
+    def __post_init__(self):
+        self.longest = max(map(len, self.pieces), default=1)
+
     def forward(self, word: str) -> np.ndarray:
         """Log probability of ``word`` in each language, summed over all segmentations."""
         s, k = START + word, len(self.langs)
         get, floor = self.pieces.get, np.full(k, FLOOR)
-        alpha, shift = [np.ones(k)], 0.0
+        alpha, shift, longest = [np.ones(k)], 0.0, self.longest
         for j in range(1, len(s) + 1):
             p = get(s[j - 1 : j])
             acc = alpha[j - 1] * (floor if p is None else p)
-            for i in range(max(0, j - LONGEST_PIECE), j - 1):
+            for i in range(max(0, j - longest), j - 1):
                 p = get(s[i:j])
                 if p is not None:
                     acc = acc + alpha[i] * p
@@ -63,17 +67,36 @@ class Model:
             if j % 16 == 0:  # long words: keep the numbers in range
                 top = acc.max()
                 shift += math.log(top)
-                for n in range(max(0, j - LONGEST_PIECE), j + 1):
+                for n in range(max(0, j - longest), j + 1):
                     alpha[n] = alpha[n] / top
         return np.log(np.maximum(alpha[-1], 1e-300)) + shift
 
 
+def expected(spans: list[tuple[int, int, str]], n: int, prob: dict[str, float]) -> list[float]:
+    """How often each span is used, summed over all segmentations of ``n`` characters, weighted by their probability."""
+    if n <= SAFE:
+        fore, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+        for i, j, p in spans:
+            fore[j] += fore[i] * prob[p]
+        for i, j, p in reversed(spans):
+            back[i] += prob[p] * back[j]
+        return [fore[i] * prob[p] * back[j] / fore[n] for i, j, p in spans]
+    low = float("-inf")  # longer words, by logarithms
+    fore, back = [0.0] + [low] * n, [low] * n + [0.0]
+    for i, j, p in spans:
+        fore[j] = float(np.logaddexp(fore[j], fore[i] + math.log(prob[p])))
+    for i, j, p in reversed(spans):
+        back[i] = float(np.logaddexp(back[i], math.log(prob[p]) + back[j]))
+    return [math.exp(fore[i] + math.log(prob[p]) + back[j] - fore[n]) for i, j, p in spans]
+
+
 def fit_language(counts: dict[str, int], vocab: set[str]) -> dict[str, float]:
     """Piece probabilities of one language by expectation maximisation over its words."""
     spans: dict[str, list[tuple[int, int, str]]] = {}
+    longest = max(map(len, vocab), default=1)
     for w in counts:
         s = START + w
-        spans[w] = [(i, j, s[i:j]) for j in range(1, len(s) + 1) for i in range(max(0, j - LONGEST_PIECE), j) if j - i == 1 or s[i:j] in vocab]
+        spans[w] = [(i, j, s[i:j]) for j in range(1, len(s) + 1) for i in range(max(0, j - longest), j) if j - i == 1 or s[i:j] in vocab]
     prob: dict[str, float] = {}
     for x in spans.values():
         for _, _, p in x:
@@ -82,16 +105,8 @@ def fit_language(counts: dict[str, int], vocab: set[str]) -> dict[str, float]:
     for _ in range(ROUNDS):
         seen = dict.fromkeys(prob, 0.0)
         for w, c in counts.items():
-            n = len(w) + 1
-            fore, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-            for i, j, p in spans[w]:
-                fore[j] += fore[i] * prob[p]
-            if fore[n] <= 0:
-                continue
-            for i, j, p in reversed(spans[w]):
-                back[i] += prob[p] * back[j]
-            for i, j, p in spans[w]:
-                seen[p] += c * fore[i] * prob[p] * back[j] / fore[n]
+            for (_, _, p), x in zip(spans[w], expected(spans[w], len(w) + 1, prob)):
+                seen[p] += c * x
         total = sum(seen.values()) + SMOOTH * len(seen)
         prob = {p: (x + SMOOTH) / total for p, x in seen.items()}
     return prob
@@ -115,7 +130,7 @@ def fit(df: DataFrame, vocab_path: str, sample: int = SAMPLE, id_col: str = "doc
     taken = rows.filter(near).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample)
     words = taken.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for r in words.groupBy("lang", "word").count().filter(F.length("word") <= 40).toLocalIterator():
+    for r in words.groupBy("lang", "word").count().toLocalIterator():
         counts[r["lang"]][r["word"]] = r["count"]
     vocab = set(vocabulary(vocab_path))
     langs = sorted(counts)
@@ -139,7 +154,7 @@ class PieceTable:
     BASE, BITS = np.uint64(0x9E3779B97F4A7C15 | 1), 20
 
     def __init__(self, model: Model):
-        k, self.levels = len(model.langs), []
+        k, self.levels, self.longest = len(model.langs), [], model.longest
         self.prob = np.zeros((len(model.pieces) + 2, k))
         self.prob[1] = FLOOR
         rest = []
@@ -181,12 +196,12 @@ class PieceTable:
             for j in range(size):
                 prefix.append(prefix[j] * self.BASE + codes[:, j])
             power = [np.uint64(1)]
-            for _ in range(LONGEST_PIECE):
+            for _ in range(self.longest):
                 power.append(power[-1] * self.BASE)
             alpha = [np.ones((len(words), self.prob.shape[1]))]
             for j in range(1, size + 1):
                 acc = None
-                for i in range(max(0, j - LONGEST_PIECE), j):
+                for i in range(max(0, j - self.longest), j):
                     row = self.rows(prefix[j] - prefix[i] * power[j - i])
                     if j - i == 1:
                         row = np.maximum(row, 1)
@@ -199,12 +214,15 @@ class PieceTable:
 
 
 class Scorer:
-    """Sums of word scores for texts, with a bounded store of words."""
+    """Sums of word scores for texts, with a store of words that is bounded in bytes."""
 
-    def __init__(self, model: Model, store: int = STORE):
-        self.model, self.store, self.table = model, store, PieceTable(model)
+    def __init__(self, model: Model, most: int = STORE_BYTES):
+        self.model, self.most, self.table = model, most, PieceTable(model)
+        self.forget()
+
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(model.langs)))
+        self.rows, self.held = np.zeros((1024, len(self.model.langs))), 0
 
     def add(self, words: set[str]) -> None:
         by_size: dict[int, list[str]] = {}
@@ -217,12 +235,13 @@ class Scorer:
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.rows[first : first + len(same)] = got
             self.index.update(zip(same, range(first, first + len(same))))
+            self.held += len(same) * (size + 160 + 16 * len(self.model.langs))
 
     def score(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Log probabilities in each language; None for a text without letters."""
         split = [WORD.findall(t.lower()) if t else [] for t in texts]
-        if len(self.index) > self.store:
-            self.index.clear()
+        if self.held > self.most:
+            self.forget()
         fresh: set[str] = set()
         for words in split:
             fresh.update(w for w in words if w not in self.index)
@@ -237,15 +256,18 @@ def predict(df: DataFrame, model: Model, keep: list[str] | None = None, text_col
     ``score`` is the posterior probability of the prediction under equal priors.
     A null text, one without letters, or a model without languages gives ``und``
     and 0.0. Equal scores go to the language first in the alphabet. Rows with the
-    same or a null id are each scored. Other columns are not read.
+    same or a null id are each scored; an empty table gives no rows. Columns that
+    are kept pass through, but ones named as ``names`` are replaced.
     """
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.pieces))  # at most sample x languages documents' pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces = shared.value
+        kept_in_worker("langid")
         scorer = Scorer(Model(langs, pieces)) if langs else None
         for batch in batches:
-            for part in slices(batch, 1024):
+            for part in slices(batch):
                 texts, found, scores = part.column(0).to_pylist(), [], []
                 for got in scorer.score(texts) if scorer else [None] * len(texts):
                     if got is None:
@@ -257,12 +279,16 @@ def predict(df: DataFrame, model: Model, keep: list[str] | None = None, text_col
                     scores.append(float(1 / np.exp(odds).sum()))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names[1:], *names])
 
-    kept = df.select(*(df.columns if keep is None else keep))
+    kept = df.select(*keep)
     schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     return df.select(F.col(text_col).alias("__text"), *kept.columns).mapInArrow(run, schema)
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` with a language, of a posterior of at least ``least``, with all their columns."""
+    """Rows of ``df`` with a language, of a posterior of at least ``least``, with all their columns.
+
+    Null texts and those without letters go; null and repeated ids make no
+    difference; an empty table, and a model without languages, give no rows.
+    """
     scored = predict(df, model, None, text_col, ("__lang", "__score"))
     return scored.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stage, unstage
+from .common import shuffle_width, slices, stage, unstage
 
 MIN_LINES = 2
 #: Words from which a single line that stands earlier too is deleted.
@@ -95,14 +95,14 @@ def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Written table: row (an identity for each row, in no order), doc_id, text, lines (array of line identifiers)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return stage(rows.withColumn("lines", F.transform(F.split("text", "\n", -1), lambda s: F.unhex(F.md5(s)))), "lines")
+    return stage(rows.withColumn("lines", F.transform(F.split("text", "\n", -1), lambda s: F.unhex(F.sha2(s, 256)))), "lines")
 
 
 def first_ranks(docs: DataFrame) -> DataFrame:
     """row, at, rank, size of the suffixes that start with a repeated line; rank is the first place of the line's group."""
     lines = docs.select("row", F.posexplode("lines").alias("at", "line"))
     counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    # The order of lines is that of their identifiers' first eight bytes, and of all sixteen where these agree.
+    # The order of lines is that of their identifiers' first seven bytes, and of all where these agree.
     keyed = counts.select(F.conv(F.hex(F.substring("line", 1, 7)), 16, 10).cast("long").alias("high"), "line", "size")
     ranked = running(keyed, ["high", "line"], "size", "high").select(F.col("line").alias("known"), F.col("before").alias("rank"), "size")
     return stage(lines.join(ranked, lines["line"] == ranked["known"]).select("row", "at", "rank", "size"), "ranks")
@@ -221,9 +221,9 @@ def drop_repeated_runs(df: DataFrame, least: int = MIN_LINES, id_col: str = "doc
     joined = docs.select("row", "doc_id", "text").join(per_row, F.col("row") == F.col("s_row"), "left").select("doc_id", "text", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             totals, deleted, runs, texts = [], [], [], []
-            for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
                 lines = text.split("\n")
                 gone = np.zeros(len(lines), bool)
                 spans: list[list[int]] = []
@@ -240,6 +240,6 @@ def drop_repeated_runs(df: DataFrame, least: int = MIN_LINES, id_col: str = "doc
                 runs.append([{"first": a, "lines": n, "copies": c} for a, n, c in spans])
                 texts.append("\n".join(line for line, g in zip(lines, gone) if not g) if spans else text)
             kinds = pa.list_(pa.struct([("first", pa.int64()), ("lines", pa.int64()), ("copies", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(deleted, pa.int64()), pa.array(runs, kinds), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_deleted", "runs", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(totals, pa.int64()), pa.array(deleted, pa.int64()), pa.array(runs, kinds), pa.array(texts, pa.string())], names=["doc_id", "n_lines", "n_deleted", "runs", "text"])
 
     return joined.mapInArrow(run, "doc_id long, n_lines long, n_deleted long, runs array<struct<first: bigint, lines: bigint, copies: bigint>>, text string")

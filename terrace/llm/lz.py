@@ -11,16 +11,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, shuffle_width
+from .common import Store, kept_in_worker, shuffle_width, slices
 
-PLACES, STORE = 128, 400_000
+PLACES = 128
+#: The key of rows without an id.
+LAST = (1 << 63) - 1
 #: A word with the blank after it, or any other character.
 SYMBOL = re.compile(r"\w{1,32} ?|\W")
 BREAK = re.compile(r"\W(?=\w*\Z)")
@@ -30,24 +34,15 @@ FACTOR = _RNG.integers(1, 2**63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1
 SHIFT = _RNG.integers(0, 2**63, PLACES, np.uint64)
 
 
-class Symbols(dict):
-    """Symbol -> a number that depends on it alone; bounded."""
-
-    def __missing__(self, symbol: str) -> int:
-        h = int.from_bytes(hashlib.blake2b(symbol.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") & MASK
-        if len(self) > STORE:
-            self.clear()
-        self[symbol] = h
-        return h
-
-
-SYMBOLS = Symbols()
+def symbol_number(symbol: str) -> int:
+    """A number that depends on the symbol alone."""
+    return int.from_bytes(hashlib.blake2b(symbol.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") & MASK
 
 
 def parse(symbols: list[str], known: set[int], node: int = 0) -> int:
     """Add the phrases of ``symbols`` to ``known``; the unfinished phrase is returned, to go on with."""
-    get, add = SYMBOLS.__getitem__, known.add
-    for h in map(get, symbols):
+    numbers, add = kept_in_worker("lz", "symbols", lambda: Store(symbol_number)), known.add
+    for h in map(numbers.__getitem__, symbols):
         step = (node * 0x9E3779B97F4A7C15 + h) & MASK
         if step in known:
             node = step
@@ -103,26 +98,51 @@ def compare(text: str, other: str) -> tuple[str, np.ndarray, np.ndarray]:
     return edited, signature(phrases), signature(rest)
 
 
+def dealer(firsts: list[tuple[int, int]]) -> Callable[[Column, Column], Column]:
+    """The range (from 0) of a row's key and hash, given the first of each range in order."""
+    keys, hashes = (np.array([f[n] for f in firsts], np.int64) for n in (0, 1))
+
+    @F.pandas_udf("int")
+    def deal(key: pd.Series, code: pd.Series) -> pd.Series:
+        k, h = key.to_numpy(np.int64), code.to_numpy(np.int64)
+        low, high = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
+        # Ranges that begin within one key are told apart by the hash.
+        at = high - 1
+        for bound in np.unique(k[high > low]):
+            here = k == bound
+            a, b = np.searchsorted(keys, bound, "left"), np.searchsorted(keys, bound, "right")
+            at[here] = a + np.searchsorted(hashes[a:b], h[here], "right") - 1
+        return pd.Series(np.maximum(at, 0).astype(np.int32))
+
+    return deal
+
+
 def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and a sorted run of rows in which each row's successor follows it.
+    """range, boundary, doc_id, text: sorted runs of rows in which each row's successor follows it.
 
-    Ids are cut into ranges; a document goes to the task of its range, and the
-    first one of a range also to the end of the range before, as a boundary row.
-    Only the bounds, one id a range, pass through the driver.
+    Ids are cut into ranges by their quantiles; an id that fills several quantiles,
+    or the rows without an id, are cut by the hash of the text. A document goes to
+    the task of its range, and the first of a range also to the end of the range
+    before, as a boundary row. Only the first key of each range passes through the
+    driver, and a range is found by bisection.
     """
     width = shuffle_width(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    cuts = {int(x) for x in rows.approxQuantile("key", [n / width for n in range(width)], 0.2 / width)}
-    least = rows.agg(F.min("key")).first()[0]
-    bounds = sorted({x for x in cuts if x > least} | {least or 0})  # each the first key of its range, and a key of the table
-    edges = F.array(*(F.lit(b).cast("long") for b in bounds))
-    here = F.size(F.filter(edges, lambda b: b <= F.col("key"))) - 1
-    before = F.pmod(F.col("range") - 1, F.lit(len(bounds)))
+    rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).withColumn("code", F.xxhash64("text"))
+    cuts = Counter(int(x) for x in rows.approxQuantile("key", [n / width for n in range(width)], 0.2 / width))
+    planned = sorted((key, -(1 << 63) + n * (2**64 // times)) for key, times in cuts.items() for n in range(times))
+    deal = dealer(planned or [(0, 0)])
+    least = rows.groupBy(deal("key", "code").alias("range")).agg(F.min(F.struct("key", "code")).alias("first")).collect()
+    firsts = sorted((r["first"]["key"], r["first"]["code"]) for r in least)  # at most as many as there are ranges
+    starts = df.sparkSession.createDataFrame([(*f, n) for n, f in enumerate(firsts)], "s_key long, s_code long, s_range int")
+    before = F.pmod(F.col("range") - 1, F.lit(max(1, len(firsts)))).cast("int")
     own, copy = F.struct("range", F.lit(0).alias("boundary")), F.struct(before.alias("range"), F.lit(1).alias("boundary"))
-    placed = rows.withColumn("range", here).withColumn("to", F.when(F.array_contains(edges, F.col("key")), F.array(own, copy)).otherwise(F.array(own)))
-    dealt = placed.select(F.explode("to").alias("to"), "key", "doc_id", "text").select("to.range", "to.boundary", "doc_id", "text", "key")
-    return dealt.repartition(len(bounds), "range").sortWithinPartitions("range", "boundary", "key", "text").drop("key")
+    placed = rows.withColumn("range", dealer(firsts or [(0, 0)])("key", "code"))
+    # A range has one first row here, but for rows that are equal to it.
+    placed = placed.join(F.broadcast(starts), (F.col("key") == F.col("s_key")) & (F.col("code") == F.col("s_code")), "left")
+    placed = placed.withColumn("to", F.when(F.col("s_range").isNotNull(), F.array(own, copy)).otherwise(F.array(own)))
+    dealt = placed.select(F.explode("to").alias("to"), "key", "code", "doc_id", "text").select("to.range", "to.boundary", "doc_id", "text", "key", "code")
+    return dealt.repartitionById(max(1, len(firsts)), "range").sortWithinPartitions("range", "boundary", "key", "code", "text").drop("key", "code")
 
 
 COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -131,8 +151,8 @@ COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited text, and their likeness.
 
-    A row's next document is the one after it by (id, text), nulls last; after
-    the last comes the first, so a table of one row is followed by itself. Null
+    A row's next document is the one after it by id, nulls last, and among equal
+    or null ids by the xxhash64 of the text; after the last comes the first, so a table of one row is followed by itself. Null
     texts count as empty; empty texts have no phrases, and two of them have
     likeness 1. Rows that repeat an id each give a row. Other columns are not read.
     """

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .common import slices, stage
 
+#: Bytes of ids that a writer holds before it writes them out.
+ROW_GROUP = 16 << 20
+
 
 def encode_partitions(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Written table: id, part, before (ids earlier in the partition), n, ids (little-endian 32-bit, with the end id)."""
@@ -36,7 +39,7 @@ def encode_partitions(df: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
     id_type = df.schema[id_col].dataType.simpleString()
     encoded = df.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).mapInArrow(run, f"`{id_col}` {id_type}, part long, before long, n long, ids binary")
-    return stage(encoded, "encoded")
+    return stage(encoded, "encoded", block=ROW_GROUP)
 
 
 def cut(encoded: DataFrame, length: int, id_col: str = "doc_id") -> DataFrame:

@@ -1,6 +1,6 @@
 """Personal data replaced by keyed surrogates.
 
-1. Detection. Patterns find e-mail addresses, IPv4 addresses, card-like numbers,
+1. Detection. Patterns find e-mail addresses, IP addresses, card-like numbers,
    phone and social security numbers, IBANs, secrets and personal names.
 2. Assignment. Each distinct entity gets a surrogate from HMAC-SHA256 under a
    secret key: digits become digits, letters letters of the same script, card
@@ -22,19 +22,21 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, slices, stage, unstage
+from .common import few, kept_in_worker, slices, stage, unstage
 
-#: Texts with entities, at most, whose surrogates a join may send to every executor.
-MOST_MAPS = 100_000
+#: Rounds of drawing, at most; a kind whose space is used up would draw for ever.
+MOST_ROUNDS = 200
 
 #: Given names by script and gender, and titles by the gender they tell.
 GIVEN = {
@@ -84,6 +86,7 @@ PATTERNS = [
     ("secret", "", re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}(?![0-9A-Za-z])")),
     ("phone", "0", re.compile(rf"(?<!\w)\+\d{{1,3}}{JUNK}{{1,8}}\(?\d{{2,4}}\)?{JUNK}{{1,8}}\d{{3}}{JUNK}{{1,5}}\d{{4}}(?!\w)|(?<![\w(])\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\w)")),
     ("phone", "0", re.compile(rf"(?<![\w+])\+\(?\d(?:{GAP}\d){{6,14}}(?!\w)")),
+    ("ipv6", ":", re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")),
     ("ip", "0", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")),
     ("card", "0", re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")),
     ("ssn", "0", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -104,8 +107,22 @@ def may_hold(text: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def script_name(c: str) -> str:
+    """Script of a letter, by the first word of its Unicode name; empty for marks and modifiers."""
+    return unicodedata.name(c, "").partition(" ")[0].lower() if unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lo") else ""
+
+
 def script_of(word: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in word) else "latin"
+    """Script of the word's first letter that has one."""
+    return next((s for s in map(script_name, word) if s), "latin")
+
+
+@cache
+def letters_of(script: str) -> str:
+    """Letters that names in a script without syllables of its own are made of: the small ones, where it has case."""
+    of = [c for c in map(chr, range(0x80, 0x10000)) if script_name(c) == script and unicodedata.normalize("NFC", c) == c]
+    small = "".join(c for c in of if c.islower() and len(c.upper()) == 1)
+    return small or "".join(of) or ALPHABETS[0]
 
 
 def luhn(digits: str) -> int:
@@ -154,6 +171,13 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 entity = plain_digits(s)
                 if any(int(x) > 255 for x in s.split(".")):
                     continue
+            elif name == "ipv6":
+                if len([x for x in s.split(":") if x]) < 3 or not any(c.isdecimal() for c in s):
+                    continue
+                try:
+                    entity = ipaddress.IPv6Address(s).exploded
+                except ValueError:
+                    continue
             elif name == "secret":
                 entity = plain_digits(s.lower())
             else:
@@ -218,6 +242,8 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return f"{same_classes(local, draw)}@{same_classes(name, Draw(key, f'domain{chr(0)}{domain}{chr(0)}{attempt // 4}'))}.{top}"
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    if kind == "ipv6":  # the prefix that is set aside for examples
+        return "2001:0db8:" + ":".join(f"{draw.below(1 << 16):04x}" for _ in range(6))
     if kind == "phone":
         lead, _, rest = entity.partition(":")
         return f"{lead}:{same_classes(rest + '0' * (attempt // 8), draw)}"
@@ -230,20 +256,21 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return f"{entity[:2]}{98 - iban_rest(f'{entity[:2]}00{body}'):02d}{body}"
     if kind == "secret" and re.fullmatch("[0-9a-f]+", entity):
         return "".join("0123456789abcdef"[draw.below(16)] for _ in entity)
-    if kind.startswith("given"):
-        _, gender, script = kind.split(":")
-        pool = GIVEN.get((script, gender)) or [n for (s, _), names in GIVEN.items() if s == script for n in names]
-        known = [n.lower() for n in pool]
+    if kind.startswith(("given", "surname")):
+        script = kind.rpartition(":")[2]
+        if script not in SYLLABLES:  # a name of its length, of letters of its script
+            return "".join(letters_of(script)[draw.below(len(letters_of(script)))] for _ in range(max(2, min(len(entity), 12)) + attempt // 8))
+        parts = SYLLABLES[script]
+        if kind.startswith("surname"):
+            return "".join(parts[draw.below(len(parts))] for _ in range(3 + attempt // 8))
+        gender = kind.split(":")[1]
+        known = [n.lower() for n in GIVEN.get((script, gender)) or [n for (s, _), names in GIVEN.items() if s == script for n in names]]
         if attempt:  # the pool alone is too small: names grow by a syllable with each attempt
-            parts = SYLLABLES[script]
             return known[draw.below(len(known))] + "".join(parts[draw.below(len(parts))] for _ in range(attempt))
         if entity in known:  # a shuffle of the pool keeps known names apart; no name stays itself
             order = sorted(known, key=lambda n: Draw(key, f"order{chr(0)}{script}{chr(0)}{n}").below(1 << 62))
             return order[(order.index(entity) + 1) % len(order)]
-        return pool[draw.below(len(pool))].lower()
-    if kind.startswith("surname"):
-        parts = SYLLABLES[kind.split(":")[1]]
-        return "".join(parts[draw.below(len(parts))] for _ in range(3 + attempt // 8))
+        return known[draw.below(len(known))]
     return same_classes(entity, draw)
 
 
@@ -260,8 +287,11 @@ def render(mention: str, kind: str, core: str) -> str:
     if kind == "iban":
         chars = iter(core)
         return "".join(c if c == " " else next(chars, c) for c in mention)
+    if kind == "ipv6":
+        short = str(ipaddress.IPv6Address(core))
+        return short.upper() if mention.isupper() else short
     if kind.startswith(("given", "surname")):
-        return core.upper() if len(mention) > 1 and mention.isupper() else core[:1].upper() + core[1:]
+        return core.upper() if len(mention) > 1 and mention.isupper() else core[:1].title() + core[1:]
     if len(core) == len(mention):
         return "".join(x.upper() if c.isupper() or (mention.isupper() and x.isalpha()) else x for c, x in zip(mention, core))
     return core
@@ -271,6 +301,7 @@ def mentions(df: DataFrame, text_col: str) -> DataFrame:
     """Distinct (text_key, kind, entity) of the texts that may hold any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("pii")
         for batch in batches:
             for part in slices(batch):
                 keys, kinds, entities = [], [], []
@@ -302,12 +333,13 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     ``core`` is unique within a family of kinds and is no entity of it. Each round
     settles every candidate that no other entity has; the number of rounds grows
     at most with the logarithm of the input, because the spaces drawn from are far
-    larger than the entities or grow with each attempt.
+    larger than the entities or grow with each attempt. After MOST_ROUNDS, that is
+    where a kind of fixed form has more entities than forms, it raises ValueError.
     """
     pending = entities.select("kind", "entity", F.lit(0).alias("attempt"))
     done: DataFrame | None = None
     of = family(F.col("kind")).alias("family")
-    while True:
+    for _ in range(MOST_ROUNDS):
         drawn = stage(draw_all(pending, key).select("*", of), "drawn")
         taken = entities.select(of, F.col("entity").alias("core"))
         if done is not None:
@@ -321,6 +353,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         pending = marked.filter("not won").withColumn("attempt", F.col("attempt") + 1)
         if pending.isEmpty():
             return done
+    raise ValueError("a kind of entity has used up its surrogates: " + ", ".join(r["kind"] for r in pending.select("kind").distinct().limit(5).collect()))
 
 
 def replace_pii(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,15 +368,16 @@ def replace_pii(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
     cols = df.columns
     seen = stage(mentions(df.filter(may_hold(F.col(text_col))), text_col), "mentions")
     entities = stage(seen.select("kind", "entity").distinct(), "entities")
-    chosen = assign(entities, key)
+    chosen = few(assign(entities, key), "chosen", F.octet_length("entity") + F.octet_length("core") + 64)
     per_text = seen.join(chosen, ["kind", "entity"]).groupBy(F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__map"))
-    joined = df.join(few(per_text, "maps", MOST_MAPS), F.xxhash64(text_col) == F.col("__key"), "left").select(*cols, "__map")
+    joined = df.join(few(per_text, "maps", F.octet_length(F.to_json("__map"))), F.xxhash64(text_col) == F.col("__key"), "left").select(*cols, "__map")
     clean = joined.filter("__map IS NULL").drop("__map").withColumn("n_entities", F.lit(0).cast("long"))
     with_map = joined.filter("__map IS NOT NULL")
     schema = with_map.drop("__map").withColumn("n_entities", F.lit(0).cast("long")).schema
     at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_in_worker("pii")
         for batch in batches:
             for part in slices(batch):
                 texts, counts = [], []

@@ -13,8 +13,11 @@ start, and only one of them goes on. Within a band's bucket every member is
 compared with the bucket's first, not with all others. Pairs are handled in groups
 of one hub document and its partners, dealt in salted parts. A large bucket whose
 members are in different components after that tries its most central member as
-the hub. What is in different components even then is compared in blocks, in
-memory, and only links that join components come out of a block.
+the hub. For members in different components even then an exact prefix filter
+finds the pairs left to verify: of two sets that are alike enough, the first
+member they share, rarest first, leaves room for all they must share. Members
+that only one component holds can't be it and are not looked at, so a group whose
+common members fill its sets does not meet in them.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, slices, stage, unstage
+from .common import Store, few, kept_in_worker, slices, stage, unstage
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65534
 SALT, BLOCK, WIDE, PIVOT_ROUNDS = 256, 512, 32, 3
+CELL, PART = 1.05, 4096
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -42,25 +46,17 @@ FACTOR = _RNG.integers(0, 2**63, REGISTERS, np.uint64) * np.uint64(2) + np.uint6
 SHIFT = _RNG.integers(0, 2**63, REGISTERS, np.uint64)
 
 
-class WordHashes(dict):
-    """Word -> 64-bit hash of it with A-Z lower-cased; bounded."""
+def word_hash(word: str) -> int:
+    """64-bit hash of a word with A-Z lower-cased."""
+    import xxhash
 
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        h = xxhash.xxh3_64_intdigest(word.translate(LOWER).encode("utf-8", "surrogatepass"))
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h
-        return h
-
-
-HASHES = WordHashes()
+    return xxhash.xxh3_64_intdigest(word.translate(LOWER).encode("utf-8", "surrogatepass"))
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     found = WORDS.findall(text or "")
-    return np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
+    known = kept_in_worker("setsketch", "words", lambda: Store(word_hash))
+    return np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -123,21 +119,27 @@ def estimate(a: np.ndarray, n_a: int, b: np.ndarray, n_b: np.ndarray) -> np.ndar
     return GRID[np.argmax(score, axis=1)]
 
 
-def profile(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Written table: doc_id, words_key (what documents with the same words share), n_shingles, registers."""
+def with_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Written table: row (an identity of each row), doc_id, text."""
+    return stage(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "rows")
+
+
+def profile(rows: DataFrame, size: int) -> DataFrame:
+    """Written table: row, doc_id, words_key (what documents with the same words share), n_shingles, registers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                keys, counts, rows = [], [], []
-                for text in part.column(1).to_pylist():
+                keys, counts, regs = [], [], []
+                for text in part.column(2).to_pylist():
                     h = word_hashes(text)
                     members = shingles(h, size)
                     keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                     counts.append(len(members))
-                    rows.append(sketch(members).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(rows, pa.binary())], names=["doc_id", "words_key", "n_shingles", "registers"])
+                    regs.append(sketch(members).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array(regs, pa.binary())], names=["row", "doc_id", "words_key", "n_shingles", "registers"])
 
-    return stage(df.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, words_key binary, n_shingles long, registers binary"), "profile")
+    return stage(rows.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, words_key binary, n_shingles long, registers binary"), "profile")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -218,8 +220,8 @@ def verified(percent: int) -> Callable[[tuple, list[tuple]], list[bool]]:
     return keep
 
 
-def full_sets(df: DataFrame, reps: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """rep, n, data (the sorted set) for the documents of ``reps``."""
+def full_sets(rows: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """rep, n, data (the sorted set) for the rows that ``reps`` names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +230,7 @@ def full_sets(df: DataFrame, reps: DataFrame, size: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "n", "data"])
 
     wanted = few(reps.select(F.col("rep").alias("w")).distinct(), "wanted")
-    rows = df.select(F.col(id_col).cast("long").alias("rep"), text_col)
-    return rows.join(wanted, rows["rep"] == wanted["w"], "left_semi").dropDuplicates(["rep"]).mapInArrow(run, "rep long, n long, data binary")
+    return rows.join(wanted, F.col("row") == F.col("w"), "left_semi").select(F.col("row").alias("rep"), "text").mapInArrow(run, "rep long, n long, data binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -265,8 +266,8 @@ def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(spread, F.col("bucket") == F.col("b")).drop("b")
 
 
-def pivots(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """hub, rep: in each bucket of more than WIDE members the most central one, with those of other components.
+def pivots(rows: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+    """hub, rep: in each bucket of more than WIDE members the most central one that isn't in ``tried`` (hub), with those of other components.
 
     Each block of a bucket names the member with the most registers in common
     with the rest of the block, and the best of these is the bucket's: as many
@@ -274,15 +275,17 @@ def pivots(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """
     wide = rows.filter(F.col("size") > WIDE)
     data = classes.select(F.col("rep").alias("r"), F.col("registers").alias("data"))
-    placed = wide.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).join(data, F.col("rep") == F.col("r")).select("bucket", "block", "rep", "data")
-    dealt = placed.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
+    old = tried.select(F.col("hub").alias("old")).distinct()
+    placed = wide.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).join(data, F.col("rep") == F.col("r")).join(old, F.col("rep") == F.col("old"), "left")
+    dealt = placed.select("bucket", "block", "rep", "data", F.col("old").isNull().alias("new")).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, _), held in grouped(batches, 2):
             regs = np.frombuffer(b"".join(r[1] for r in held), np.uint16).reshape(len(held), -1)
-            score = [float((regs == r).mean()) for r in regs]
+            score = [float((regs == r).mean()) if x[2] else -1.0 for r, x in zip(regs, held)]
             best = int(np.argmax(score))
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([held[best][0]], pa.int64()), pa.array([score[best]], pa.float64())], names=["bucket", "rep", "score"])
+            if score[best] >= 0:
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([held[best][0]], pa.int64()), pa.array([score[best]], pa.float64())], names=["bucket", "rep", "score"])
 
     best = dealt.mapInArrow(run, "bucket long, rep long, score double").groupBy(F.col("bucket").alias("p_bucket")).agg(F.max(F.struct("score", "rep"))["rep"].alias("hub"))
     own = wide.select(F.col("bucket").alias("o_bucket"), F.col("rep").alias("o_rep"), F.col("component").alias("own"))
@@ -305,109 +308,147 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, held
 
 
-def links_within(rows: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
-    """hub, rep: verified links between different components of a bucket, enough to join all that any link joins.
-
-    Buckets are compared in blocks of BLOCK members, one block with another.
-    Within two blocks, central members go first, and a pair that links have joined
-    by then is not compared; so at most as many links come out as there are members.
-    """
-    blocks = F.ceil(F.col("size") / BLOCK)
-    known = classes.select(F.col("rep").alias("r"), F.col("n_shingles").alias("n"), "registers")
-    full = sets.select(F.col("rep").alias("s"), "data")
-    placed = rows.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component").join(known, F.col("rep") == F.col("r")).join(full, F.col("rep") == F.col("s"))
-    dealt = placed.select("bucket", "i", "j", "own", "rep", "component", "n", "registers", "data").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+def tokens(sets: DataFrame) -> DataFrame:
+    """token, rep, component, n: a row for each member of each set of (rep, component, n, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in grouped(batches, 3):
-            out = block_links(held, key[1] == key[2], least, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in out], pa.int64()) for n in (0, 1)], names=["hub", "rep"])
-
-    return dealt.mapInArrow(run, "hub long, rep long").distinct()
-
-
-def block_links(held: list, one_block: bool, least: float, percent: int) -> list[tuple[int, int]]:
-    """Links among rows (own block, rep, component, n, registers, set) of one block, or between two."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    regs = np.frombuffer(b"".join(r[4] for r in held), np.uint16).reshape(len(held), -1)
-    n, own = np.array([r[3] for r in held], np.float64), np.array([r[0] for r in held])
-    same = np.stack([(regs == r).mean(axis=1) for r in regs])
-    sets: dict[int, np.ndarray] = {}
-    full = lambda x: sets[x] if x in sets else sets.setdefault(x, np.frombuffer(held[x][5], np.uint64))
-    out, done = [], np.zeros(len(held), bool)
-    for x in np.argsort(-same.sum(axis=1), kind="stable"):
-        done[x] = True
-        # Agreeing registers alone are a looser test than the likelihood, and a cheaper one.
-        near = np.flatnonzero(~done & (same[x] >= least - 0.05) & (np.full(len(held), one_block) | (own != own[x])))
-        near = near[[find(held[y][2]) != find(held[x][2]) for y in near]] if len(near) else near
-        if len(near):
-            near = near[estimate(regs[x], n[x], regs[near], n[near]) >= least]
-        for y in near[np.argsort(-same[x][near], kind="stable")] if len(near) else ():
-            a, b = find(held[x][2]), find(held[y][2])
-            if a != b and linked(full(x), full(y), percent):
-                parent[a] = b
-                out.append((held[x][1], held[y][1]))
-    return out
+        for batch in batches:
+            for part in slices(batch):
+                data = part.column(3).to_pylist()
+                each = np.array([len(d) // 8 for d in data])
+                members = np.frombuffer(b"".join(data), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(members), *(pa.array(np.repeat(np.asarray(part.column(k)), each)) for k in range(3))], names=["token", "rep", "component", "n"])
 
+    return sets.select("rep", "component", "n", "data").mapInArrow(run, "token long, rep long, component long, n long")
 
-def near_groups(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id, kept.
 
-    Documents are linked when their sets' intersection is at least ``percent`` per
-    cent of the union; component_id is the least id that links lead to. Null and
-    empty texts have empty sets and are linked with nothing. Rows that repeat an
-    id count as that document, in the group of each of their texts. Rows with a
-    null id join a group if they have its words, and never name one: alone, their
-    component is null and they are kept. An empty table gives no rows; other
-    columns are not read.
+def prefix_rows(sets: DataFrame, percent: int) -> DataFrame:
+    """Written table: token, a, b, side, rep, component, n, left: where two sets of different components may first meet.
 
-    A pair of similarity s shares a band with probability 1 - (1 - s^5)^32:
-    0.999997 at 0.8. Candidates are dropped when they are estimated below the
-    threshold less four standard deviations.
+    A token that one component alone holds is in no link that joins components.
+    Of the others a set's are ordered, rarest first, and ``left`` counts those from
+    this one on. Sets of n and m members that are linked share at least
+    percent (n + m) / (100 + percent) tokens, so the first they share leaves as
+    many on both sides; that bounds the m that a token is of use for. Sizes are
+    dealt in cells of CELL, and a row goes to each pair of cells (a, b) that its
+    own cell and a partner's can form. Pairs of cells without two components drop out.
     """
-    docs = profile(df, size, id_col, text_col)
-    filled = docs.filter("n_shingles > 0")
-    classes = stage(filled.groupBy("words_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers")).filter("rep IS NOT NULL"), "classes")
+    each = tokens(sets)
+    mixed = each.groupBy(F.col("token").alias("t")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("df")).filter("lo <> hi").select("t", "df")
+    held = each.join(mixed, F.col("token") == F.col("t")).groupBy("rep", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
+    held = held.filter(100 * F.size("by") >= percent * F.col("n"))
+    placed = held.select("rep", "component", "n", F.size("by").alias("k"), F.posexplode("by").alias("at", "x")).select("rep", "component", "n", F.col("x.token").alias("token"), (F.col("k") - F.col("at")).cast("long").alias("left"))
+    least = F.ceil(percent * F.col("n") / 100)
+    most = F.least(F.floor(100 * F.col("n") / percent), F.floor(F.col("left") * (100 + percent) / percent - F.col("n") + 1e-6))
+    cell = lambda x: F.floor(F.log(x.cast("double")) / math.log(CELL))
+    near = placed.withColumn("own", cell(F.col("n"))).withColumn("least", least).withColumn("most", most).filter("most >= least")
+    near = near.withColumn("other", F.explode(F.sequence(cell(F.col("least")), cell(F.col("most")))))
+    near = near.select("token", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "component", "n", "left")
+    near = stage(near, "prefixes")
+    key = ["token", "a", "b"]
+    spread = near.groupBy(*key).agg(*(f(c).alias(f"{w}_{c}") for c in ("component", "side") for w, f in (("lo", F.min), ("hi", F.max))))
+    spread = spread.filter("lo_component <> hi_component AND (a = b OR lo_side <> hi_side)").select(*(F.col(c).alias(f"k_{c}") for c in key))
+    return stage(near.join(spread, [F.col(c) == F.col(f"k_{c}") for c in key]).select(*near.columns), "prefixes")
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """hub, rep: pairs of different components that can first meet in a token, each once.
+
+    Of a token's rows those outside its largest component are compared with all,
+    so the rows of that component don't meet one another. All are dealt in parts
+    of PART rows, and the few outside go to each part.
+    """
+    key = ["token", "a", "b"]
+    named = [F.col(c).alias(f"k_{c}") for c in key]
+    most = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n")).groupBy(*named).agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.ceil(F.sum("n") / PART).alias("parts"))
+    rows = rows.join(most, [F.col(c) == F.col(f"k_{c}") for c in key]).select(*rows.columns, "main", "parts")
+    fields = ("side", "rep", "component", "n", "left")
+    one = rows.filter("component <> main").select(*key, F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"), *(F.col(c).alias(f"x_{c}") for c in fields))
+    two = rows.select(*key, (F.pmod(F.xxhash64("rep"), "parts") + 1).alias("part"), "main", *(F.col(c).alias(f"y_{c}") for c in fields))
+    cells = (F.col("a") == F.col("b")) | (F.col("x_side") != F.col("y_side"))
+    order = (F.col("y_component") == F.col("main")) | (F.col("x_rep") < F.col("y_rep"))
+    sizes = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    room = (100 + percent) * F.least("x_left", "y_left") >= percent * (F.col("x_n") + F.col("y_n"))
+    met = one.join(two, [*key, "part"]).filter(cells & order & sizes & room & (F.col("x_component") != F.col("y_component")))
+    return met.select(F.col("x_rep").alias("hub"), F.col("y_rep").alias("rep")).distinct()
+
+
+def links(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """Written table: the pairs (hub, rep) that are likely by their sketches and linked by their full sets."""
+    s = percent / 100
+    least = s - 4 * math.sqrt(s * (1 - s) / REGISTERS)
+    near = stage(against_hubs(pairs, sketches, likely(least)), "candidates")
+    either = near.select(F.col("hub").alias("rep")).unionByName(near.select("rep"))
+    out = stage(against_hubs(near, full_sets(rows, either, size), verified(percent)), "links")
+    unstage(near)
+    return out
+
+
+def grouped_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component (a number that the rows of a group share; null for an empty set) of written (row, doc_id, text)."""
+    docs = profile(rows, size)
+    classes = stage(docs.filter("n_shingles > 0").groupBy("words_key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), F.min("registers").alias("registers")), "classes")
     wide = bands(classes)
     first = wide.groupBy(F.col("bucket").alias("b")).agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first <> last").select("b", "first")
     members = stage(wide.join(first, wide["bucket"] == first["b"]).select("bucket", "rep", "first"), "members")
-    s = percent / 100
-    least = s - 4 * math.sqrt(s * (1 - s) / REGISTERS)
-    sketches = classes.select("rep", F.col("n_shingles").alias("n"), F.col("registers").alias("data")).dropDuplicates(["rep"])
-    stars = members.filter("rep <> first").select(F.col("first").alias("hub"), "rep").distinct()
-    candidates = stage(against_hubs(stars, sketches, likely(least)), "candidates")
-    either = lambda p: p.select(F.col("hub").alias("rep")).unionByName(p.select("rep"))
-    links = stage(against_hubs(candidates, full_sets(df, either(candidates), size, id_col, text_col), verified(percent)), "links")
-    labels = stage(components(links), "labels")
+    sketches = classes.select("rep", F.col("n_shingles").alias("n"), F.col("registers").alias("data"))
+    hubs = members.filter("rep <> first").select(F.col("first").alias("hub"), "rep").distinct()
+    found = links(rows, hubs, sketches, size, percent)
+    labels, tried = stage(components(found), "labels"), hubs.select("hub").distinct()
     for _ in range(PIVOT_ROUNDS):  # large buckets first get a better hub than their first member
-        tried = stage(pivots(open_buckets(members, labels), classes), "pivots")
-        if tried.isEmpty():
+        central = stage(pivots(open_buckets(members, labels), classes, tried), "pivots")
+        if central.isEmpty():
             break
-        near = stage(against_hubs(tried, sketches, likely(least)), "candidates")
-        found = stage(against_hubs(near, full_sets(df, either(near), size, id_col, text_col), verified(percent)), "links")
-        if found.isEmpty():
+        more = links(rows, central, sketches, size, percent)
+        if more.isEmpty():
             break
-        links = links.unionByName(found)
-        labels = stage(components(links), "labels")
-    rest = stage(open_buckets(members, labels), "rest")
+        found, tried = found.unionByName(more), tried.unionByName(central.select("hub").distinct())
+        labels = stage(components(found), "labels")
+    rest = stage(open_buckets(members, labels).select("rep", "component").distinct(), "rest")
     if not rest.isEmpty():
-        more = stage(links_within(rest, classes, full_sets(df, rest, size, id_col, text_col), least, percent), "links")
+        sets = full_sets(rows, rest, size).withColumnRenamed("rep", "r")
+        sets = stage(sets.join(rest, F.col("r") == F.col("rep")).select("rep", "component", "n", "data"), "sets")
+        more = links(rows, prefix_pairs(prefix_rows(sets, percent), percent), sketches, size, percent)
         if not more.isEmpty():
-            labels = stage(components(links.unionByName(more)), "labels")
-    labelled = classes.select("words_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("words_key").alias("k"), F.coalesce("component", "rep").alias("component"))
-    out = docs.join(labelled, docs["words_key"] == labelled["k"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+            labels = stage(components(found.unionByName(more)), "labels")
+    # A row alone in its class and component is its own component, and needs no partner in the last join.
+    labelled = classes.join(labels, F.col("rep") == F.col("node"), "left").filter("copies > 1 OR component IS NOT NULL")
+    labelled = few(labelled.select(F.col("words_key").alias("k"), F.coalesce("component", "rep").alias("component")), "labelled")
+    own = F.when(F.col("n_shingles") > 0, F.col("row"))
+    return docs.select("row", "doc_id", "n_shingles", "words_key").join(labelled, F.col("words_key") == F.col("k"), "left").select("row", "doc_id", "n_shingles", F.coalesce("component", own).alias("component"))
+
+
+def near_groups(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when their sets' intersection is at least ``percent`` per
+    cent of the union; component_id is the least id that links lead to. Null and
+    empty texts have empty sets and are linked with nothing. Each row stands for
+    itself: rows that repeat an id are linked by their texts alone. Rows with a
+    null id never name a group; one of null ids alone has a null component_id, and
+    its rows are kept. An empty table gives no rows; other columns are not read.
+
+    A pair of similarity s shares a band with probability 1 - (1 - s^5)^32:
+    0.999997 at 0.8. Candidates are dropped when they are estimated below the
+    threshold less four standard deviations.
+    """
+    out = stage(grouped_rows(with_rows(df, id_col, text_col), size, percent), "groups")
+    least = out.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("members")).filter("members > 1").select("c", "component_id")
+    named = out.join(few(least, "least"), F.col("component") == F.col("c"), "left")
+    named = named.select("doc_id", "n_shingles", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df`` whose document is the first of its group, with all their columns."""
-    gone = few(near_groups(df, size, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    """One row of ``df`` of each group of near copies, with all its columns: the one with the least id, nulls last.
+
+    Exactly one row of a group stays, also where ids repeat or are null. Rows with
+    empty sets all stay. An empty table gives no rows.
+    """
+    held = stage(df.withColumn("__row", F.monotonically_increasing_id()), "held")
+    rows = held.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    out = stage(grouped_rows(rows, size, percent), "groups")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    first = out.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min(place)["row"].alias("stays"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    gone = out.join(few(first, "first"), F.col("component") == F.col("c")).filter("row <> stays").select(F.col("row").alias("__gone"))
+    return held.join(few(gone, "gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")

@@ -181,7 +181,7 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (row for one in slices(batch, 1) for row in one.to_pylist()):
                 content, frames, at, plain, out = row["content"], seek_table(row["content"]), -1, b"", []
                 for x in row["index"]:
                     if x["frame"] != at:
@@ -207,7 +207,7 @@ def export(bundles: DataFrame, folder: str) -> DataFrame:
         os.makedirs(folder, exist_ok=True)
         for batch in batches:
             names, paths, sizes = [], [], []
-            for row in batch.to_pylist():
+            for row in (row for one in slices(batch, 1) for row in one.to_pylist()):
                 path = os.path.join(folder, f"{row['bundle']}.warc.zst")
                 part = f"{path}.{TaskContext.get().taskAttemptId()}"
                 with open(part, "wb") as f:

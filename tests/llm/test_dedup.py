@@ -58,7 +58,12 @@ def test_exact(spark, rows, docs, ident):
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = exact.drop_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((w[0] for w in want if w[3] or w[0] is None), key=str)
+    left = {}
+    for r in kept.collect():
+        left.setdefault(re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), []).append(r.doc_id)
+    # Exactly one row of each group, the one that is marked, also where ids repeat or are null.
+    assert left == {body: [next((w[1] for w in want if w[4] == hashlib.sha256(body.encode()).hexdigest()))] for body in groups}
+    assert exact.drop_copies(docs.limit(0)).columns == docs.columns
     assert exact.exact_groups(docs.limit(0)).count() == 0
 
 
@@ -78,7 +83,7 @@ def brute_near(rows, size, percent):
     for a in range(len(sets)):
         for b in range(a):
             s, t = sets[a][1], sets[b][1]
-            if s and t and 100 * len(s & t) >= percent * len(s | t) or sets[a][0] is not None and sets[a][0] == sets[b][0]:
+            if s and t and 100 * len(s & t) >= percent * len(s | t):
                 parent[find(a)] = find(b)
     out = []
     for n, (i, s) in enumerate(sets):
@@ -95,11 +100,18 @@ def test_near(spark, rows, docs, size):
     assert setsketch.near_groups(docs.limit(0), size).count() == 0
     kept = setsketch.drop_near_copies(docs, size)
     assert kept.columns == docs.columns
+    texts = [r.text for r in kept.collect()]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    assert sum(not words(t) for t in texts) == sum(not words(t) for _, t in rows)  # empty sets all stay
+    groups = {(c, s) for _, s, c, _ in got if s}
+    assert sum(bool(words(t)) for t in texts) >= len({c for c, _ in groups})
+    again = setsketch.drop_near_copies(kept, size)  # one row of a group stays, so nothing more goes
+    assert again.count() == len(texts)
 
 
 def test_near_chain_in_one_bucket(spark, monkeypatch):
     """Links between members that are unlike the bucket's first are found as well."""
-    monkeypatch.setattr(setsketch, "BLOCK", 4)
+    monkeypatch.setattr(setsketch, "WIDE", 4)
     base = [f"w{n}" for n in range(200)]
     rows = []
     for n in range(12):  # each shifts by a few words: neighbours are alike, the ends are not
@@ -112,20 +124,37 @@ def test_near_chain_in_one_bucket(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == sorted(brute_near(rows, 2, 80))
 
 
-def test_links_within_blocks(spark, monkeypatch):
-    """Every block pair is looked at, and what comes out joins all that any link joins."""
-    monkeypatch.setattr(setsketch, "BLOCK", 3)
+def test_prefix_filter_loses_no_link(spark, monkeypatch):
+    """Every linked pair of different components is found, in one part or many, and pairs within one component are not."""
+    monkeypatch.setattr(setsketch, "PART", 5)
     rng = np.random.default_rng(0)
-    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
-    classes, full = [], []
-    for n in range(12):
-        s = np.unique(np.concatenate([base[:380] if n % 3 else base[:10], rng.integers(0, 2**63, 8 if n % 3 else 300).astype(np.uint64)]))
-        classes.append((n, len(s), bytearray(setsketch.sketch(s).tobytes())))
-        full.append((n, len(s), bytearray(s.tobytes())))
-    rows = spark.createDataFrame([(1, n, n, 12) for n in range(12)], "bucket long, rep long, component long, size long")
-    args = spark.createDataFrame(classes, "rep long, n_shingles long, registers binary"), spark.createDataFrame(full, "rep long, n long, data binary")
-    got = setsketch.components(setsketch.links_within(rows, *args, 0.6, 80)).collect()
-    assert {(r.node, r.component) for r in got} == {(n, 1) for n in range(12) if n % 3}
+    base = rng.integers(0, 400, 300)
+    sets = []
+    for n in range(90):
+        keep = base[rng.random(300) < rng.choice([0.3, 0.9, 0.95, 1.0])]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 3000, rng.integers(0, 40))])).astype(np.int64))
+    component = [n % 7 if n % 3 else 0 for n in range(90)]
+    rows = [(n, component[n], len(s), bytearray(s.tobytes())) for n, s in enumerate(sets)]
+    for percent in (50, 80, 95):
+        placed = setsketch.prefix_rows(spark.createDataFrame(rows, "rep long, component long, n long, data binary"), percent)
+        got = {tuple(sorted(p)) for p in setsketch.prefix_pairs(placed, percent).collect()}
+        want = {(a, b) for b in range(90) for a in range(b) if component[a] != component[b] and 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))}
+        assert want and want <= got and all(component[a] != component[b] for a, b in got)
+
+
+def test_recall_on_planted_copies(spark):
+    """Pairs just above the threshold, among many texts, are found."""
+    rng, rows, pairs = random.Random(6), [], []
+    for n in range(0, 1200, 2):
+        w = [f"a{rng.random()}" for _ in range(200)]
+        v = w[: 200 - rng.randint(1, 20)]
+        rows += [(n, " ".join(w)), (n + 1, " ".join(v + [f"b{rng.random()}"]))]
+        s, t = (({*zip(x.split(), x.split()[1:])}) for x in (rows[-1][1], rows[-2][1]))
+        if 100 * len(s & t) >= 80 * len(s | t):
+            pairs.append((n, n + 1))
+    got = {r.doc_id: r.component_id for r in setsketch.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()}
+    assert len(pairs) > 400 and all(got[b] == a for a, b in pairs)
+    assert sum(got[i] != i for i, _ in rows) == len(pairs)
 
 
 def test_one_hub_of_many_copies(spark, monkeypatch):
@@ -301,3 +330,27 @@ def test_pipeline(spark, sf_dir):
         assert not any(text[a:b] in after[i].text for a, b, _, _ in found if b - a > 6)
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in whole} == set(before)
+
+
+def test_pipeline_on_odd_tables(spark, sf_dir):
+    """Empty tables, null and repeated ids, null texts and repeated rows."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = [r.text for r in docs.orderBy("doc_id").limit(3).collect()]
+    rows = [(None, some[0], "en", "s", 1), (None, some[0], "en", "s", 1), (7, some[1], "en", "s", 1), (7, some[1], "en", "s", 1), (7, some[2], None, None, None), (8, None, None, None, None), (9, "", "en", "s", 0), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, docs.schema)
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, docs.limit(0), sf_dir).count() == 0, name
+        out = function(spark, odd, sf_dir)
+        if name != "packing":
+            assert out.columns == docs.columns
+        left = sorted((r.doc_id for r in out.collect()), key=str)
+        if name == "language_id":
+            assert left == [7, 7, 7, None, None]
+        elif name == "exact_dedup":
+            assert left == sorted([7, 7, None, 8], key=str)  # of the three empty ones the least id stays
+        elif name == "near_dedup":
+            assert left == sorted([7, 7, None, 8, 9, None], key=str)  # empty sets are linked with nothing
+        elif name == "pii_surrogates":
+            assert left == sorted((r[0] for r in rows), key=str)
