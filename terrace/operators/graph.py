@@ -26,10 +26,17 @@ def add_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def add_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between known nodes; of equal (src, dst, kind) the first by ord."""
+    """Edges between known nodes; of equal (src, dst, kind) the first by ord.
+
+    Equal edges fall together first, so that only one of them is looked up.
+    """
+    rest = [c for c in edges.columns if c not in ("src", "dst", "kind", "ord")]
+    if rest:
+        once = first_wins(edges, ["src", "dst", "kind"], ["ord"])
+    else:
+        once = edges.groupBy("src", "dst", "kind").agg(F.min("ord").alias("ord"))
     ids = nodes.select(F.col("id").alias("known"))
-    both = edges.join(ids, edges["src"] == ids["known"], "left_semi").join(ids, edges["dst"] == ids["known"], "left_semi")
-    return first_wins(both, ["src", "dst", "kind"], ["ord"])
+    return once.join(ids, F.col("src") == F.col("known"), "left_semi").join(ids, F.col("dst") == F.col("known"), "left_semi")
 
 
 def with_roles(nodes: DataFrame, roles: DataFrame) -> DataFrame:
@@ -39,16 +46,17 @@ def with_roles(nodes: DataFrame, roles: DataFrame) -> DataFrame:
 
 
 def connection_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, callers (outside tests), dependencies."""
+    """id, callers (outside tests), dependencies: one pass over the edges, each counted at both ends."""
     support = nodes.filter(F.array_contains("roles", "test support")).select(F.col("id").alias("support"))
-    calls = edges.filter("kind = 'calls'")
-    callers = calls.join(support, calls["src"] == support["support"], "left_anti").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("callers"))
-    out = edges.filter(F.col("kind").isin("calls", "local-module-source")).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("dependencies"))
-    return nodes.select("id").join(callers, "id", "left").join(out, "id", "left").select("id", F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("dependencies", F.lit(0)).alias("dependencies"))
+    kept = edges.filter(F.col("kind").isin("calls", "local-module-source")).join(support, F.col("src") == F.col("support"), "left")
+    called = (F.col("kind") == "calls") & F.col("support").isNull()
+    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("callers"), F.lit(1).alias("dependencies")), F.struct(F.when(called, F.col("dst")).alias("id"), F.lit(1).alias("callers"), F.lit(0).alias("dependencies")))
+    counts = kept.select(F.explode(ends).alias("e")).select("e.*").filter("id IS NOT NULL").groupBy("id").agg(F.sum("callers").alias("callers"), F.sum("dependencies").alias("dependencies"))
+    return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("callers", F.lit(0).cast("long")).alias("callers"), F.coalesce("dependencies", F.lit(0).cast("long")).alias("dependencies"))
 
 
 def role_score(roles: Column) -> Column:
-    weight = F.coalesce(*(F.when(F.lit(False), 0),), F.lit(0))
+    weight = F.lit(0)
     for role, w in ROLE_WEIGHTS.items():
         weight = weight + F.when(F.array_contains(roles, role), w).otherwise(0)
     return weight
@@ -95,26 +103,38 @@ def overview(nodes: DataFrame, k: int = 8) -> DataFrame:
 
 
 def neighbours(edges: DataFrame) -> DataFrame:
-    """id, target, relationship, edge_ord: what is near each node, outgoing before incoming, each in edge order."""
-    kinds = list(PRIORITY)
-    out = edges.filter(F.col("kind").isin(kinds)).select(F.col("src").alias("id"), F.col("dst").alias("target"), F.col("kind").alias("relationship"), F.struct(F.lit(0).alias("side"), F.col("kind").alias("kind"), F.col("dst").alias("other")).alias("seen"))
-    back = edges.filter(F.col("kind").isin("calls", "tested-by")).select(F.col("dst").alias("id"), F.col("src").alias("target"), F.when(F.col("kind") == "calls", "called-by").otherwise("tests").alias("relationship"), F.struct(F.lit(1).alias("side"), F.col("src").alias("kind"), F.col("kind").alias("other")).alias("seen"))
+    """id, target, relationship: what is near each node, along and against edges."""
+    out = edges.filter(F.col("kind").isin(list(PRIORITY))).select(F.col("src").alias("id"), F.col("dst").alias("target"), F.col("kind").alias("relationship"))
+    back = edges.filter(F.col("kind").isin("calls", "tested-by")).select(F.col("dst").alias("id"), F.col("src").alias("target"), F.when(F.col("kind") == "calls", "called-by").otherwise("tests").alias("relationship"))
     return out.unionByName(back).filter("id <> target")
 
 
-def read_next(nodes: DataFrame, edges: DataFrame, k: int = 12) -> DataFrame:
-    """id, rank, target, relationship, score: the ``k`` nearest neighbours of each node.
+def read_next(nodes: DataFrame, edges: DataFrame, k: int = 12, of: DataFrame | None = None) -> DataFrame:
+    """id, rank, target, relationship, score: the ``k`` nearest neighbours of each node, or of those that ``of`` (id) names.
 
     A target that is near in two ways keeps the one met first in edge order; then
     nearness, score and id order them.
     """
-    once = first_wins(neighbours(edges), ["id", "target"], ["seen"])
+    near = neighbours(edges)
+    if of is not None:
+        near = near.join(of.select(F.col("id").alias("wanted")), F.col("id") == F.col("wanted"), "left_semi")
+    first = F.min(order_of(F.col("relationship"))).alias("first")
+    once = near.groupBy("id", "target").agg(first).select("id", "target", F.element_at(F.array(*map(F.lit, MET)), F.col("first")).alias("relationship"))
     scores = nodes.select(F.col("id").alias("t_id"), "score")
     priority = F.element_at(F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv)), F.col("relationship"))
     joined = once.join(scores, once["target"] == scores["t_id"]).withColumn("priority", priority)
     return top_k(joined, ["id"], [F.col("priority"), F.col("score").desc(), F.col("target")], k, "rank").select("id", "rank", "target", "relationship", "score")
 
 
+#: Relationships in the order in which edges between the same two nodes are met: outgoing by kind, then incoming.
+MET = ("calls", "contains", "imports", "local-module-source", "route-to-handler", "tested-by", "called-by", "tests")
+
+
+def order_of(relationship: Column) -> Column:
+    """Place in MET, from 1: a number, which aggregates in place where a name would be sorted."""
+    return F.array_position(F.array(*map(F.lit, MET)), relationship).cast("int")
+
+
 def orient(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, incoming, outgoing, next: how much there is around each node."""
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("outgoing"))

@@ -2,52 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .graph import FOLLOWED, rank_order, ranked, read_next
-from .relational import first_wins, top_k, top_overall, union_all
+from .relational import top_k, top_overall, union_all
 
 STOPS = 16
 
 
-def breadth_first(starts: DataFrame, steps: DataFrame, nodes: DataFrame, most: int = STOPS) -> DataFrame:
-    """stop_no, id, depth: first-in first-out order from ``starts`` (id, rank) along ``steps`` (id, target, rank).
+def breadth_first(starts: DataFrame, steps: DataFrame | Callable[[DataFrame], DataFrame], nodes: DataFrame, most: int = STOPS) -> DataFrame:
+    """stop_no, id, depth: first-in first-out order from ``starts`` (id, rank) along ``steps`` (id, target, rank), or what ``steps`` gives for a level's ids.
 
-    Level by level: a level's order is that of the parents, then of the steps.
-    Nodes that are no stops are walked through but not counted. Every level joins
-    only the level before, and the walk ends when ``most`` stops are found, so
-    what is kept is bounded by ``most`` and one level's reach.
+    Level by level: a node's spot is the list of ranks on its way, and a level's
+    order is that of the lists. Nodes that are no stops are walked through but not
+    counted, so no level is cut. Levels are written tables; only stops, at most
+    ``most``, reach the driver, and the walk ends when they are found.
     """
-    stops = nodes.filter(F.col("is_unit") & (F.col("language") != "document")).select(F.col("id").alias("stop"))
     spark = nodes.sparkSession
-    level = top_overall(starts.select("id", "rank"), [F.col("rank"), F.col("id")], 10_000, "ord").select("id", "ord").withColumn("depth", F.lit(0))
-    seen: list = []
-    known: set[str] = set()
-    found = 0
-    while True:
-        rows = level.join(F.broadcast(stops.join(level.select("id"), stops["stop"] == level["id"], "left_semi")), F.col("id") == F.col("stop"), "left").orderBy("ord").collect()  # one level
-        fresh = [r for r in rows if r["id"] not in known]
-        for r in fresh:
-            if r["id"] in known:
-                continue
-            known.add(r["id"])
-            if r["stop"] is not None and found < most:
-                found += 1
-                seen.append((found, r["id"], int(r["depth"])))
-        if found >= most or not fresh:
+    stops = nodes.filter(F.col("is_unit") & (F.col("language") != "document")).select(F.col("id").alias("stop"))
+    level = stage(starts.groupBy("id").agg(F.min(F.array(F.col("rank").cast("long"))).alias("spot")), "level")
+    seen, found = level.select("id"), []
+    for depth in count():
+        here = top_overall(level.join(stops, F.col("id") == F.col("stop"), "left_semi"), [F.col("spot"), F.col("id")], most - len(found), "n")
+        found += [(len(found) + r["n"], r["id"], depth) for r in here.select("n", "id").collect()]
+        if len(found) >= most:
+            break
+        near = steps(level.select("id")) if callable(steps) else steps
+        near = near.select(F.col("id").alias("parent"), "target", F.col("rank").cast("long").alias("rank"))
+        nexts = level.join(near, F.col("id") == F.col("parent")).select(F.col("target").alias("id"), F.concat("spot", F.array("rank")).alias("spot"))
+        nexts = nexts.join(seen.select(F.col("id").alias("old")), F.col("id") == F.col("old"), "left_anti")
+        level = stage(nexts.groupBy("id").agg(F.min("spot").alias("spot")), "level")
+        if level.isEmpty():
             break
-        here = spark.createDataFrame([(r["id"], int(r["ord"]), int(r["depth"])) for r in fresh], "parent string, parent_ord long, depth int")
-        nexts = F.broadcast(here).join(steps, F.col("parent") == F.col("id")).select(F.col("target").alias("id"), F.struct("parent_ord", "rank").alias("spot"), (F.col("depth") + 1).alias("depth"))
-        nexts = first_wins(nexts, ["id"], ["spot"])
-        # Enough for the stops left, as all but known nodes among these are new.
-        level = top_overall(nexts, [F.col("spot"), F.col("id")], most + len(known), "ord").select("id", "ord", "depth")
-    return spark.createDataFrame(seen, "stop_no int, id string, depth int")
+        seen = seen.unionByName(level.select("id"))
+    return spark.createDataFrame(found, "stop_no int, id string, depth int")
 
 
-def followed_steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, target, rank: the neighbours a tour goes on to, of the twelve that are nearest."""
-    return read_next(nodes, edges).filter(F.col("relationship").isin(*FOLLOWED)).select("id", "target", "rank")
+def followed_steps(nodes: DataFrame, edges: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """For a level's ids: id, target, rank, the neighbours a tour goes on to, of the twelve that are nearest."""
+    return lambda of: read_next(nodes, edges, of=of).filter(F.col("relationship").isin(*FOLLOWED)).select("id", "target", "rank")
+
+
+def ranks(units: DataFrame) -> DataFrame:
+    """id, rank: all ``units`` in order of rank, numbered without gaps; ranges are sorted apart and counted, so no task sees them all."""
+    placed = units.select(F.struct(*(c.alias(f"k{n}") for n, c in enumerate((-F.col("score"), F.col("path"), F.col("start"), F.col("id"))))).alias("key"), "id")
+    runs = stage(placed.repartitionByRange("key").sortWithinPartitions("key").withColumn("row", F.monotonically_increasing_id()), "runs")
+    runs = runs.withColumn("part", F.shiftright("row", 33)).withColumn("at", F.col("row").bitwiseAND((1 << 33) - 1))
+    sizes = runs.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select(F.col("part").alias("p"), (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # one row a range
+    return runs.join(F.broadcast(before), F.col("part") == F.col("p")).select("id", (F.col("before") + F.col("at") + 1).alias("rank"))
 
 
 def architecture(nodes: DataFrame, edges: DataFrame, most: int = STOPS, fill: bool = True) -> DataFrame:
@@ -60,7 +68,7 @@ def architecture(nodes: DataFrame, edges: DataFrame, most: int = STOPS, fill: bo
     entries = units.filter(F.array_contains("roles", "entry point"))
     if fill and entries.isEmpty():
         entries = units.orderBy(*rank_order()).limit(1)
-    starts = top_overall(entries, rank_order(), 10_000, "rank").select("id", "rank")
+    starts = ranks(entries)
     walked = breadth_first(starts, followed_steps(nodes, edges), nodes, most).select(F.lit(0).alias("part"), F.col("stop_no").alias("ord"), "id")
     if fill:
         rest = top_overall(units.filter(~F.array_contains("roles", "test support")), rank_order(), 2 * most, "ord")
@@ -70,7 +78,7 @@ def architecture(nodes: DataFrame, edges: DataFrame, most: int = STOPS, fill: bo
 
 def numbered_stops(rows: DataFrame, most: int = STOPS) -> DataFrame:
     """stop_no, id: each id once, at its first spot, the first ``most``."""
-    once = first_wins(rows.select("id", "spot"), ["id"], ["spot"])
+    once = rows.groupBy("id").agg(F.min("spot").alias("spot"))
     return top_overall(once, [F.col("spot"), F.col("id")], most, "stop_no").select("stop_no", "id")
 
 
@@ -84,16 +92,19 @@ def state(nodes: DataFrame, most: int = STOPS) -> DataFrame:
 
 
 def testing(nodes: DataFrame, edges: DataFrame, most: int = STOPS) -> DataFrame:
-    """Units and the tests that call them in turn, by rank; then declared tests."""
+    """Units and the tests that call them in turn, by rank; then declared tests.
+
+    Many pairs of a unit and a test share one of them, so each stop is first
+    reduced to its earliest spot, and only then are the first taken.
+    """
     units = ranked(nodes)
     place = F.struct((-F.col("score")).alias("s"), F.col("path").alias("p"), F.col("start").alias("l"), F.col("id").alias("i"))
     tested = edges.filter("kind = 'tested-by'").join(units.select(F.col("id").alias("src"), place.alias("place")), "src")
-    # Only the first rows by place can be among the stops.
-    tested = tested.orderBy("place", "dst").limit(2 * most)
-    stop = nodes.filter(F.col("is_unit") & (F.col("language") != "document")).select(F.col("id").alias("ok"))
-    first = tested.select(F.col("src").alias("id"), F.struct(F.lit(0).alias("part"), "place", F.col("dst").alias("d"), F.lit(0).alias("n")).alias("spot"))
-    second = tested.select(F.col("dst").alias("id"), F.struct(F.lit(0).alias("part"), "place", F.col("dst").alias("d"), F.lit(1).alias("n")).alias("spot")).join(stop, F.col("id") == F.col("ok"), "left_semi")
-    declared = units.filter(F.array_contains("roles", "test")).orderBy(*rank_order()).limit(2 * most).select("id", F.struct(F.lit(1).alias("part"), place.alias("place"), F.lit("").alias("d"), F.lit(0).alias("n")).alias("spot"))
+    stop = units.select(F.col("id").alias("ok"))
+    spot = lambda n: F.struct(F.lit(0).alias("part"), "place", F.col("dst").alias("d"), F.lit(n).alias("n")).alias("spot")
+    first = tested.select(F.col("src").alias("id"), spot(0))
+    second = tested.select(F.col("dst").alias("id"), spot(1)).join(stop, F.col("id") == F.col("ok"), "left_semi")
+    declared = units.filter(F.array_contains("roles", "test")).select("id", F.struct(F.lit(1).alias("part"), place.alias("place"), F.lit("").alias("d"), F.lit(0).alias("n")).alias("spot"))
     return numbered_stops(union_all([first, second, declared]), most)
 
 

@@ -45,8 +45,7 @@ def change_id(node_id: Column, status: Column, before: Column, after: Column) ->
 
 def generated(path: Column, source: Column) -> Column:
     """Whether a marker line stands before the package clause."""
-    head = F.when(source.rlike(r"(?m)^package "), F.regexp_extract(source, r"(?s)\A(.*?)^package ", 1)).otherwise(source)
-    head = F.when(source.rlike(r"(?m)^package "), F.element_at(F.split(source, r"(?m)^package ", 2), 1)).otherwise(head)
+    head = F.element_at(F.split(source, r"(?m)^package ", 2), 1)
     return path.endswith(".go") & head.rlike(r"(?m)^// Code generated .* DO NOT EDIT\.$")
 
 

@@ -120,15 +120,15 @@ def graph_nodes(spark, d):
 
 @query(f"WITH {GRAPH_SQL} SELECT src, dst, kind, ord FROM edges")
 def graph_edges(spark, d):
-    return graph.add_edges(tables.raw_edges(spark, d), tables.raw_nodes(spark, d)).select("src", "dst", "kind", "ord")
+    return tables.edges_of(spark, d).select("src", "dst", "kind", "ord")
 
 
-@query("""WITH u AS (SELECT doc_id, 'd' || doc_id AS id, unnest([lang || '/' || source, 'de/src' || (doc_id % 7)]) AS link FROM documents), t AS (SELECT 'd' || doc_id AS dst, lang || '/' || source AS dir FROM documents WHERE doc_id % 10 = 0)
+@query("""WITH u AS (SELECT doc_id, 'd' || doc_id AS id, unnest([lang || '/' || source, 'de/src' || (doc_id % 7)]) AS link FROM documents), t AS (SELECT 'd' || doc_id AS dst, lang || '/' || source AS dir FROM documents WHERE lang = 'de')
     SELECT DISTINCT u.id AS src, t.dst FROM u JOIN t ON t.dir = u.link""")
 def module_links(spark, d):
     docs = table(spark, d, "documents")
     ident, folder = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat_ws("/", "lang", "source")
-    return graph.module_links(docs.select(ident, F.array(folder, F.concat(F.lit("de/src"), (F.col("doc_id") % 7).cast("string"))).alias("links")), docs.filter("doc_id % 10 = 0").select(ident, folder.alias("dir")))
+    return graph.module_links(docs.select(ident, F.array(folder, F.concat(F.lit("de/src"), (F.col("doc_id") % 7).cast("string"))).alias("links")), docs.filter("lang = 'de'").select(ident, folder.alias("dir")))
 
 
 @query(f"""WITH {LINES_SQL}, r AS (SELECT path, 'u' || line AS unit, line AS start, line + 2 AS "end", line AS ord FROM lines WHERE line % 4 = 1 AND length(text) > 40)
@@ -185,9 +185,7 @@ def orient(spark, d):
 def tour_bfs(spark, d):
     nodes, edges = tables.graph_of(spark, d)
     starts = graph.ranked(nodes).filter(F.array_contains("roles", "entry point"))
-    from ..operators.relational import top_overall
-
-    return navigation.breadth_first(top_overall(starts, graph.rank_order(), 10_000, "rank").select("id", "rank"), navigation.followed_steps(nodes, edges), nodes)
+    return navigation.breadth_first(navigation.ranks(starts), navigation.followed_steps(nodes, edges), nodes)
 
 
 @query()
@@ -264,12 +262,12 @@ ITEMS_SQL = f"""{GRAPH_SQL}, items AS (
 
 @query(f"WITH {ITEMS_SQL} SELECT node, row_number() OVER (PARTITION BY node ORDER BY provider_ord, ord) AS rank, provider_ord, ord, path FROM items WHERE path IS NULL OR path IN (SELECT path FROM raw_nodes) QUALIFY rank <= 24")
 def collect_evidence(spark, d):
-    nodes, edges = tables.graph_of(spark, d)
+    edges = tables.edges_of(spark, d)
     none = F.lit(None).cast("string").alias("path")
     structure = edges.filter(F.col("kind").isin("tested-by", "local-module-source", "route-to-handler")).select(F.col("src").alias("node"), F.lit(0).alias("provider_ord"), F.concat("kind", F.lit(":"), "dst").alias("ord"), none)
     documents = table(spark, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("node"), F.lit(1).alias("provider_ord"), F.lit("doc").alias("ord"), F.concat(F.lit("orders/"), "o_orderpriority").alias("path"))
     history = table(spark, d, "events").select(F.concat(F.lit("c:"), F.col("user_id").cast("string")).alias("node"), F.lit(2).alias("provider_ord"), F.col("event_id").cast("string").alias("ord"), F.when(F.col("event_id") % 3 == 0, "nowhere").otherwise(F.concat(F.lit("customer/"), (F.col("user_id") % 25).cast("string"))).alias("path"))
-    found = evidence.collect_evidence(structure.unionByName(documents).unionByName(history), nodes.select("path").distinct())
+    found = evidence.collect_evidence(structure.unionByName(documents).unionByName(history), tables.raw_nodes(spark, d).select("path").distinct())
     return found.select("node", "rank", "provider_ord", "ord", "path")
 
 
@@ -399,32 +397,11 @@ def whitespace_only(spark, d):
     return table(spark, d, "documents").select("doc_id", text.whitespace_only(t, other).alias("whitespace_only"))
 
 
-SCORES_SQL = f"""{LINES_SQL}, l AS (SELECT DISTINCT doc_id, unnest(string_split(source, chr(10))) AS text FROM files WHERE doc_id % 2 >= 0), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
-    rare AS (SELECT text FROM l GROUP BY text HAVING count(*) BETWEEN 2 AND 20),
-    s AS (SELECT a.doc_id AS old, b.doc_id AS new, count(*) AS common FROM l a JOIN l b ON a.text = b.text WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.text IN (SELECT text FROM rare) GROUP BY a.doc_id, b.doc_id),
+SCORES_SQL = f"""{LINES_SQL}, l AS (SELECT DISTINCT doc_id, unnest(string_split(source, chr(10))) AS text FROM files), n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+    s AS (SELECT a.doc_id AS old, b.doc_id AS new, count(*) AS common FROM l a JOIN l b ON a.text = b.text WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY a.doc_id, b.doc_id),
     scores AS (SELECT old, new, round(2.0 * common / (x.n + y.n), 6) AS score FROM s JOIN n x ON x.doc_id = old JOIN n y ON y.doc_id = new)"""
 
 
-def shared_line_scores(spark, d):
-    """old, new, score: twice the shared lines over all, of even and odd documents that share a line that at most twenty hold."""
-    lines = tables.files(spark, d).select("doc_id", F.explode(F.array_distinct(F.split("source", "\n", -1))).alias("text"))
-    n = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    rare = lines.groupBy("text").agg(F.count(F.lit(1)).alias("holders")).filter("holders BETWEEN 2 AND 20").select("text")
-    few = lines.join(rare, "text", "left_semi")
-    old, new = few.filter("doc_id % 2 = 0").select("text", F.col("doc_id").alias("old")), few.filter("doc_id % 2 = 1").select("text", F.col("doc_id").alias("new"))
-    common = old.join(new, "text").groupBy("old", "new").agg(F.count(F.lit(1)).alias("common"))
-    sized = common.join(n.select(F.col("doc_id").alias("old"), F.col("n").alias("a")), "old").join(n.select(F.col("doc_id").alias("new"), F.col("n").alias("b")), "new")
-    return sized.select("old", "new", F.round(2.0 * F.col("common") / (F.col("a") + F.col("b")), 6).alias("score"))
-
-
-@query(f"""WITH {SCORES_SQL},
-    f AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY score DESC) AS n, lead(score) OVER (PARTITION BY old ORDER BY score DESC) AS second FROM scores),
-    b AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY score DESC) AS n, lead(score) OVER (PARTITION BY new ORDER BY score DESC) AS second FROM scores)
-    SELECT f.old, f.new, f.score FROM f JOIN b ON f.old = b.old AND f.new = b.new WHERE f.n = 1 AND b.n = 1 AND f.score >= 0.5 AND f.score > coalesce(f.second, 0) AND b.score > coalesce(b.second, 0)""")
-def mutual_best(spark, d):
-    return review.mutual_best(shared_line_scores(spark, d), 0.5)
-
-
 def line_matches(files, least):
     """old, new, score: even and odd documents that are each other's only best by all distinct lines, at ``least`` or more.
 
@@ -457,6 +434,14 @@ def line_matches(files, least):
     return best.join(old, "old").join(new, "new").select(F.col("old_id").alias("old"), F.col("new_id").alias("new"), "score")
 
 
+@query(f"""WITH {SCORES_SQL},
+    f AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY score DESC) AS n, lead(score) OVER (PARTITION BY old ORDER BY score DESC) AS second FROM scores),
+    b AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY score DESC) AS n, lead(score) OVER (PARTITION BY new ORDER BY score DESC) AS second FROM scores)
+    SELECT f.old, f.new, f.score FROM f JOIN b ON f.old = b.old AND f.new = b.new WHERE f.n = 1 AND b.n = 1 AND f.score >= 0.5 AND f.score > coalesce(f.second, 0) AND b.score > coalesce(b.second, 0)""")
+def mutual_best(spark, d):
+    return line_matches(tables.files(spark, d), 0.5)
+
+
 def _near_pairs(spark, d):
     """Pairs of documents that are each other's only best by their lines: old, new, before, after."""
     docs = tables.files(spark, d)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..operators.relational import union_all
+from ..staging import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +60,14 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Scored nodes and edges."""
+    """Scored nodes and edges, each built once and written: what asks for neighbours reads them several times."""
     nodes = graph.with_roles(graph.add_nodes(raw_nodes(spark, d)), raw_roles(spark, d))
-    edges = graph.add_edges(raw_edges(spark, d), nodes)
-    return graph.scored(nodes, edges), edges
+    edges = stage(edges_of(spark, d), "edges", "lz4")
+    return stage(graph.scored(nodes, edges), "nodes", "lz4"), edges
+
+
+def edges_of(spark: SparkSession, d: str) -> DataFrame:
+    return graph.add_edges(raw_edges(spark, d), raw_nodes(spark, d))
 
 
 GRAPH_SQL = """
