@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import bounded
 from .relational import first_wins, top_k, top_overall, union_all
 
 #: Weights of roles, the order they are told in, and what they are told as.
@@ -35,7 +36,7 @@ def add_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         once = first_wins(edges, ["src", "dst", "kind"], ["ord"])
     else:
         once = edges.groupBy("src", "dst", "kind").agg(F.min("ord").alias("ord"))
-    ids = nodes.select(F.col("id").alias("known"))
+    ids = bounded(nodes.select(F.col("id").alias("known")))
     return once.join(ids, F.col("src") == F.col("known"), "left_semi").join(ids, F.col("dst") == F.col("known"), "left_semi")
 
 
@@ -45,14 +46,21 @@ def with_roles(nodes: DataFrame, roles: DataFrame) -> DataFrame:
     return nodes.join(gathered, nodes["id"] == gathered["r_id"], "left").withColumn("roles", F.coalesce("roles", F.array().cast("array<string>"))).drop("r_id")
 
 
-def connection_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, callers (outside tests), dependencies: one pass over the edges, each counted at both ends."""
-    support = nodes.filter(F.array_contains("roles", "test support")).select(F.col("id").alias("support"))
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes with callers (outside tests) and dependencies: one pass over the edges, each counted at both ends."""
+    support = bounded(nodes.filter(F.array_contains("roles", "test support")).select(F.col("id").alias("support")))
     kept = edges.filter(F.col("kind").isin("calls", "local-module-source")).join(support, F.col("src") == F.col("support"), "left")
     called = (F.col("kind") == "calls") & F.col("support").isNull()
-    ends = F.array(F.struct(F.col("src").alias("id"), F.lit(0).alias("callers"), F.lit(1).alias("dependencies")), F.struct(F.when(called, F.col("dst")).alias("id"), F.lit(1).alias("callers"), F.lit(0).alias("dependencies")))
-    counts = kept.select(F.explode(ends).alias("e")).select("e.*").filter("id IS NOT NULL").groupBy("id").agg(F.sum("callers").alias("callers"), F.sum("dependencies").alias("dependencies"))
-    return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("callers", F.lit(0).cast("long")).alias("callers"), F.coalesce("dependencies", F.lit(0).cast("long")).alias("dependencies"))
+    end = lambda node, callers, dependencies: F.struct(node.alias("end"), F.lit(callers).alias("callers"), F.lit(dependencies).alias("dependencies"))
+    each = kept.select(F.explode(F.array(end(F.col("src"), 0, 1), end(F.when(called, F.col("dst")), 1, 0))).alias("e")).select("e.*").filter("end IS NOT NULL")
+    counts = each.groupBy("end").agg(F.sum("callers").alias("callers"), F.sum("dependencies").alias("dependencies"))
+    zero = F.lit(0).cast("long")
+    return nodes.join(counts, F.col("id") == F.col("end"), "left").drop("end").withColumn("callers", F.coalesce("callers", zero)).withColumn("dependencies", F.coalesce("dependencies", zero))
+
+
+def connection_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, callers (outside tests), dependencies."""
+    return connected(nodes, edges).select("id", "callers", "dependencies")
 
 
 def role_score(roles: Column) -> Column:
@@ -64,7 +72,6 @@ def role_score(roles: Column) -> Column:
 
 def scored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes with callers, dependencies, score and reasons; files and packages score 0 and have no reasons."""
-    counts = connection_counts(nodes, edges)
     unit = F.col("is_unit")
     score = role_score(F.col("roles")) + 4 * F.least("callers", F.lit(10)) + 2 * F.least("dependencies", F.lit(10))
     told = F.transform(F.filter(F.array_sort("roles"), lambda r: r.isin(*ROLE_WEIGHTS)), _reason)
@@ -74,8 +81,7 @@ def scored(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(F.col("dependencies") > 0, F.array(F.concat(F.col("dependencies").cast("string"), F.lit(" local dependencies")))).otherwise(F.array().cast("array<string>")),
     )
     told = F.when(F.size(told) == 0, F.array(F.lit(NO_REASON))).otherwise(told)
-    joined = nodes.join(counts, "id")
-    return joined.withColumn("score", F.when(unit, score).otherwise(0).cast("long")).withColumn("reasons", F.when(unit, told).otherwise(F.array().cast("array<string>")))
+    return connected(nodes, edges).withColumn("score", F.when(unit, score).otherwise(0).cast("long")).withColumn("reasons", F.when(unit, told).otherwise(F.array().cast("array<string>")))
 
 
 def _reason(role: Column) -> Column:

@@ -61,9 +61,9 @@ def raw_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Scored nodes and edges, each built once and written: what asks for neighbours reads them several times."""
-    nodes = graph.with_roles(graph.add_nodes(raw_nodes(spark, d)), raw_roles(spark, d))
-    edges = stage(edges_of(spark, d), "edges", "lz4")
-    return stage(graph.scored(nodes, edges), "nodes", "lz4"), edges
+    nodes = stage(graph.with_roles(graph.add_nodes(raw_nodes(spark, d)), raw_roles(spark, d)), "nodes", "lz4")
+    edges = stage(graph.add_edges(raw_edges(spark, d), nodes), "edges", "lz4")
+    return stage(graph.scored(nodes, edges), "scored", "lz4"), edges
 
 
 def edges_of(spark: SparkSession, d: str) -> DataFrame:

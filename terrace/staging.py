@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of rows, at most, that Spark sends to a Python worker at once; a longer row is sent alone.
 BATCH_BYTES = 8_000_000
@@ -49,6 +50,15 @@ def unstage(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Rows of one short key each, at most, that a join may send to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` of short rows, marked for broadcast if it is counted to have at most ``most``. Otherwise a join shuffles as usual."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def modest_batches(spark: SparkSession) -> None:
     """Bound the batches that Python workers get by bytes, where the session has Spark's larger bound."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
