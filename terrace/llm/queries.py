@@ -34,8 +34,8 @@ def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document without the lines of runs of two lines or more that stand in an earlier place, as the SQL has it."""
-    return linedup.drop_repeated_runs(table(spark, sf_dir, "documents"), words=None).select("doc_id", "n_lines", "n_deleted", "text")
+    """Each document without the lines of runs of two lines or more, and the single lines of 50 words or more, that stand in an earlier place."""
+    return linedup.drop_repeated_runs(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "text")
 
 
 def op3_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +105,11 @@ ORACLE_SQL: dict[str, str] = {
             SELECT doc_id, n, line, lead(line) OVER (PARTITION BY doc_id ORDER BY n) AS next FROM l),
         f AS (
             SELECT doc_id, n, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, n) AS copy FROM w WHERE next IS NOT NULL),
+        s AS (
+            SELECT doc_id, n, row_number() OVER (PARTITION BY line ORDER BY doc_id, n) AS copy FROM l WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50),
         gone AS (
-            SELECT DISTINCT doc_id, n + o AS n FROM f, (VALUES (0), (1)) AS v(o) WHERE copy > 1)
+            SELECT doc_id, n + o AS n FROM f, (VALUES (0), (1)) AS v(o) WHERE copy > 1
+            UNION SELECT doc_id, n FROM s WHERE copy > 1)
         SELECT l.doc_id, count(*) AS n_lines, count(gone.n) AS n_deleted, coalesce(string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE gone.n IS NULL), '') AS text
         FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.n = gone.n
         GROUP BY l.doc_id""",
