@@ -61,6 +61,40 @@ def test_breadth_first(spark):
     assert navigation.breadth_first(spark.createDataFrame([("a", 1)], "id string, rank int"), steps, nodes, 2).count() == 2
 
 
+def test_breadth_first_walks_through_any_number_of_nodes_that_are_no_stops(spark):
+    """A level of files alone is not cut, and its order decides that of the stops behind it."""
+    nodes = spark.createDataFrame([("s", "s", "p", "go", 1, True, [], 0), ("t", "t", "p", "go", 1, True, [], 0)] + [(f"f{n}", "f", "p", "go", 1, False, [], 0) for n in range(60)] + [(f"u{n}", "u", "p", "go", 1, True, [], 0) for n in range(60)], NODES)
+    steps = [("s", f"f{n}", n + 1) for n in range(60)] + [(f"f{n}", f"u{59 - n}", 1) for n in range(60)] + [("t", "u30", 1)]
+    got = navigation.breadth_first(spark.createDataFrame([("s", 1), ("t", 2)], "id string, rank int"), spark.createDataFrame(steps, "id string, target string, rank int"), nodes).collect()
+    assert [r.id for r in got] == ["s", "t", "u30"] + [f"u{59 - n}" for n in range(13)]
+
+
+def test_testing_tour_when_pairs_share_tests(spark):
+    """Forty units share a test; the stops are units in order of rank, the test after the first of them."""
+    nodes = spark.createDataFrame([(f"u{n:02}", "u", "p", "go", n, True, [], 100 - n) for n in range(40)] + [("test", "t", "q", "go", 1, True, ["test"], 0), ("far", "t", "q", "go", 2, True, ["test"], 0)], NODES)
+    edges = spark.createDataFrame([(f"u{n:02}", "test", "tested-by", 0) for n in range(40)] + [("u39", "far", "tested-by", 0)], "src string, dst string, kind string, ord int")
+    got = navigation.testing(nodes, edges).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.stop_no)] == ["u00", "test", *(f"u{n:02}" for n in range(1, 15))]
+
+
+def test_ranks_are_gapless_over_ranges(spark):
+    nodes = spark.createDataFrame([(f"n{n}", "n", f"p{n % 3}", "go", n % 5, True, [], n % 7) for n in range(200)], NODES).repartition(6)
+    want = [r.id for r in sorted(nodes.collect(), key=lambda r: (-r.score, r.path, r.start, r.id))]
+    assert [r.id for r in sorted(navigation.ranks(nodes).collect(), key=lambda r: r.rank)] == want
+    assert {r.rank for r in navigation.ranks(nodes).collect()} == set(range(1, 201))
+
+
+def test_equal_edges_fall_together_between_known_nodes(spark):
+    from terrace.operators import graph
+
+    nodes = spark.createDataFrame([("a",), ("b",)], "id string")
+    rows = [("a", "b", "calls", 2), ("a", "b", "calls", 1), ("a", "x", "calls", 0), ("x", "b", "calls", 0), ("a", "b", "imports", 5)]
+    edges = spark.createDataFrame(rows, "src string, dst string, kind string, ord int")
+    assert sorted(map(tuple, graph.add_edges(edges, nodes).collect())) == [("a", "b", "calls", 1), ("a", "b", "imports", 5)]
+    named = spark.createDataFrame([(*r, f"line {r[3]}") for r in rows], "src string, dst string, kind string, ord int, provenance string")
+    assert sorted((r.kind, r.provenance) for r in graph.add_edges(named, nodes).collect()) == [("calls", "line 1"), ("imports", "line 5")]
+
+
 def test_renames(spark):
     schema = "id string, status string, kind string, language string, name string, before_source string, after_source string"
     body = "x {{\n one\n two\n three\n}}"
