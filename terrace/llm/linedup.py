@@ -197,8 +197,8 @@ def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = LO
     out = but_first(summed.join(final, F.col("place") == F.col("rank")).select("interval", "row", "at"), docs, least)
     if words is None:
         return out
-    # A word is a run of what isn't ASCII white space.
-    long = F.transform(F.split("text", "\n", -1), lambda s: F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")) >= words)
+    # A word is a run of what isn't ASCII white space; shorter lines than this can't hold as many, and need no count.
+    long = F.transform(F.split("text", "\n", -1), lambda s: (F.length(s) >= 2 * words - 1) & (F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")) >= words))
     each = docs.select(F.col("row").alias("l_row"), F.posexplode(long).alias("l_at", "long")).filter("long")
     alone = levels[0].join(each, (F.col("row") == F.col("l_row")) & (F.col("at") == F.col("l_at"))).select(F.col("rank").alias("interval"), "row", "at")
     return out.unionByName(but_first(alone, docs, 1))
