@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import split_words
 from .relational import greedy_prefix, top_k, union_all
 
 #: How many items, and how facts are ordered by how far they can be relied on.
 MAX_ITEMS, MAX_DOCUMENTS, MAX_COMMITS, WINDOW_DAYS, MAX_DETAIL = 24, 6, 5, 90, 400
 RELIABILITY = ("role", "calls", "called-by", "tested-by", "history", "comment")
 FACT_LIMITS = {"calls": 8, "called-by": 8, "tested-by": 4}
+#: How far a fact can be relied on, the most first, and the kinds of facts in order.
+RELIABLE = ("current", "test", "dated-history", "comment-current", "comment-older-than-code", "comment-age-unknown")
+KINDS = ("role", "calls", "called-by", "uncommitted", "test-states", "commit", "comment")
+MAX_SUBTESTS = 6
+FACT = ("node", "kind", "n", "text", "reliability", "date", "other", "source")
 TOKEN_EDGE = r"[^\p{L}\p{Nd}_./-]+"
 
 
@@ -70,24 +76,69 @@ def brief_text(facts: DataFrame, limit: int) -> DataFrame:
     return facts.select("node").distinct().join(fits.select("node", text.alias("text")), "node", "left").select("node", F.coalesce("text", F.lit("[]")).alias("text"))
 
 
+def test_statement(name: Column, source: Column) -> Column:
+    """A test's name in words, and its first named subtests; a null source has none."""
+    words = split_words(F.regexp_replace(F.regexp_replace(name, r"^.* ", ""), "^Test", ""))
+    found = F.slice(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(r't\.Run\(\s*"([^"\\]{1,120})"'), F.lit(1)), 1, MAX_SUBTESTS)
+    return F.concat(words, F.when(F.size(found) > 0, F.concat(F.lit("; subtests: "), F.array_join(found, ", "))).otherwise(""))
+
+
+def fact(kind: Column | str, reliability: Column | str, **columns: Column) -> list[Column]:
+    """The columns of a fact; those that aren't given are empty, ``n`` is 1."""
+    given = {"kind": F.lit(kind), "reliability": F.lit(reliability), "n": F.lit(1), "node": F.col("node")} | columns
+    return [given.get(c, F.lit("")).cast("int" if c == "n" else "string").alias(c) for c in FACT]
+
+
+def rated(comment_ts: Column, code_ts: Column) -> Column:
+    """How far a comment can be relied on, by when it and the code below last changed."""
+    return F.when(comment_ts.isNull() | code_ts.isNull(), RELIABLE[5]).when(code_ts > comment_ts, RELIABLE[4]).otherwise(RELIABLE[3])
+
+
+def reading_brief(facts: DataFrame) -> DataFrame:
+    """facts with ``place``, from the most reliable on, within each node; texts are cut to their limit.
+
+    A node has few facts, each kind being cut before; an unknown reliability or kind comes last.
+    """
+    rank = lambda names, c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(0)), F.lit(len(names) + 1))
+    w = Window.partitionBy("node").orderBy(rank(RELIABLE, "reliability"), rank(KINDS, "kind"), "n", "text")
+    return facts.withColumn("text", F.substring("text", 1, MAX_DETAIL)).withColumn("place", F.row_number().over(w))
+
+
+def reading_text(facts: DataFrame, units: DataFrame, limit: int) -> DataFrame:
+    """node, text: unit, path and facts as JSON, without the least reliable facts, until the text fits into ``limit`` bytes; units: node, unit, path.
+
+    The text without facts is given even where it doesn't fit. Empty dates are left out.
+    """
+    row = F.to_json(F.struct("kind", "text", "reliability", F.nullif("date", F.lit("")).alias("date"), "source"))
+    head = F.to_json(F.struct("unit", "path"))
+    opened = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"facts":['))
+    w = Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    sized = facts.join(units.withColumn("head", head).select("node", opened.alias("opened")), "node").withColumn("row", row).withColumn("size", F.octet_length("opened") + 1 + F.sum(F.octet_length("row") + 1).over(w))
+    fits = sized.filter(F.col("size") <= limit).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "row"))).alias("rows"))
+    rows = F.coalesce(F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit(""))
+    return units.withColumn("head", head).join(fits, "node", "left").select("node", F.concat(opened, rows, F.lit("]}")).alias("text"))
+
+
 def nearest_line(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     """unit, line: of the lines with a unit's first line as text, the nearest to where it starts, the earlier of two; wanted: unit, path, text, start."""
     hits = wanted.join(lines, ["path", "text"])
     return hits.groupBy("unit").agg(F.min_by("line", F.struct(F.abs(F.col("line") - F.col("start")).alias("far"), "line")).alias("line"))
 
 
-def leading_comments(lines: DataFrame, units: DataFrame) -> DataFrame:
-    """unit, n_lines, text: the unbroken comment lines just above a unit; lines: path, line, text; units: unit, path, start.
-
-    Tool directives are left out and a shebang ends the comment.
-    """
+def comment_spans(lines: DataFrame, units: DataFrame) -> DataFrame:
+    """unit, path, from, to: where the unbroken comment lines just above a unit stand; a shebang ends them. lines: path, line, text; units: unit, path, start."""
     trimmed = F.trim(F.col("text"))
     is_comment = trimmed.rlike(r"^(//|#)") & ~trimmed.startswith("#!")
     w = Window.partitionBy("path").orderBy("line")
     marked = lines.withColumn("comment", is_comment).withColumn("last_code", F.max(F.when(~F.col("comment"), F.col("line"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     above = units.join(marked.select(F.col("path").alias("l_path"), F.col("line").alias("above"), "last_code"), (F.col("path") == F.col("l_path")) & (F.col("start") - 1 == F.col("above")))
-    spans = above.select("unit", "path", (F.coalesce("last_code", F.lit(0)) + 1).alias("from"), (F.col("start") - 1).alias("to")).filter(F.col("from") <= F.col("to"))
-    body = marked.select(F.col("path").alias("b_path"), F.col("line").alias("b_line"), trimmed.alias("b_text"))
+    return above.select("unit", "path", (F.coalesce("last_code", F.lit(0)) + 1).alias("from"), (F.col("start") - 1).alias("to")).filter(F.col("from") <= F.col("to"))
+
+
+def leading_comments(lines: DataFrame, units: DataFrame) -> DataFrame:
+    """unit, n_lines, text: the comment just above a unit, without tool directives; lines: path, line, text; units: unit, path, start."""
+    trimmed, spans = F.trim(F.col("text")), comment_spans(lines, units)
+    body = lines.select(F.col("path").alias("b_path"), F.col("line").alias("b_line"), trimmed.alias("b_text"))
     joined = spans.join(body, (F.col("path") == F.col("b_path")) & F.col("b_line").between(F.col("from"), F.col("to")))
     words = joined.filter(~F.col("b_text").rlike(r"^(//(go:|line )|// ?(nolint|lint:)|# ?(noqa|type:|pylint:|shellcheck ))"))
     return words.groupBy("unit").agg(F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b_line", "b_text"))), lambda x: F.trim(F.regexp_replace(x["b_text"], r"^(//+|#+)", ""))), " ").alias("text"))

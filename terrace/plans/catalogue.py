@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import diff, ignore, text
 from ..operators import evidence, graph, navigation, presentation, review, scan
-from ..operators.relational import greedy_prefix, top_k
+from ..operators.relational import greedy_prefix, top_k, union_all
 from ..staging import stage
 from . import tables
 from .tables import FILES_SQL, GRAPH_SQL, LINES_SQL, SNAPSHOTS_SQL, table
@@ -325,6 +325,25 @@ def brief_text(spark, d):
     return evidence.brief_text(evidence.brief(evidence.relation_facts(*tables.graph_of(spark, d))), 300)
 
 
+@query(f"""WITH {BRIEF_SQL}, told_facts AS (
+        SELECT node, CASE kind WHEN 'tested-by' THEN 'test-states' ELSE kind END AS kind, n, other AS text, CASE kind WHEN 'tested-by' THEN 'test' ELSE 'current' END AS reliability FROM facts
+        UNION ALL (SELECT 'c:' || user_id, 'commit', row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n, event_type, 'dated-history' FROM events QUALIFY n <= 5)
+        UNION ALL (SELECT 'c:' || user_id, 'comment', 1, 'view', CASE WHEN max(ts) FILTER (WHERE event_type <> 'view') IS NULL THEN 'comment-age-unknown' WHEN max(ts) FILTER (WHERE event_type <> 'view') > max(ts) FILTER (WHERE event_type = 'view') THEN 'comment-older-than-code' ELSE 'comment-current' END
+            FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'view') > 0))
+    SELECT node, kind, text, reliability, row_number() OVER (PARTITION BY node ORDER BY list_position(['current', 'test', 'dated-history', 'comment-current', 'comment-older-than-code', 'comment-age-unknown'], reliability),
+        list_position(['role', 'calls', 'called-by', 'uncommitted', 'test-states', 'commit', 'comment'], kind), n, text) AS place FROM told_facts""")
+def reading_brief(spark, d):
+    """Facts of every node, the events of a customer being its history and its views the comment."""
+    told, known = evidence.relation_facts(*tables.graph_of(spark, d)), F.col("kind")
+    relations = told.select(*evidence.fact(F.when(known == "tested-by", "test-states").otherwise(known), F.when(known == "tested-by", "test").otherwise("current"), n=F.col("n"), text=F.col("other"), other=F.col("other")))
+    events = table(spark, d, "events").withColumn("node", F.concat(F.lit("c:"), F.col("user_id").cast("string")))
+    newest = top_k(events.select("node", "ts", "event_id", "event_type"), ["node"], [F.col("ts").desc(), F.col("event_id")], evidence.MAX_COMMITS, "n")
+    commits = newest.select(*evidence.fact("commit", "dated-history", n=F.col("n"), text=F.col("event_type"), date=F.date_format("ts", "yyyy-MM-dd")))
+    ages = evidence.comment_age(events.select(F.col("node").alias("unit"), (F.col("event_type") == "view").alias("is_comment"), "ts")).withColumnRenamed("unit", "node")
+    comments = ages.select(*evidence.fact("comment", evidence.rated(F.col("comment_ts"), F.col("code_ts")), text=F.lit("view")))
+    return evidence.reading_brief(union_all([relations, commits, comments])).select("node", "kind", "text", "reliability", "place")
+
+
 # Review
 
 
@@ -509,7 +528,10 @@ def text_functions(spark, d):
     return table(spark, d, "part").select("p_partkey", text.split_words(F.lower("p_type")).alias("words"), text.short_name(F.col("p_name")).alias("short_name"), text.display_text(F.col("p_name"), 12).alias("shown"))
 
 
-@query()
+EDGE = r"[^\p{L}\p{Nd}_]"
+
+
+@query(rf"SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '(^|{EDGE})the($|{EDGE})', '\1THAT\2', 'g'), '(^|{EDGE})the($|{EDGE})', '\1THAT\2', 'g')) AS replaced_sha256 FROM documents")
 def replace_identifier(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.replace_identifier(F.col("text"), "the", "THAT"), 256).alias("replaced_sha256"))
 
