@@ -484,16 +484,6 @@ def rename_score(spark, d):
     return diff.score_table(_near_pairs(spark, d).withColumn("old_name", F.lit("func the")).withColumn("new_name", F.lit("func THE")))
 
 
-@query()
-def parse_units(spark, d):
-    """Documents as source files of every language, by the remainder of their id."""
-    from ..functions import parsers
-
-    names = F.array(*map(F.lit, ("a.py", "b.sh", "c.go", "d.tf", "e.yml", "f.md", "g.js")))
-    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), F.element_at(names, (F.col("doc_id") % 7 + 1).cast("int"))).alias("path"), F.concat(F.lit("def f():\n    pass\n\nclass C:\n    x = 1\n"), "text").alias("source"))
-    return parsers.parse_units(files).drop("links")
-
-
 SIGNALS_SQL = f"""{GRAPH_SQL}, ch AS (
         SELECT id, CASE WHEN start % 3 = 0 THEN 'removed' WHEN start % 3 = 1 THEN 'added' ELSE 'modified' END AS status FROM nodes WHERE is_unit AND start % 7 = 0),
     calls AS (SELECT dst AS id, 'unchanged-callers' AS signal, src AS other FROM edges JOIN ch ON ch.id = dst WHERE edges.kind = 'calls' AND ch.status <> 'added' AND src NOT IN (SELECT id FROM ch) AND src NOT IN (SELECT id FROM support)),
@@ -631,3 +621,6 @@ def visit_history(spark, d):
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rank FROM documents QUALIFY rank <= 4")
 def top_per_folder(spark, d):
     return top_k(table(spark, d, "documents").select("source", "doc_id", F.length("text").alias("size")), ["source"], [F.col("size").desc(), F.col("doc_id")], 4, "rank").drop("size")
+
+
+from . import told  # noqa: E402, F401  (adds its queries)
