@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, linedup, lz, packing, pii, setsketch, urls, warc
+from . import align, bpe, exact, langid, linedup, lz, packing, pii, setsketch, urls, warc
 from .common import table
 
 
@@ -85,9 +85,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two vocabularies in each document, and how common the links are."""
+    return align.scored(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_surrogates, op2_line_dedup, op3_bpe_chunks, op4_language_id, op5_warc_bundles, op6_exact_dedup, op7_lz_fingerprint, op8_setsketch, op9_url_filter, op10_packing)
+    for f in (op1_pii_surrogates, op2_line_dedup, op3_bpe_chunks, op4_language_id, op5_warc_bundles, op6_exact_dedup, op7_lz_fingerprint, op8_setsketch, op9_url_filter, op10_packing, op11_token_alignment)
 }
 
 ORACLE_SQL: dict[str, str] = {
