@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, slices, stage, unstage
@@ -185,6 +185,14 @@ def but_first(members: DataFrame, docs: DataFrame, lines: int) -> DataFrame:
     return joined.filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at"))).select("row", "at", F.lit(lines).alias("lines"), "copies")
 
 
+def word_count(s: Column) -> Column:
+    """Runs of what isn't ASCII white space in a line; where single blanks part them, that is told by the number of blanks."""
+    blanks = F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))
+    plain = ~(s.contains("  ") | s.contains("\t") | s.contains("\x0b") | s.contains("\f") | s.contains("\r"))
+    ends = s.startswith(" ").cast("int") + s.endswith(" ").cast("int")
+    return F.when(plain, blanks + 1 - ends).otherwise(F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")))
+
+
 def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = LONG_LINE) -> DataFrame:
     """row, at, lines, copies: starts of ``least`` lines, or of one line of ``words`` words, that stand earlier too, and how often they occur."""
     final, parted, levels = suffix_array(docs)
@@ -197,8 +205,7 @@ def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = LO
     out = but_first(summed.join(final, F.col("place") == F.col("rank")).select("interval", "row", "at"), docs, least)
     if words is None:
         return out
-    # A word is a run of what isn't ASCII white space; shorter lines than this can't hold as many, and need no count.
-    long = F.transform(F.split("text", "\n", -1), lambda s: (F.length(s) >= 2 * words - 1) & (F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")) >= words))
+    long = F.transform(F.split("text", "\n", -1), lambda s: (F.length(s) >= 2 * words - 1) & (word_count(s) >= words))  # shorter lines can't hold as many, and need no count
     each = docs.select(F.col("row").alias("l_row"), F.posexplode(long).alias("l_at", "long")).filter("long")
     alone = levels[0].join(each, (F.col("row") == F.col("l_row")) & (F.col("at") == F.col("l_at"))).select(F.col("rank").alias("interval"), "row", "at")
     return out.unionByName(but_first(alone, docs, 1))
@@ -211,6 +218,8 @@ def drop_repeated_runs(df: DataFrame, least: int = MIN_LINES, id_col: str = "doc
     is one empty line. A line is deleted when it belongs to ``least`` or more
     successive lines that stand earlier as well, or alone has ``words`` or more
     words (None: no line alone) and does, by document id (nulls last) and place; earlier places in the same document count, and the two may overlap.
+    Empty lines are lines like others, so a short line goes with an empty one beside
+    it where the pair repeats, and stays where it alone does.
     ``runs`` lists the deleted maximal runs (first line, from 0, number of lines,
     and how often their most frequent part occurs). Rows with the same id are in
     the order in which they were read. An empty table gives no rows; other columns

@@ -354,3 +354,10 @@ def test_pipeline_on_odd_tables(spark, sf_dir):
             assert left == sorted([7, 7, None, 8, 9, None], key=str)  # empty sets are linked with nothing
         elif name == "pii_surrogates":
             assert left == sorted((r[0] for r in rows), key=str)
+
+
+def test_word_count_of_lines(spark):
+    rng = random.Random(4)
+    lines = ["", " ", "  ", "a", " a", "a ", " a b ", "é  ü", "a\tb", "\x0b", "a\rb c", " x"] + ["".join(rng.choice("ab é\t\x0b\f\r  ") for _ in range(rng.randint(1, 30))) for _ in range(200)]
+    got = spark.createDataFrame([(s,) for s in lines], "s string").select("s", linedup.word_count(F.col("s")).alias("n")).collect()
+    assert all(r["n"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["s"])) for r in got)
