@@ -190,7 +190,7 @@ def word_count(s: Column) -> Column:
     blanks = F.octet_length(s) - F.octet_length(F.replace(s, F.lit(" "), F.lit("")))
     plain = ~(s.contains("  ") | s.contains("\t") | s.contains("\x0b") | s.contains("\f") | s.contains("\r"))
     ends = s.startswith(" ").cast("int") + s.endswith(" ").cast("int")
-    return F.when(plain, blanks + 1 - ends).otherwise(F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")))
+    return F.when(s == "", 0).when(plain, blanks + 1 - ends).otherwise(F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")))
 
 
 def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = LONG_LINE) -> DataFrame:
