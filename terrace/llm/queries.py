@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, exact, langid, linedup, lz, packing, pii, setsketch, urls, warc
+from . import align, ann, bpe, exact, langid, linedup, lz, negatives, packing, pii, setsketch, urls, warc
 from .common import table
 
 
@@ -90,9 +90,22 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.scored(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth row, with the label of every seventh row moved on."""
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth row."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_surrogates, op2_line_dedup, op3_bpe_chunks, op4_language_id, op5_warc_bundles, op6_exact_dedup, op7_lz_fingerprint, op8_setsketch, op9_url_filter, op10_packing, op11_token_alignment)
+    for f in (op1_pii_surrogates, op2_line_dedup, op3_bpe_chunks, op4_language_id, op5_warc_bundles, op6_exact_dedup, op7_lz_fingerprint, op8_setsketch, op9_url_filter, op10_packing, op11_token_alignment, op12_hard_negatives, op13_nearest)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -125,4 +138,19 @@ ORACLE_SQL: dict[str, str] = {
             SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
         SELECT p.page_id, p.payload_bytes, p.payload_digest, CASE WHEN f.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.first < p.page_id THEN f.first END AS refers_to
         FROM p LEFT JOIN f ON p.payload_bytes >= 100 AND p.payload_digest = f.payload_digest""",
+    "op12_hard_negatives": r"""
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS vec
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, CAST(list_dot_product(a.vec, c.vec) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+        p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+        FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score
+        WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+        QUALIFY row_number() OVER w <= 5""",
 }
