@@ -6,10 +6,6 @@ static sorted index; for each A token two bisections give the run of B tokens th
 it overlaps. A gap between two A tokens that no B token spans bounds a group, and
 every A token of a group is linked with every B token of it.
 
-Neither vocabulary merges across the place between a character that isn't white
-space and a following blank, so a text falls into segments there, and a worker
-aligns each distinct segment once (the store is bounded in bytes).
-
 What is counted over the corpus is the number of documents that hold a pair of
 ids linked. Frequent pairs are sent to every executor, up to a counted bound; the
 rest meets its counts in a shuffle, where no pair is hot any more.
@@ -18,11 +14,8 @@ rest meets its counts in a shuffle, where no pair is hot any more.
 from __future__ import annotations
 
 import hashlib
-import re
-from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, product
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import BROADCAST_ROWS, Store, kept_in_worker, slices, stage
+from .common import BROADCAST_ROWS, kept_in_worker, slices, stage
 
 #: Bits of a pair's code that hold the B id.
 B_BITS = 24
-#: Places where both vocabularies surely start a new token.
-SEGMENTS = re.compile(r"(?<=\S)(?= +\S)")
-#: Pairs of a group, at most, that are listed one by one; a larger group is counted by its distinct ids.
+#: Links of a group, at most, that are listed one by one; a larger group is counted by its distinct ids.
 LISTED = 4096
-#: Bytes, at most, of the segments kept in a worker.
-SEGMENT_BYTES = 48_000_000
-
-
-class Segment(tuple):
-    """n_a, n_b, n_groups, n_links, groups as text, codes of pairs, how often each is linked (both as 64-bit integers)."""
-
-    def __sizeof__(self) -> int:
-        return 300 + sum(map(len, self[4:]))
+NONE = np.zeros(0, np.int64)
 
 
 class PlainEncoder(bpe.Encoder):
@@ -59,7 +42,7 @@ class PlainEncoder(bpe.Encoder):
 
 
 class Aligner:
-    """Both vocabularies, the bytes of their tokens, and the segments met so far."""
+    """Both vocabularies and the bytes of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
@@ -69,53 +52,68 @@ class Aligner:
         byte_of = {c: b for b, c in bpe.byte_alphabet().items()}
         self.a_bytes = [bytes(map(byte_of.__getitem__, name)) if all(c in byte_of for c in name) else name.encode() for name in self.a.names]
         self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
-        self.segments = Store(self.segment, SEGMENT_BYTES)
-
-    def segment(self, text: str) -> Segment | None:
-        """The alignment of a text that starts with a blank; None where the tokens don't spell its bytes."""
-        a, b, raw = np.frombuffer(self.a.plain(text), "<u4").tolist(), self.b.encode(text[1:]), text.encode()
-        if "▁" in text or b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
-            return None
-        groups = list(grouped([len(self.a_bytes[i]) for i in a], [len(self.b_bytes[i]) for i in b]))
-        links, pairs, said = 0, Counter(), []
-        for a0, a1, b0, b1 in groups:
-            ids_a, ids_b = a[a0:a1], b[b0:b1]
-            links += len(ids_a) * len(ids_b)
-            said.append(f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}")
-            if len(ids_a) * len(ids_b) <= LISTED:
-                pairs.update(x << B_BITS | y for x, y in product(ids_a, ids_b))
-            else:
-                for (x, m), (y, n) in product(Counter(ids_a).items(), Counter(ids_b).items()):
-                    pairs[x << B_BITS | y] += m * n
-        return Segment((len(a), len(b), len(groups), links, ";".join(said), np.array(list(pairs), np.int64).tobytes(), np.array(list(pairs.values()), np.int64).tobytes()))
-
-    def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        self.a_size, self.b_size = (np.array([len(x) for x in of], np.int64) for of in (self.a_bytes, self.b_bytes))
+
+    @cached_property
+    def spelt(self) -> list[bytes]:
+        """Ids in decimal with what may follow them: A ids with a comma, then with a bar, B ids with a comma, then with a semicolon."""
+        return [b"%d%s" % (n, mark) for many, marks in ((len(self.a_bytes), (b",", b"|")), (len(self.b_bytes), (b",", b";"))) for mark in marks for n in range(many)]
+
+    def align(self, text: str | None) -> tuple[int, int, int, int, bytes, np.ndarray, np.ndarray]:
         """n_a, n_b, n_groups, n_links, groups as text, and each linked pair once with the number of its links."""
-        parts = [self.segments[s] for s in SEGMENTS.split(" " + text)] if text else []
-        if not parts or None in parts:
-            return 0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-        n_a, n_b, n_groups, n_links, groups, codes, times = zip(*parts)
-        code, n = np.frombuffer(b"".join(codes), np.int64), np.frombuffer(b"".join(times), np.int64)
-        order = np.argsort(code, kind="stable")
-        code, n = code[order], n[order]
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        return sum(n_a), sum(n_b), sum(n_groups), sum(n_links), ";".join(groups), code[first], np.add.reduceat(n, first)
-
-
-def grouped(a_sizes: list[int], b_sizes: list[int]) -> Iterator[tuple[int, int, int, int]]:
-    """Runs (a0, a1, b0, b1) of tokens over the same bytes, as short as can be; sizes are the tokens' bytes."""
-    ends = list(accumulate(b_sizes))
-    starts = [0, *ends[:-1]]
-    a0 = b0 = at = reach = 0
-    for n, size in enumerate(a_sizes):
-        first = bisect_right(ends, at, reach and reach - 1)  # the index is asked from where the last answer ended
-        if n and first >= reach:  # no B token spans the gap before this token
-            yield a0, n, b0, first
-            a0, b0 = n, first
-        at += size
-        reach = bisect_left(starts, at, first)
-    if a_sizes:
-        yield a0, len(a_sizes), b0, len(b_sizes)
+        if not text:
+            return 0, 0, 0, 0, b"", NONE, NONE
+        raw, a_ids, b_ids = (" " + text).encode(), np.frombuffer(self.a.plain(" " + text), "<u4").tolist(), self.b.encode(text)
+        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != raw or b"".join(map(self.b_bytes.__getitem__, b_ids)) != raw:
+            return 0, 0, 0, 0, b"", NONE, NONE
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_first, b_first = groups(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+        n_a, n_b = np.diff(a_first, append=len(a)), np.diff(b_first, append=len(b))
+        codes, times = pairs(a, b, a_first, b_first, n_a, n_b)
+        return len(a), len(b), len(a_first), int((n_a * n_b).sum()), self.said(a, b, a_first, b_first, n_a, n_b), codes, times
+
+    def said(self, a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> bytes:
+        """Groups as text, written token after token, each with the mark that follows it."""
+        of_a, of_b = np.repeat(np.arange(len(n_a)), n_a), np.repeat(np.arange(len(n_b)), n_b)
+        word = np.empty(len(a) + len(b), np.int64)
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[a_first + n_a - 1] = len(self.a_bytes)
+        mark_b[b_first + n_b - 1] = len(self.b_bytes)
+        word[np.arange(len(a)) + b_first[of_a]] = a + mark_a
+        word[np.arange(len(b)) + (a_first + n_a)[of_b]] = b + mark_b + 2 * len(self.a_bytes)
+        return b"".join(map(self.spelt.__getitem__, word.tolist()))[:-1]
+
+
+def groups(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First A and first B token of each group, from the offsets where tokens end.
+
+    The ends of the B tokens and their starts are the index; an A token overlaps
+    the B tokens from the first that ends after its start to the last that starts
+    before its end. Where the run of one A token ends before that of the next begins,
+    no B token spans the gap.
+    """
+    a_starts, b_starts = np.r_[0, a_ends[:-1]], np.r_[0, b_ends[:-1]]
+    first, beyond = np.searchsorted(b_ends, a_starts, "right"), np.searchsorted(b_starts, a_ends, "left")
+    new = np.r_[0, np.flatnonzero(first[1:] >= beyond[:-1]) + 1]
+    return new, first[new]
+
+
+def pairs(a: np.ndarray, b: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked pair of ids once, as a code, and how often it is linked."""
+    listed = n_a * n_b <= LISTED
+    each = np.where(listed, n_b, 0).repeat(n_a)  # links of each A token
+    last = np.cumsum(each)
+    spot = np.arange(last[-1]) + np.repeat(b_first.repeat(n_a) - (last - each), each)
+    codes, times = [np.repeat(a, each) << B_BITS | b[spot]], [np.ones(len(spot), np.int64)]
+    for g in np.flatnonzero(~listed):
+        (x, m), (y, n) = (np.unique(ids[first[g] : first[g] + size[g]], return_counts=True) for ids, first, size in ((a, a_first, n_a), (b, b_first, n_b)))
+        codes.append((x[:, None] << B_BITS | y).ravel())
+        times.append((m[:, None] * n).ravel())
+    code, n = np.concatenate(codes), np.concatenate(times)
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    return code[first], np.add.reduceat(n, first)
 
 
 #: Columns of a document's alignment, in Arrow types, after its id.
@@ -137,8 +135,8 @@ def aligned(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
             for part in slices(batch, 128):
                 cols: dict[str, list] = {c: [] for c in outputs}
                 for text in part.column(1).to_pylist():
-                    n_a, n_b, n_groups, n_links, groups, codes, times = aligner.align(text)
-                    row = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": groups, "groups_sha256": hashlib.sha256(groups.encode()).hexdigest() if groups else "", "codes": codes, "times": times}
+                    n_a, n_b, n_groups, n_links, said, codes, times = aligner.align(text)
+                    row = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups": said.decode(), "groups_sha256": hashlib.sha256(said).hexdigest() if said else "", "codes": codes, "times": times}
                     for c in outputs:
                         cols[c].append(row[c])
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(cols[c], ALIGNED[c]) for c in outputs)], names=[part.schema.names[0], *outputs])
