@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..staging import modest_batches, shared_dir, stage, unstage
 
-__all__ = ["ASCII_SPACE", "Store", "few", "kept_in_worker", "lower_ascii", "modest_batches", "shared_dir", "shuffle_width", "slices", "stage", "table", "unstage"]
+__all__ = ["ASCII_SPACE", "Store", "few", "free_name", "kept_in_worker", "lower_ascii", "modest_batches", "shared_dir", "shuffle_width", "slices", "stage", "table", "unstage"]
 
 #: Characters that count as white space wherever a contract speaks of ASCII white space.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
@@ -30,6 +30,14 @@ def lower_ascii(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

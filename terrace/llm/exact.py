@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, few, stage
+from .common import ASCII_SPACE, few, free_name, stage
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 #: Rows from which a group is joined in parts, and how many.
@@ -92,7 +92,8 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     The row that exact_groups keeps; of several with that id and text, and of null
     ids alone, exactly one. An empty table gives no rows.
     """
-    held = stage(df.withColumn("__row", F.monotonically_increasing_id()), "held")
-    rows = held.select(F.col("__row").alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    gone = recipe_groups(rows).filter("row <> keep_row").select(F.col("row").alias("__gone"))
-    return held.join(few(gone, "gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    own = free_name(df, "own_row")
+    held = stage(df.withColumn(own, F.monotonically_increasing_id()), "held")
+    rows = held.select(F.col(own).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = recipe_groups(rows).filter("row <> keep_row").select(F.col("row").alias(own))
+    return held.join(few(gone, "gone"), own, "left_anti").select(*df.columns)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import STORE_BYTES, kept_in_worker, slices
+from .common import STORE_BYTES, free_name, kept_in_worker, slices
 
 SAMPLE, ROUNDS, SMOOTH, FLOOR = 150, 3, 0.05, 1e-9
 #: Letters up to which products of probabilities stay in a float's range.
@@ -262,10 +263,11 @@ def predict(df: DataFrame, model: Model, keep: list[str] | None = None, text_col
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.pieces))  # at most sample x languages documents' pieces
 
+    which = uuid.uuid4().hex  # this model among those that a worker may meet
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces = shared.value
-        kept_in_worker("langid")
-        scorer = Scorer(Model(langs, pieces)) if langs else None
+        scorer = kept_in_worker(f"langid {which}", "scorer", lambda: Scorer(Model(langs, pieces))) if langs else None
         for batch in batches:
             for part in slices(batch):
                 texts, found, scores = part.column(0).to_pylist(), [], []
@@ -281,7 +283,7 @@ def predict(df: DataFrame, model: Model, keep: list[str] | None = None, text_col
 
     kept = df.select(*keep)
     schema = StructType([*kept.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return df.select(F.col(text_col).alias("__text"), *kept.columns).mapInArrow(run, schema)
+    return df.select(F.col(text_col).alias(free_name(df, "whole_text")), *kept.columns).mapInArrow(run, schema)
 
 
 def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -290,5 +292,6 @@ def keep_identified(df: DataFrame, model: Model, least: float = 0.5, text_col: s
     Null texts and those without letters go; null and repeated ids make no
     difference; an empty table, and a model without languages, give no rows.
     """
-    scored = predict(df, model, None, text_col, ("__lang", "__score"))
-    return scored.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).drop("__lang", "__score")
+    lang, score = free_name(df, "lang_pred"), free_name(df, "lang_score")
+    scored = predict(df, model, None, text_col, (lang, score))
+    return scored.filter((F.col(lang) != "und") & (F.col(score) >= least)).drop(lang, score)

@@ -27,13 +27,13 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, kept_in_worker, slices, stage, unstage
+from .common import few, free_name, kept_in_worker, slices, stage, unstage
 
 #: Rounds of drawing, at most; a kind whose space is used up would draw for ever.
 MOST_ROUNDS = 200
@@ -46,6 +46,7 @@ GIVEN = {
     ("cyrillic", "m"): "Алексей Андрей Борис Дмитрий Иван Михаил Николай Сергей".split(),
 }
 TITLES = {"f": "Mrs Ms Miss Frau Mme Madame Sra Señora".split(), "m": "Mr Herr Monsieur Sr Señor".split(), "x": "Dr Prof".split()}
+ALL_TITLES = {title for titles in TITLES.values() for title in titles}
 #: Syllables of which surrogate surnames are made.
 SYLLABLES = {"latin": "bar ben cor dal den fer gan hol jor kel lan mar nor pel ros sal tor ver wil zan".split(), "cyrillic": "бар вел гор дан зор кал лев мар нов пет рос сав тим чер шам яр".split()}
 ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
@@ -80,6 +81,13 @@ NO_PHONE = re.compile(
     r"(?:1\d|20)\d\d([-./])[01]?\d\1[0-3]?\d(?!\d)|[0-3]?\d([-./])[0-3]?\d\2(?:1\d|20)\d\d(?!\d)"
     r"|(?:(?:1\d|20)\d\d[ ./-])+(?:1\d|20)\d\d$|\d+\.\d+$|[1-9]\d?([ .\u00a0\u202f])\d{3}(?:\3\d{3})*$"
 )
+#: Words beside which digits without separators are a phone number.
+CALL = re.compile(r"(?i)(?<!\w)(?:tel|telephone|telefon|teléfono|téléphone|tél|phone|mobile|mobil|móvil|portable|handy|cell|call|fax|whatsapp|sms|dial|ring|rufnummer|anruf|appelez|llame)[\w.]{0,3}[:#]?(?: (?:me|us|at|on|no|nr|number|unter|au|al|is|number is))*[.:]? ?$")
+#: How keys of well-known services start; the start stays.
+KEY_START = re.compile(r"a[ks]ia|gh[opsur]_|sk-|xox[abprs]-|aiza")
+#: Roles beside which, and verbs before which, two capitalised words are a person.
+ROLES = re.compile(r"(?i)(?<!\w)(?:name|author|autor|auteur|editor|director|direktor|directeur|president|präsident|professor|profesor|doctor|doktor|docteur|manager|colleague|kollege|collègue|colega|patient|patiente|paciente|customer|kunde|cliente?|contact|kontakt|contacto|signed|sincerely|regards|dear|attn|attorney|senator|captain|minister|ministre|ministro|teacher|lehrer|lawyer|friend|freund|amie?|amigo|neighbour|neighbor|brother|sister|von|by)[:,]? $")
+VERBS = re.compile(r" (?:said|says|wrote|writes|told|asked|replied|answered|lives|works|met|sagte|sagt|schrieb|fragte|antwortete|wohnt|arbeitet|dit|écrit|répond|habite|travaille|dijo|dice|escribe|vive|trabaja|respondió)(?!\w)")
 PATTERNS = [
     ("email", "@", re.compile(r"(?<![\w.+-])[\w][\w.+-]*@[\w-]+(?:\.[\w-]+)+")),
     ("iban", "0", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -90,20 +98,29 @@ PATTERNS = [
     ("ip", "0", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)")),
     ("card", "0", re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)")),
     ("ssn", "0", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
+    ("secret", "", re.compile(r"(?<![0-9A-Za-z])(?:A[KS]IA[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36,}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z])")),
     ("assigned", "=:", re.compile(r"(?i)(?<!\w)(?:token|secret|password|passwd|api[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<value>[\w+/-]{12,})")),
 ]
 TITLED = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for x in TITLES.values() for t in x)})\.? (?:(?P<given>{CAPITAL}) )?(?P<surname>{CAPITAL})")
-PAIR = re.compile(rf"(?<!\w)(?P<given>{CAPITAL}) (?P<surname>{CAPITAL})")
+#: Neighbouring pairs overlap: any word of a run may be the given name.
+PAIR = re.compile(rf"(?<!\w)(?P<given>{CAPITAL})(?= (?P<surname>{CAPITAL}))")
+#: One to three initials and a surname, but the two letters of a country; a single one may end a sentence, and needs company.
+INITIALS = re.compile(rf"(?<![\w.])(?!U\. ?[SK]\. )(?P<given>(?:[{UPPER}]\. ?){{1,3}})(?<=[. ])(?P<surname>{CAPITAL})(?!\.)")
+COMPANY = re.compile(r"(?:[,;(]| (?:and|und|et|y|with|mit|avec|con)) ?$")
+WHOLE = re.compile(rf"(?<!\w){CAPITAL}(?![\w])")
+POSSESSIVE = re.compile(r"['’]s$", re.IGNORECASE)
 #: Java patterns; a text that matches neither and has none of ``@=:`` holds none of the above.
 #: Digits are of any script, and those newer than Java's tables, as Python's are.
 JAVA_DIGIT = r"[\p{Nd}\p{Cn}]"
 MAYBE_NUMBER = rf"{JAVA_DIGIT}{{3}}|{JAVA_DIGIT}\.{JAVA_DIGIT}|{JAVA_DIGIT}(?:[ \u00a0\u202f./()-]{{0,3}}{JAVA_DIGIT}){{6}}|[0-9A-Fa-f]{{32}}|[A-Z]{{2}}{JAVA_DIGIT}{{2}} ?[A-Z0-9]{{4}}"
-MAYBE_NAME = rf"[{JAVA_UPPER}][^\s.,;:!?]*+ [{JAVA_UPPER}]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Frau|Herr|S(?:r|ra|eñora?)|Dr|Prof)\. [{JAVA_UPPER}]"
+KEY_STARTS, MAYBE_KEY = ("AKIA", "ASIA", "gho_", "ghp_", "ghs_", "ghu_", "ghr_", "sk-", "xox", "AIza"), "A[KS]IA[0-9A-Z]{16}|gh[opsur]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20}|xox[abprs]-|AIza[0-9A-Za-z_-]{35}"
+MAYBE_NAME = rf"[{JAVA_UPPER}][^\s.,;:!?]*+ [{JAVA_UPPER}]|[{JAVA_UPPER}]\. ?[{JAVA_UPPER}]|(?:M(?:rs?|s|iss|me|adame|onsieur)|Frau|Herr|S(?:r|ra|eñora?)|Dr|Prof)\. [{JAVA_UPPER}]"
 
 
 def may_hold(text: Column) -> Column:
     """A cheap test that every text with an entity passes."""
-    hit = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike(MAYBE_NUMBER) | text.rlike(MAYBE_NAME)
+    key = reduce(lambda a, b: a | b, [text.contains(k) for k in KEY_STARTS]) & text.rlike(MAYBE_KEY)
+    hit = text.contains("@") | text.contains("=") | text.contains(":") | text.rlike(MAYBE_NUMBER) | text.rlike(MAYBE_NAME) | key
     return F.coalesce(hit, F.lit(False))
 
 
@@ -189,18 +206,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         free = list(text)
         for start, end, _, _ in found:
             free[start:end] = "\n" * (end - start)
-        found += [(*m.span(), "phone", dialled(m[0])) for m in NATIONAL.finditer("".join(free)) if not NO_PHONE.match(m[0])]
-    for pattern in (TITLED, PAIR):
-        for m in pattern.finditer(text):
-            given, surname = m["given"], m["surname"]
-            gender = GENDER.get(given.lower(), (None, None))[1] if given else None
-            if pattern is PAIR and gender is None:
-                continue
-            if given and gender is None:  # a title and two capitalised words
-                gender = next((g for g, names in TITLES.items() if m["title"] in names), "x")
-            if given:
-                found.append((*m.span("given"), f"given:{gender}:{script_of(given)}", given.lower()))
-            found.append((*m.span("surname"), f"surname:{script_of(surname)}", surname.lower()))
+        found += [(*m.span(), "phone", dialled(m[0])) for m in NATIONAL.finditer("".join(free)) if not NO_PHONE.match(m[0]) and called(text, m)]
+    found += names(text)
     out, end = [], 0
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if x[0] >= end:
@@ -209,6 +216,56 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+def called(text: str, m: re.Match) -> bool:
+    """Whether digits are a phone number by their shape; bare ones need a leading 0 and ten or eleven digits, or a word that says so."""
+    digits = plain_digits(m[0])
+    if not digits.isdigit():
+        return True
+    return (digits[0] == "0" and digits[1] != "0" and len(digits) in (10, 11)) or CALL.search(text, max(0, m.start() - 40), m.start()) is not None
+
+
+def names(text: str) -> list[tuple[int, int, str, str]]:
+    """Mentions of persons: beside a title, a known given name, initials, a role or a verb, and wherever else in the text a name found so stands."""
+    found: list[tuple[int, int, str, str]] = []
+
+    def surname(m: re.Match) -> None:
+        start, end = m.span("surname")
+        end = start + len(POSSESSIVE.sub("", text[start:end]))
+        found.append((start, end, f"surname:{script_of(text[start:end])}", text[start:end].lower()))
+
+    for m in TITLED.finditer(text):
+        if m["given"]:
+            known = GENDER.get(m["given"].lower())
+            gender = known[1] if known else next((g for g, titles in TITLES.items() if m["title"] in titles), "x")
+            found.append((*m.span("given"), f"given:{gender}:{script_of(m['given'])}", m["given"].lower()))
+        surname(m)
+    for m in PAIR.finditer(text):
+        known = GENDER.get(m["given"].lower())
+        if not known and (m["given"] in ALL_TITLES or m["surname"].lower() in GENDER or not (ROLES.search(text, max(0, m.start() - 24), m.start()) or VERBS.match(text, m.end("surname")))):
+            continue
+        found.append((*m.span("given"), f"given:{known[1] if known else 'x'}:{script_of(m['given'])}", m["given"].lower()))
+        if m["surname"].lower() not in GENDER or not PAIR.match(text, m.start("surname")):
+            surname(m)
+    for m in INITIALS.finditer(text):
+        if m["given"].count(".") > 1 or any(p.search(text, max(0, m.start() - 24), m.start()) for p in (COMPANY, ROLES)) or VERBS.match(text, m.end()):
+            surname(m)
+    if not found:
+        return found
+    # A name known in a text is one wherever it stands in it as a word, or a part of a compound, that isn't small.
+    entities = {entity: kind for _, _, kind, entity in found if len(entity) > 1}
+    for m in WHOLE.finditer(text) if entities else ():
+        word = POSSESSIVE.sub("", m[0])
+        if word.lower() in entities:
+            found.append((m.start(), m.start() + len(word), entities[word.lower()], word.lower()))
+        elif len(parts := re.split("['’-]", word)) > 1:
+            at = m.start()
+            for part in parts:
+                if part.lower() in entities and not part[:1].islower():
+                    found.append((at, at + len(part), entities[part.lower()], part.lower()))
+                at += len(part) + 1
+    return found
+
+
 class Draw:
     """A stream of numbers that a key and a label fix."""
 
@@ -271,7 +328,9 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
             order = sorted(known, key=lambda n: Draw(key, f"order{chr(0)}{script}{chr(0)}{n}").below(1 << 62))
             return order[(order.index(entity) + 1) % len(order)]
         return known[draw.below(len(known))]
-    return same_classes(entity, draw)
+    start = KEY_START.match(entity) if kind == "secret" else None
+    kept = start[0] if start else ""
+    return kept + same_classes(entity[len(kept) :], draw)
 
 
 def family(kind: Column) -> Column:
@@ -361,19 +420,21 @@ def replace_pii(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
 
     A null text stays null and an empty one empty, with no mentions. Rows are
     matched by their text, not their id, so null and repeated ids do no harm, and
-    equal texts get equal results. An empty table gives no rows. Columns of other
-    names pass through; one called n_entities is replaced.
+    equal texts get equal results; a text of any length is searched as a whole. An
+    empty table gives no rows. Columns of other names pass through; one called
+    n_entities is replaced.
     """
     df = df.drop("n_entities")
     cols = df.columns
     seen = stage(mentions(df.filter(may_hold(F.col(text_col))), text_col), "mentions")
     entities = stage(seen.select("kind", "entity").distinct(), "entities")
     chosen = few(assign(entities, key), "chosen", F.octet_length("entity") + F.octet_length("core") + 64)
-    per_text = seen.join(chosen, ["kind", "entity"]).groupBy(F.col("text_key").alias("__key")).agg(F.collect_list(F.struct("kind", "entity", "core")).alias("__map"))
-    joined = df.join(few(per_text, "maps", F.octet_length(F.to_json("__map"))), F.xxhash64(text_col) == F.col("__key"), "left").select(*cols, "__map")
-    clean = joined.filter("__map IS NULL").drop("__map").withColumn("n_entities", F.lit(0).cast("long"))
-    with_map = joined.filter("__map IS NOT NULL")
-    schema = with_map.drop("__map").withColumn("n_entities", F.lit(0).cast("long")).schema
+    key_name, map_name = free_name(df, "key"), free_name(df, "map")
+    per_text = seen.join(chosen, ["kind", "entity"]).groupBy(F.col("text_key").alias(key_name)).agg(F.collect_list(F.struct("kind", "entity", "core")).alias(map_name))
+    joined = df.join(few(per_text, "maps", F.octet_length(F.to_json(map_name))), F.xxhash64(text_col) == F.col(key_name), "left").select(*cols, map_name)
+    clean = joined.filter(F.col(map_name).isNull()).drop(map_name).withColumn("n_entities", F.lit(0).cast("long"))
+    with_map = joined.filter(F.col(map_name).isNotNull())
+    schema = with_map.drop(map_name).withColumn("n_entities", F.lit(0).cast("long")).schema
     at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,4 +453,4 @@ def replace_pii(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
                 columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(part.columns[: len(cols)])]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*part.schema.names[: len(cols)], "n_entities"])
 
-    return clean.unionByName(with_map.select(*cols, "__map").mapInArrow(run, schema))
+    return clean.unionByName(with_map.select(*cols, map_name).mapInArrow(run, schema))

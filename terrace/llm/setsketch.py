@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, few, kept_in_worker, slices, stage, unstage
+from .common import Store, few, free_name, kept_in_worker, slices, stage, unstage
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -445,10 +445,11 @@ def drop_near_copies(df: DataFrame, size: int = 5, percent: int = 80, id_col: st
     Exactly one row of a group stays, also where ids repeat or are null. Rows with
     empty sets all stay. An empty table gives no rows.
     """
-    held = stage(df.withColumn("__row", F.monotonically_increasing_id()), "held")
-    rows = held.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = free_name(df, "own_row")
+    held = stage(df.withColumn(own, F.monotonically_increasing_id()), "held")
+    rows = held.select(F.col(own).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = stage(grouped_rows(rows, size, percent), "groups")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     first = out.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min(place)["row"].alias("stays"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    gone = out.join(few(first, "first"), F.col("component") == F.col("c")).filter("row <> stays").select(F.col("row").alias("__gone"))
-    return held.join(few(gone, "gone"), F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    gone = out.join(few(first, "first"), F.col("component") == F.col("c")).filter("row <> stays").select(F.col("row").alias(own))
+    return held.join(few(gone, "gone"), own, "left_anti").select(*df.columns)
