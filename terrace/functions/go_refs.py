@@ -1,80 +1,44 @@
-"""References in Go source, for joins that resolve them.
-
-A scan, not a type checker: it reports a call only where its target can be told
-from the text. A name that is declared again within the function, a parameter or
-a method of a value is left out, so interface dispatch and shadowed names give
-nothing.
-"""
+"""References and declarations of Go files as rows, for the joins that resolve them."""
 
 from __future__ import annotations
 
 import posixpath
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .parsers import GO_BLANK, GO_FUNC, balanced, blank, go_body
-
-IMPORT = re.compile(r"^import\s+(?:(?P<one>(?:[\w.]+\s+)?\"[^\"]+\")|\((?P<many>[^)]*)\))", re.M)
-CALL = re.compile(r"(?<![\w.])(?:(?P<pkg>[A-Za-z_]\w*)\s*\.\s*)?(?P<name>[A-Za-z_]\w*)\s*(?:\[[\w, .*]*\])?\(")
-LOCAL = re.compile(r"(?:^|[\s({;])(?P<names>[A-Za-z_]\w*(?:\s*,\s*[A-Za-z_]\w*)*)\s*:=|\b(?:var|const|type|func)\s+(?P<one>[A-Za-z_]\w*)")
-KEYWORDS = set("if for switch select return func go defer range case make new len cap append copy delete panic recover print println close complex real imag min max clear".split())
-
-REFS = "kind string, path string, dir string, package string, line int, owner string, target_package string, target string"
-
+from . import go_reader
+from .parsers import GO_BLANK, balanced, blank
 
-def imports(source: str) -> dict[str, str]:
-    """Alias -> import path; blank and dot imports are left out."""
-    out = {}
-    for m in IMPORT.finditer(source):
-        for alias, path in re.findall(r"(?:([\w.]+)\s+)?\"([^\"]+)\"", m["one"] or m["many"]):
-            out[alias or posixpath.basename(path)] = path
-    return {a: p for a, p in out.items() if a not in ("_", ".")}
+REFS = "kind string, path string, dir string, package string, line int, owner string, target_package string, target string, last int, scope string, base string, steps array<string>"
 
 
 def references(path: str, source: str) -> list[tuple]:
-    """Rows of REFS: imports, definitions and calls of one file; owner and target are names of functions."""
-    text = blank(source, GO_BLANK)
-    package = re.search(r"^package (\w+)", text, re.M)
-    if not package or not balanced(text):
-        return []
-    folder, pkg, known = posixpath.dirname(path) or ".", package[1], imports(source)
-    line = lambda at: text.count("\n", 0, at) + 1
-    rows = [("import", path, folder, pkg, 1, "", target, "") for target in known.values()]
-    for m in GO_FUNC.finditer(text):
-        owner = f"method {m['recv']}.{m['name']}" if m["recv"] else f"func {m['name']}"
-        rows.append(("def", path, folder, pkg, line(m.start()), owner, folder, "" if m["recv"] else m["name"]))
-        body = go_body(text, m.end())
-        if body is None:
-            continue
-        head, inner = text[m.start() : body[0]], text[body[0] : body[1]]
-        hidden = set(re.findall(r"[(,]\s*([A-Za-z_]\w*)(?=[\s,)])", head))
-        for x in LOCAL.finditer(inner):
-            hidden.update(re.split(r"\s*,\s*", x["names"] or x["one"]))
-        for c in CALL.finditer(inner):
-            base, name = c["pkg"], c["name"]
-            if (base or name) in hidden or name in KEYWORDS and not base:
-                continue
-            if base is None:
-                rows.append(("call", path, folder, pkg, line(body[0] + c.start()), owner, folder, name))
-            elif base in known:
-                rows.append(("external", path, folder, pkg, line(body[0] + c.start()), owner, known[base], name))
-        for c in re.finditer(r"(?<![\w.])(\w+)\.(?:HandleFunc|Handle)\([^,()]*,\s*([A-Za-z_]\w*)\s*\)", inner):
-            if known.get(c[1]) == "net/http" and not {c[1], c[2]} & hidden:
-                rows.append(("route", path, folder, pkg, line(body[0] + c.start()), owner, folder, c[2]))
-    return rows
+    """Rows of REFS of one file; one that can't be read gives a row of kind ``diagnostic`` and no other."""
+    folder = posixpath.dirname(path) or "."
+    try:
+        if not balanced(blank(source, GO_BLANK)):
+            raise ValueError("brackets don't close in order")
+        package, scope, found = go_reader.read(source, folder)
+        if not package:
+            raise ValueError("no package is named")
+        if bad := next((r for r in found if r.kind == "diagnostic"), None):
+            raise ValueError(f"line {bad.line}: {bad.target}")
+    except (ValueError, RecursionError) as e:
+        why = "it is nested too deeply" if isinstance(e, RecursionError) else str(e)
+        return [("diagnostic", path, folder, "", 1, "", "", f"no relationships are known: {why}", 1, folder, "", [])]
+    return [(r.kind, path, folder, package, r.line, r.owner, r.target_package, r.target, r.last, scope, r.base, list(r.steps)) for r in found]
 
 
 def reference_table(files: DataFrame) -> DataFrame:
     """REFS of the Go files among ``files`` (path, source)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in REFS.split(", ")]
-        types = [pa.int32() if c.endswith(" int") else pa.string() for c in REFS.split(", ")]
+        fields = [c.rsplit(" ", 1) for c in REFS.split(", ")]
+        types = {"int": pa.int32(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
         for batch in batches:
             rows = [r for p, s in zip(*(c.to_pylist() for c in batch.columns)) for r in references(p, s or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), types[t]) for c, (_, t) in zip(list(zip(*rows)) or [()] * len(fields), fields)], names=[n for n, _ in fields])
 
     return files.filter("path LIKE '%.go'").select("path", "source").mapInArrow(run, REFS)

@@ -624,3 +624,7 @@ def top_per_folder(spark, d):
 
 
 from . import told  # noqa: E402, F401  (adds its queries)
+from . import code  # noqa: E402
+
+QUERIES |= code.QUERIES
+ORACLE_SQL |= code.ORACLE_SQL
