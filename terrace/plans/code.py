@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import go_refs, parsers
-from ..operators import source_graph
+from ..operators import packages, source_graph
 from ..staging import stage
 
 MODULE = "example.com/m"
@@ -45,7 +45,20 @@ def method_calls(spark: SparkSession, d: str) -> DataFrame:
     return edges.filter((F.col("kind") == "calls") & F.col("dst").contains(":method ")).select("src", "dst", "provider", "first", "last")
 
 
-QUERIES = {"method_calls": method_calls}
+def package_order(spark: SparkSession, d: str) -> DataFrame:
+    """id, component, level: documents as packages that import their neighbours, in the order in which they can be read.
+
+    A document imports the one before where that is longer, and is imported by the
+    one two before where these are alike in language and source, which closes rings.
+    """
+    docs = stage(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "lang", "source", F.length("text").alias("size")), "packages")
+    back = lambda n: docs.select((F.col("id") + n).alias("to"), F.col("lang").alias("b_lang"), F.col("source").alias("b_source"), F.col("size").alias("b_size"))
+    longer = docs.join(back(1), F.col("id") == F.col("to")).filter("b_size > size").select(F.col("id").alias("src"), (F.col("id") - 1).alias("dst"))
+    alike = docs.join(back(2), F.col("id") == F.col("to")).filter("b_lang = lang AND b_source = source").select((F.col("id") - 2).alias("src"), F.col("id").alias("dst"))
+    return packages.package_order(docs, stage(longer.unionByName(alike), "imports"))
+
+
+QUERIES = {"method_calls": method_calls, "package_order": package_order}
 
 ORACLE_SQL = {
     "method_calls": """
@@ -61,4 +74,19 @@ ORACLE_SQL = {
             CAST(l.n + 3 AS BIGINT) AS first, CAST(l.n + 3 AS BIGINT) AS last
         FROM (SELECT *, 5 + CASE WHEN lends AND abroad THEN 2 ELSE 0 END + CASE WHEN lends THEN 1 ELSE 0 END + CASE WHEN lang = 'en' THEN 2 ELSE 0 END + 2 AS n FROM s) l
         WHERE of IS NOT NULL""",
+    "package_order": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id AS id, lang, source, length(text) AS size FROM documents),
+        e AS (
+            SELECT a.id AS src, b.id AS dst FROM d a JOIN d b ON b.id = a.id - 1 AND b.size > a.size
+            UNION ALL SELECT a.id, b.id FROM d a JOIN d b ON b.id = a.id + 2 AND a.lang = b.lang AND a.source = b.source),
+        reach(a, b) AS (
+            SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON r.b = e.src),
+        c AS (
+            SELECT d.id, least(d.id, coalesce(min(x.b), d.id)) AS component FROM d LEFT JOIN (SELECT r.a, r.b FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a) x ON d.id = x.a GROUP BY d.id),
+        ce AS (
+            SELECT DISTINCT s.component AS src, t.component AS dst FROM e JOIN c s ON e.src = s.id JOIN c t ON e.dst = t.id WHERE s.component <> t.component),
+        walk(c, n) AS (
+            SELECT DISTINCT component, 0 FROM c UNION SELECT ce.src, w.n + 1 FROM walk w JOIN ce ON ce.dst = w.c)
+        SELECT c.id, c.component, l.level FROM c JOIN (SELECT c, max(n) AS level FROM walk GROUP BY c) l ON c.component = l.c""",
 }
