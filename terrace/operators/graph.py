@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import bounded
+from .ranges import first_range
 from .relational import first_wins, top_k, top_overall, union_all
 
 #: Weights of roles, the order they are told in, and what they are told as.
@@ -151,15 +152,9 @@ def orient(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def owner(points: DataFrame, ranges: DataFrame, keys: list[str], at: str = "line", fallback: str = "file") -> DataFrame:
-    """Each point with ``owner``: the first range of its key that holds it, else ``fallback``.
-
-    A range join within an equi key: a key's points meet that key's ranges only.
-    """
-    r = ranges.select(*(F.col(c).alias(f"r_{c}") for c in keys), "unit", "start", "end", "ord")
-    cond = [points[c] == r[f"r_{c}"] for c in keys] + [(points[at] >= r["start"]) & (points[at] <= r["end"])]
-    joined = points.join(r, cond, "left")
-    first = joined.groupBy(*points.columns).agg(F.min_by("unit", "ord").alias("owner"))
-    return first.withColumn("owner", F.coalesce("owner", F.lit(fallback)))
+    """Each point once with ``owner``: the first range of its key by ord that holds it, else ``fallback``."""
+    found = first_range(points.distinct(), ranges, keys, at)
+    return found.select(*points.columns, F.coalesce("unit", F.lit(fallback)).alias("owner"))
 
 
 def module_links(units: DataFrame, targets: DataFrame) -> DataFrame:

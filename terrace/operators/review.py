@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_digest, plural
-from .relational import top_overall, union_all
+from .ranges import first_range
+from .relational import top_k, top_overall, union_all
 
 #: Fixed values.
 RENAME_THRESHOLD, MAX_RENAME_PAIRS, MAX_RELATED, MAX_STOPS = 0.7, 4096, 12, 32
@@ -50,9 +51,9 @@ def generated(path: Column, source: Column) -> Column:
 
 
 def outside(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Lines (path, line, text) that no range (path, start, end) covers: an anti join by range within a path."""
-    r = ranges.select(F.col("path").alias("r_path"), "start", "end")
-    return lines.join(r, (F.col("path") == F.col("r_path")) & F.col("line").between(F.col("start"), F.col("end")), "left_anti")
+    """Lines (path, line, text) that no range (path, start, end) covers."""
+    spans = ranges.select("path", "start", "end", F.lit(0).alias("ord"), F.lit("").alias("unit"))
+    return first_range(lines, spans, ["path"]).filter("unit IS NULL").drop("unit")
 
 
 def mutual_best(scores: DataFrame, least: float = RENAME_THRESHOLD) -> DataFrame:
@@ -105,8 +106,11 @@ def signals(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, supp
     tested = new_edges.filter("kind = 'tested-by'").join(subject, F.col("src") == F.col("id"), "left_semi")
     moved = tested.join(ids, F.col("dst") == F.col("c"), "left")
     seen = moved.select(F.col("src").alias("id"), F.when(F.col("c").isNotNull(), "tests-changed").otherwise("tests-unchanged").alias("signal"), F.col("dst").alias("other"))
-    # One row for each relation counts; the list is cut after it is sorted.
-    some = called.unionByName(seen).groupBy("id", "signal").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("other")), 1, MAX_RELATED), ",").alias("related"))
+    # One row for each relation counts; of the others only the first few, cut before they meet, are listed.
+    pairs = called.unionByName(seen)
+    counts = pairs.groupBy("id", "signal").agg(F.count(F.lit(1)).alias("n"))
+    listed = top_k(pairs.distinct(), ["id", "signal"], [F.col("other")], MAX_RELATED, "place").groupBy("id", "signal").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("related"))
+    some = counts.join(listed, ["id", "signal"])
     none = subject.join(tested.select(F.col("src").alias("t")), F.col("id") == F.col("t"), "left_anti").select("id", F.lit("no-known-test").alias("signal"), F.lit(0).cast("long").alias("n"), F.lit("").alias("related"))
     return some.unionByName(none)
 

@@ -131,11 +131,11 @@ def module_links(spark, d):
     return graph.module_links(docs.select(ident, F.array(folder, F.concat(F.lit("de/src"), (F.col("doc_id") % 7).cast("string"))).alias("links")), docs.filter("lang = 'de'").select(ident, folder.alias("dir")))
 
 
-@query(f"""WITH {LINES_SQL}, r AS (SELECT path, 'u' || line AS unit, line AS start, line + 2 AS "end", line AS ord FROM lines WHERE line % 4 = 1 AND length(text) > 40)
+@query(f"""WITH {LINES_SQL}, r AS (SELECT path, 'u' || line AS unit, line AS start, line + 2 AS "end", line AS ord FROM lines WHERE length(text) > 40)
     SELECT l.path, l.line, coalesce(arg_min(r.unit, r.ord), 'file') AS owner FROM lines l LEFT JOIN r ON r.path = l.path AND l.line BETWEEN r.start AND r."end" GROUP BY l.path, l.line""")
 def owner_range_join(spark, d):
     lines = tables.lines(spark, d)
-    ranges = lines.filter((F.col("line") % 4 == 1) & (F.length("text") > 40)).select("path", F.concat(F.lit("u"), F.col("line").cast("string")).alias("unit"), F.col("line").alias("start"), (F.col("line") + 2).alias("end"), F.col("line").alias("ord"))
+    ranges = lines.filter(F.length("text") > 40).select("path", F.concat(F.lit("u"), F.col("line").cast("string")).alias("unit"), F.col("line").alias("start"), (F.col("line") + 2).alias("end"), F.col("line").alias("ord"))
     return graph.owner(lines.select("path", "line"), ranges, ["path"])
 
 
