@@ -145,9 +145,9 @@ def degree_counts(spark, d):
     return nodes.select("id", "callers", "dependencies")
 
 
-@query(f"""WITH {GRAPH_SQL}, told AS (SELECT id, list_transform(list_filter(roles, lambda r: r IN ('entry point', 'network boundary', 'storage boundary', 'configuration', 'test', 'resource', 'module')), lambda r: CASE r WHEN 'entry point' THEN 'Entry point declared in source' WHEN 'test' THEN 'Test declaration' WHEN 'resource' THEN 'Terraform resource' WHEN 'module' THEN 'Terraform module' ELSE r END)
+@query(f"""WITH {GRAPH_SQL}, told AS (SELECT id, list_transform(list_filter(roles, lambda r: r IN ('entry point', 'network boundary', 'storage boundary', 'configuration', 'test', 'resource', 'module')), lambda r: CASE r WHEN 'entry point' THEN 'starts the program' WHEN 'test' THEN 'is a test' WHEN 'resource' THEN 'declares a resource' WHEN 'module' THEN 'declares a module' ELSE r END)
         || CASE WHEN callers > 0 THEN [callers || ' production callers'] ELSE [] END || CASE WHEN dependencies > 0 THEN [dependencies || ' local dependencies'] ELSE [] END AS reasons FROM nodes)
-    SELECT n.id, n.score, CASE WHEN len(t.reasons) = 0 THEN 'Structural unit; no stronger role evidence available' ELSE array_to_string(t.reasons, ' · ') END AS reasons FROM nodes n JOIN told t USING (id) WHERE n.is_unit AND n.language <> 'document'""")
+    SELECT n.id, n.score, CASE WHEN len(t.reasons) = 0 THEN 'no role is known' ELSE array_to_string(t.reasons, ' · ') END AS reasons FROM nodes n JOIN told t USING (id) WHERE n.is_unit AND n.language <> 'document'""")
 def score_ranked(spark, d):
     nodes, _ = tables.graph_of(spark, d)
     return graph.ranked(nodes).select("id", "score", F.array_join("reasons", " · ").alias("reasons"))

@@ -23,14 +23,14 @@ LISTED = "CASE WHEN len({0}) < 2 THEN array_to_string({0}, '') ELSE array_to_str
     told AS (SELECT src AS id, 0 AS place, dst AS other FROM edges WHERE kind IN ('calls', 'local-module-source') UNION ALL SELECT id, 1, other FROM called UNION ALL SELECT id, 2, other FROM tests),
     first AS (SELECT *, row_number() OVER (PARTITION BY id, place ORDER BY other) AS spot, count(*) OVER (PARTITION BY id, place) AS n FROM told),
     few AS (SELECT f.id, place, max(n) AS n, list(regexp_replace(o.name, '^(type|data|class) ', '') ORDER BY spot) AS names FROM first f JOIN nodes o ON o.id = f.other WHERE spot <= 4 GROUP BY f.id, place)
-    SELECT s.id, place, CASE WHEN place = 0 THEN 'It uses ' WHEN place = 2 THEN 'Tested directly by ' WHEN n = 1 THEN 'One place calls it: ' ELSE n || ' places call it: ' END
-        || {LISTED.format("names")} || CASE WHEN n > 4 THEN ' and ' || (n - 4) || ' more' ELSE '' END || CASE WHEN place = 0 THEN ' in this repository.' ELSE '.' END AS sentence FROM few s JOIN nodes u ON u.id = s.id AND u.is_unit
-    UNION ALL SELECT id, 1, 'Nothing in the indexed source calls it directly.' FROM nodes WHERE is_unit AND NOT list_contains(roles, 'entry point') AND NOT list_contains(roles, 'test') AND id NOT IN (SELECT id FROM called)""")
+    SELECT s.id, place, CASE WHEN place = 0 THEN 'Relies on ' WHEN place = 2 THEN 'Checked by ' WHEN n = 1 THEN 'One caller: ' ELSE n || ' callers: ' END
+        || {LISTED.format("names")} || CASE WHEN n > 4 THEN ' and ' || (n - 4) || ' more' ELSE '' END || CASE WHEN place = 0 THEN ' of this tree.' ELSE '.' END AS sentence FROM few s JOIN nodes u ON u.id = s.id AND u.is_unit
+    UNION ALL SELECT id, 1, 'No known caller.' FROM nodes WHERE is_unit AND NOT list_contains(roles, 'entry point') AND NOT list_contains(roles, 'test') AND id NOT IN (SELECT id FROM called)""")
 def connections(spark, d):
     return narration.connections(*tables.graph_of(spark, d))
 
 
-REASONS = ("Called by func 0", "Test directly calls func 1", "Production unit directly called by a test", "Test declaration and assertions", "Unit in a recently changed file", "Additional structural context", "Entry point")
+REASONS = ("Called by func 0", "Tests func 1", "Has a test", "Is a test", "In a file of recent commits", "Aside", "Begins")
 
 
 def _told_stops(spark, d):
@@ -44,13 +44,13 @@ TOLD_SQL = f"""s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORD
 
 
 @query(f"""WITH {TOLD_SQL} SELECT conv_id, n, CASE (conv_id + n) % 7
-        WHEN 0 THEN '0 calls ' || n || CASE WHEN n = 1 THEN ', so this is the next step down from the stop before this one.' ELSE '. We are following what 0 uses.' END
-        WHEN 1 THEN 'This test calls 1 directly. Its assertions show the behaviour the author expects.'
-        WHEN 2 THEN n || ' is called directly by a test, which is the clearest record of what it should do. The test comes next.'
-        WHEN 3 THEN 'A test. Read its assertions for the behaviour it pins down.'
-        WHEN 4 THEN n || ' lives in ' || path || ', which changed in the latest local commits.'
-        WHEN 5 THEN 'Off the main path, ' || n || ' in ' || path || '.' ELSE n || ' in ' || path || '.' END
-        || CASE WHEN n % 2 = 1 THEN '' ELSE CASE WHEN reason LIKE 'Test%' THEN '' ELSE ' Execution starts here.' END || ' This reads configuration from the environment.' END AS sentence,
+        WHEN 0 THEN '0 calls ' || n || CASE WHEN n = 1 THEN ': one level below the stop before.' ELSE '; still below 0.' END
+        WHEN 1 THEN 'A test of 1; what it asserts is meant to hold.'
+        WHEN 2 THEN n || ' has a test of its own, shown next.'
+        WHEN 3 THEN 'A test; its assertions say what must stay true.'
+        WHEN 4 THEN n || ' in ' || path || ', a file of recent commits.'
+        WHEN 5 THEN 'Aside: ' || n || ' in ' || path || '.' ELSE n || ' in ' || path || '.' END
+        || CASE WHEN n % 2 = 1 THEN '' ELSE CASE WHEN reason LIKE 'Tests %' OR reason = 'Is a test' THEN '' ELSE ' The program begins with it.' END || ' It looks up settings in the environment.' END AS sentence,
         CASE WHEN lead(n) OVER w IS NULL THEN '' ELSE (n + 1) || '' END AS next_name, coalesce(lead(path) OVER w, '') AS next_path FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY n)""")
 def tour_narration(spark, d):
     return narration.narrate_stops(_told_stops(spark, d), ["conv_id"])
@@ -59,7 +59,7 @@ def tour_narration(spark, d):
 @query(f"""WITH {TOLD_SQL}, k AS (SELECT conv_id, n, CASE (conv_id + n) % 7 WHEN 0 THEN 'from:func 0' WHEN 1 THEN 'pairs' WHEN 2 THEN 'pairs' WHEN 5 THEN 'more' ELSE 'start' END AS chapter FROM t),
     f AS (SELECT *, CASE WHEN lag(chapter) OVER w = chapter THEN 0 ELSE 1 END AS fresh FROM k WINDOW w AS (PARTITION BY conv_id ORDER BY n)),
     c AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY n) AS BIGINT) AS chapter_no FROM f)
-    SELECT conv_id, chapter_no, any_value(chapter) AS chapter, count(*) AS stops, CASE any_value(chapter) WHEN 'from:func 0' THEN 'What 0 uses' WHEN 'pairs' THEN 'Code and the tests that call it' WHEN 'more' THEN 'Elsewhere of note' ELSE 'Tests' END AS title FROM c GROUP BY conv_id, chapter_no""")
+    SELECT conv_id, chapter_no, any_value(chapter) AS chapter, count(*) AS stops, CASE any_value(chapter) WHEN 'from:func 0' THEN 'Below 0' WHEN 'pairs' THEN 'Code beside its tests' WHEN 'more' THEN 'Other parts worth a look' ELSE 'What is tested' END AS title FROM c GROUP BY conv_id, chapter_no""")
 def tour_chapters(spark, d):
     found = presentation.chapters(_told_stops(spark, d), ["conv_id"], [F.col("n")], narration.chapter_key(F.col("reason")))
     return found.withColumn("title", narration.chapter_title(F.col("chapter"), "testing"))
@@ -67,7 +67,7 @@ def tour_chapters(spark, d):
 
 @query(f"""WITH {SNAPSHOTS_SQL}, c AS (SELECT id, status, coalesce(after_path, before_path) AS path, length(coalesce(after_source, '')) AS added, length(coalesce(before_source, '')) AS removed, coalesce(after_start, before_start) AS start FROM changes),
     k AS (SELECT *, added || ' line' || CASE WHEN added = 1 THEN '' ELSE 's' END AS a, removed || ' line' || CASE WHEN removed = 1 THEN '' ELSE 's' END AS r, start || '' AS me FROM c)
-    SELECT id, CASE status WHEN 'added' THEN me || ' is new (' || a || ').' WHEN 'removed' THEN me || ' was removed (' || r || ').' ELSE me || ' changed: ' || a || ' added, ' || removed || ' removed.' END || CASE WHEN start % 3 = 0 THEN ' Only whitespace differs.' ELSE '' END AS sentence FROM k""")
+    SELECT id, CASE status WHEN 'added' THEN 'New: ' || me || ', ' || a || '.' WHEN 'removed' THEN 'Gone: ' || me || ', ' || r || '.' ELSE 'Edited: ' || me || '; ' || a || ' in, ' || removed || ' out.' END || CASE WHEN start % 3 = 0 THEN ' Nothing but blanks differs.' ELSE '' END AS sentence FROM k""")
 def change_narration(spark, d):
     changes = review.compare(tables.orders_before(spark, d), tables.orders_after(spark, d), "id", ["path", "kind", "start", "source"])
     size, start = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))), F.coalesce("after_start", "before_start")
@@ -78,7 +78,7 @@ def change_narration(spark, d):
 @query(f"""WITH l AS (SELECT DISTINCT 'o:' || l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'tested-by' WHEN l_returnflag = 'A' THEN 'calls' ELSE 'imports' END AS kind, CASE WHEN l_quantity > 25 THEN 'added' ELSE 'removed' END AS change, 'unit:x:func ' || l_suppkey AS dst, l_orderkey FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY id, kind, change ORDER BY dst) AS spot, count(*) OVER (PARTITION BY id, kind, change) AS total FROM l WHERE NOT (kind = 'tested-by' AND change = 'added' AND l_orderkey % 2 = 0)),
     g AS (SELECT id, change, kind, max(total) AS total, list(substr(dst, 13) ORDER BY spot) AS names FROM r WHERE spot <= 2 GROUP BY id, change, kind)
-    SELECT id, change, kind, CASE WHEN kind = 'tested-by' THEN CASE change WHEN 'added' THEN 'It is now tested by ' ELSE 'It is no longer tested by ' END ELSE CASE change WHEN 'added' THEN 'It now ' ELSE 'It no longer ' END || kind || ' ' END
+    SELECT id, change, kind, CASE WHEN kind = 'tested-by' THEN CASE change WHEN 'added' THEN 'Newly tested by ' ELSE 'No longer tested by ' END ELSE CASE change WHEN 'added' THEN 'Newly: ' ELSE 'No longer: ' END || kind || ' ' END
         || {LISTED.format("names")} || CASE WHEN total > 2 THEN ' and ' || (total - 2) || ' more' ELSE '' END || '.' AS sentence FROM g""")
 def relation_narration(spark, d):
     """Two names a sentence, so that "and more" occurs."""
@@ -93,9 +93,8 @@ SIGNAL_KINDS = ("unchanged-callers", "tests-changed", "tests-unchanged", "no-kno
 
 
 @query(f"""WITH s AS (SELECT c_custkey AS id, {list(SIGNAL_KINDS)}[c_custkey % 4 + 1] AS kind, CASE WHEN c_nationkey % 2 = 0 THEN 'removed' ELSE 'modified' END AS status, string_split(c_name, '#') AS names FROM customer)
-    SELECT id, CASE kind WHEN 'unchanged-callers' THEN CASE status WHEN 'removed' THEN 'Before this change it was called from ' ELSE 'It is called from ' END || {LISTED.format("names")} || ', which ' || CASE WHEN len(names) <> 1 THEN 'were' ELSE 'was' END || ' not changed.'
-        WHEN 'tests-changed' THEN CASE WHEN len(names) <> 1 THEN 'Its tests ' ELSE 'Its test ' END || {LISTED.format("names")} || ' changed alongside it.'
-        WHEN 'tests-unchanged' THEN {LISTED.format("names")} || CASE WHEN len(names) <> 1 THEN ' test it directly and were not changed.' ELSE ' tests it directly and was not changed.' END ELSE 'No test calls it directly.' END AS sentence FROM s""")
+    SELECT id, CASE WHEN kind = 'no-known-test' THEN 'No known test.' ELSE CASE kind WHEN 'tests-changed' THEN 'Tests changed too: ' WHEN 'tests-unchanged' THEN 'Tests left as they were: '
+        ELSE CASE status WHEN 'removed' THEN 'Had been called, and still is in the text, from ' ELSE 'Callers left as they were: ' END END || {LISTED.format("names")} || '.' END AS sentence FROM s""")
 def signal_narration(spark, d):
     kind = F.element_at(F.array(*map(F.lit, SIGNAL_KINDS)), (F.col("c_custkey") % 4 + 1).cast("int"))
     status = F.when(F.col("c_nationkey") % 2 == 0, "removed").otherwise("modified")
@@ -103,8 +102,8 @@ def signal_narration(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') || ' “' || event_type || '”' AS dated, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events),
-    f AS (SELECT 'u:' || user_id AS node, 1 AS p, 'These lines last changed on ' || day || ': “' || event_type || '”.' AS sentence FROM e WHERE n = 1
-        UNION ALL SELECT 'u:' || user_id, 2, 'Before that: ' || string_agg(dated, ' and ' ORDER BY n) || '.' FROM e WHERE n IN (2, 3) GROUP BY user_id)
+    f AS (SELECT 'u:' || user_id AS node, 1 AS p, 'Last commit here, ' || day || ': “' || event_type || '”.' AS sentence FROM e WHERE n = 1
+        UNION ALL SELECT 'u:' || user_id, 2, 'Earlier: ' || string_agg(dated, ' and ' ORDER BY n) || '.' FROM e WHERE n IN (2, 3) GROUP BY user_id)
     SELECT node, row_number() OVER (PARTITION BY node ORDER BY p) AS place, sentence FROM f""")
 def brief_narration(spark, d):
     events = table(spark, d, "events").withColumn("node", F.concat(F.lit("u:"), F.col("user_id").cast("string")))
@@ -117,7 +116,7 @@ def brief_narration(spark, d):
 MODEL = Settings(provider="openai", model="m", max_input_tokens=600)
 
 
-@query(f"""WITH p AS (SELECT doc_id, octet_length(encode(text)) AS size, '{explain.ASK_SOURCE.replace("'", "''")}' || chr(10) || 'Path: ' || source || chr(10) || 'Unit: ' || doc_id || chr(10) || 'Local module structure: ' || chr(10) || 'Source:' || chr(10) || '```' || chr(10) || text || chr(10) || '```' AS prompt FROM documents),
+@query(f"""WITH p AS (SELECT doc_id, octet_length(encode(text)) AS size, '{explain.ASK_SOURCE.replace("'", "''")}' || chr(10) || 'Path: ' || source || chr(10) || 'Unit: ' || doc_id || chr(10) || 'Around it in the module: ' || chr(10) || 'Source:' || chr(10) || '```' || chr(10) || text || chr(10) || '```' AS prompt FROM documents),
     e AS (SELECT doc_id, size, prompt, CAST(ceil(octet_length(encode(prompt)) / 3.0) AS BIGINT) AS estimated_tokens FROM p)
     SELECT doc_id, estimated_tokens, sha256('openai' || chr(0) || 'm' || chr(0) || prompt || chr(0)) AS digest, CASE WHEN estimated_tokens > 600 OR size > 18000 THEN 'too_large' ELSE 'ready' END AS status FROM e""")
 def explain_payloads(spark, d):
@@ -137,8 +136,8 @@ def change_diff_text(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id AS id, event_type || ' ' || event_id AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE event_type <> 'view'),
-    t AS (SELECT id, string_agg('- ' || CASE WHEN n = 41 THEN '(more facts omitted)' ELSE line END, chr(10) ORDER BY n) || chr(10) AS facts FROM e WHERE n <= 41 GROUP BY id)
-    SELECT c_custkey AS id, coalesce(facts, '- none known' || chr(10)) AS facts FROM customer LEFT JOIN t ON t.id = c_custkey""")
+    t AS (SELECT id, string_agg('- ' || CASE WHEN n = 41 THEN '(and more)' ELSE line END, chr(10) ORDER BY n) || chr(10) AS facts FROM e WHERE n <= 41 GROUP BY id)
+    SELECT c_custkey AS id, coalesce(facts, '- nothing is known' || chr(10)) AS facts FROM customer LEFT JOIN t ON t.id = c_custkey""")
 def change_facts(spark, d):
     facts = table(spark, d, "events").filter("event_type <> 'view'").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("line"))
     return explain.fact_text(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), facts)

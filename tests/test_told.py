@@ -24,10 +24,10 @@ def test_connections(spark):
     nodes = spark.createDataFrame([("u", "func main", ["entry point"], True), ("v", "method T.Run", [], True), ("t", "func TestRun", ["test"], True), ("f", "a.go", [], False)] + [(f"c{n}", f"func c{n}", [], True) for n in range(6)], "id string, name string, roles array<string>, is_unit boolean")
     edges = spark.createDataFrame([(f"c{n}", "v", "calls") for n in range(6)] + [("t", "v", "calls"), ("v", "t", "tested-by"), ("u", "gone", "calls"), ("f", "v", "contains")], "src string, dst string, kind string")
     found = narration.connections(nodes, edges)
-    assert said(found.filter("id = 'v'"), "place") == ["6 places call it: c0, c1, c2 and c3 and 2 more.", "Tested directly by TestRun."]
-    assert said(found.filter("id = 'u'"), "place") == ["It uses gone in this repository."]
-    assert said(found.filter("id = 't'"), "place") == ["It uses T.Run in this repository."]
-    assert said(found.filter("id = 'c0'"), "place") == ["It uses T.Run in this repository.", "Nothing in the indexed source calls it directly."]
+    assert said(found.filter("id = 'v'"), "place") == ["6 callers: c0, c1, c2 and c3 and 2 more.", "Checked by TestRun."]
+    assert said(found.filter("id = 'u'"), "place") == ["Relies on gone of this tree."]
+    assert said(found.filter("id = 't'"), "place") == ["Relies on T.Run of this tree."]
+    assert said(found.filter("id = 'c0'"), "place") == ["Relies on T.Run of this tree.", "No known caller."]
     assert narration.connections(nodes.limit(0), edges.limit(0)).count() == 0
 
 
@@ -36,19 +36,19 @@ def test_changes_and_signals(spark):
     rows = [("added", "func A", "p", 1, 0, None, None, False), ("removed", "func A", "p", 0, 2, None, None, False), ("renamed", "func B", "p", 1, 1, "func A", "p", False), ("moved", "func A", "q", 0, 0, "func A", "p", True), ("file context changed", "p", "p", 3, 1, None, None, False), ("modified", "func A", "p", 2, 1, None, None, None)]
     changes = spark.createDataFrame(rows, columns).coalesce(1)
     assert [r[0] for r in changes.select(narration.change_sentence(changes)).collect()] == [
-        "A is new (1 line).", "A was removed (2 lines).", "A was renamed to B (1 line added, 1 removed).", "A moved from p to q (0 lines added, 0 removed). Only whitespace differs.",
-        "Text outside any unit changed in p (3 lines added, 1 removed).", "A changed: 2 lines added, 1 removed.",
+        "New: A, 1 line.", "Gone: A, 2 lines.", "Renamed: A, now B; 1 line in, 1 out.", "Moved: A, p to q; 0 lines in, 0 out. Nothing but blanks differs.",
+        "Around the units of p; 3 lines in, 1 out.", "Edited: A; 2 lines in, 1 out.",
     ]
     one = spark.createDataFrame([("unchanged-callers", "removed", ["a"]), ("tests-unchanged", "modified", ["a"]), ("tests-changed", "modified", ["a", "b"]), ("no-known-test", "added", [])], "k string, s string, n array<string>").coalesce(1)
-    assert [r[0] for r in one.select(narration.signal_sentence(F.col("k"), F.col("s"), F.col("n"))).collect()] == ["Before this change it was called from a, which was not changed.", "a tests it directly and was not changed.", "Its tests a and b changed alongside it.", "No test calls it directly."]
+    assert [r[0] for r in one.select(narration.signal_sentence(F.col("k"), F.col("s"), F.col("n"))).collect()] == ["Had been called, and still is in the text, from a.", "Tests left as they were: a.", "Tests changed too: a and b.", "No known test."]
 
 
 def test_brief_narration(spark):
     facts = [("u", "test-states", 1, "does work", "test", "", "unit:a_test.go:func TestDo", ""), ("u", "uncommitted", 1, "x", "current", "", "", ""), *(("u", "commit", n, f"c{n}", "dated-history", f"2024-01-0{n}", "", "") for n in (1, 2, 3, 4)), ("u", "comment", 1, "old", "comment-older-than-code", "2023-01-01", "", "")]
     rows = spark.createDataFrame(facts, "node string, kind string, n int, text string, reliability string, date string, other string, source string")
     assert said(narration.narrate_brief(rows), "place") == [
-        "Its test TestDo is named for what it checks: “does work”.", "These lines have uncommitted changes; the history below is for the committed version.", "These lines last changed on 2024-01-01: “c1”.",
-        "Before that: 2024-01-02 “c2” and 2024-01-03 “c3”.", "The comment above it dates from 2023-01-01, before the code last changed, so it may be out of date: “old”",
+        "TestDo, a test, claims “does work”.", "Edited since the last commit; what follows is of the committed text.", "Last commit here, 2024-01-01: “c1”.",
+        "Earlier: 2024-01-02 “c2” and 2024-01-03 “c3”.", "A comment above, of 2023-01-01 and older than the code, perhaps stale: “old”",
     ]
 
 
@@ -59,7 +59,7 @@ def test_diff_text_and_rows(spark):
     assert cut == {1: ("@@\n-a\n+b\n" * 2, 1), 2: ("", 0)}
     assert [(r.hunk_no, r.op, r.text) for r in presentation.review_rows(whole, "id").orderBy("hunk_no", "row_no").limit(3).collect()] == [(0, "", "@@ −3 +4 @@"), (0, "-", "a"), (0, "+", "b")]
     prompt = explain.change_prompt(F.lit("p"), F.lit("u"), F.lit("modified"), F.lit("x"), F.lit("y"), explain.diff_text(F.col("hunks"), 18), F.lit(None).cast("string"), "Ask.")
-    assert {r.p for r in whole.select(prompt.alias("p")).collect()} == {"Ask.\nPath: p\nUnit: u\nStatus: modified\nCompared: x to y\nDiff (- base, + head):\n```\n" + "@@\n-a\n+b\n" * 2 + "```\n1 further hunk omitted to fit the size limit; the rest was not seen.\n", "Ask.\nPath: p\nUnit: u\nStatus: modified\nCompared: x to y\nThe source lines are identical on both sides; only the relationships below differ.\n"}
+    assert {r.p for r in whole.select(prompt.alias("p")).collect()} == {"Ask.\nPath: p\nUnit: u\nStatus: modified\nBetween: x and y\nChanged lines (- before, + after):\n```\n" + "@@\n-a\n+b\n" * 2 + "```\n1 further hunk left out for want of room.\n", "Ask.\nPath: p\nUnit: u\nStatus: modified\nBetween: x and y\nNo line of source differs; relationships do, as told below.\n"}
 
 
 def test_sending_and_cache(spark, tmp_path):
