@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import go_refs, parsers
-from ..operators import packages, source_graph
+from ..operators import history, packages, source_graph
 from ..staging import stage
 
 MODULE = "example.com/m"
@@ -58,7 +58,38 @@ def package_order(spark: SparkSession, d: str) -> DataFrame:
     return packages.package_order(docs, stage(longer.unionByName(alike), "imports"))
 
 
-QUERIES = {"method_calls": method_calls, "package_order": package_order}
+#: Turns in which an answer is looked for, and turns of a unit.
+ANSWERED, TURNS = 4, 3
+
+
+def turn_versions(spark: SparkSession, d: str) -> DataFrame:
+    """file, n, commit, source: a version of each conversation for each of its turns.
+
+    A turn has two lines, and the first says whether a later one of its role has come
+    within ANSWERED turns; so a turn's lines change when that one does.
+    """
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("file"), (F.col("turn") + 1).alias("n"), "role")
+    later = turns.select("file", "role", F.explode(F.transform(F.sequence(F.lit(1), F.lit(ANSWERED)), lambda k: F.struct((F.col("n") - k).alias("n"), F.col("n").alias("by")))).alias("x")).select("file", "role", "x.n", "x.by")
+    told = turns.join(later.groupBy("file", "role", "n").agg(F.min("by").alias("by")), ["file", "role", "n"], "left")
+    # A conversation has a few turns, so each goes to every version from its own on.
+    last = turns.groupBy("file").agg(F.max("n").alias("last"))
+    shown = told.join(last, "file").withColumn("at", F.explode(F.sequence("n", "last")))
+    state = F.when(F.col("by") <= F.col("at"), "answered").otherwise("open")
+    line = F.concat(F.col("n").cast("string"), F.lit(" "), "role", F.lit(" "), state, F.lit("\n"), F.col("n").cast("string"), F.lit(" end\n"))
+    whole = shown.groupBy("file", F.col("at").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "").alias("source"))
+    return whole.select("file", "n", F.concat(F.lit("c"), F.col("n").cast("string")).alias("commit"), "source")
+
+
+def unit_history(spark: SparkSession, d: str) -> DataFrame:
+    """file, unit, rank, commit: the newest commits of every three turns of a conversation."""
+    versions = stage(turn_versions(spark, d), "versions")
+    last = versions.groupBy("file").agg((2 * F.max("n")).alias("lines"))
+    first = F.explode(F.sequence(F.lit(1).cast("long"), "lines", F.lit(2 * TURNS).cast("long")))
+    units = last.select("file", "lines", first.alias("start")).select("file", F.col("start").alias("unit"), "start", F.least("lines", F.col("start") + 2 * TURNS - 1).alias("end"))
+    return history.unit_history(history.version_edits(versions), units)
+
+
+QUERIES = {"method_calls": method_calls, "package_order": package_order, "unit_history": unit_history}
 
 ORACLE_SQL = {
     "method_calls": """
@@ -89,4 +120,13 @@ ORACLE_SQL = {
         walk(c, n) AS (
             SELECT DISTINCT component, 0 FROM c UNION SELECT ce.src, w.n + 1 FROM walk w JOIN ce ON ce.dst = w.c)
         SELECT c.id, c.component, l.level FROM c JOIN (SELECT c, max(n) AS level FROM walk GROUP BY c) l ON c.component = l.c""",
+    "unit_history": """
+        WITH t AS (
+            SELECT conv_id AS file, turn + 1 AS n, role FROM conversations),
+        a AS (
+            SELECT t.file, t.n, min(b.n) AS later FROM t LEFT JOIN t b ON b.file = t.file AND b.role = t.role AND b.n > t.n AND b.n <= t.n + 4 GROUP BY t.file, t.n),
+        c AS (
+            SELECT file, n - (n - 1) % 3 AS turn, n AS commit FROM a UNION SELECT file, n - (n - 1) % 3, later FROM a WHERE later IS NOT NULL)
+        SELECT file, 2 * turn - 1 AS unit, CAST(row_number() OVER w AS INTEGER) AS rank, 'c' || commit AS commit FROM c
+        WINDOW w AS (PARTITION BY file, turn ORDER BY commit DESC) QUALIFY row_number() OVER w <= 5""",
 }
