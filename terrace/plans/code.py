@@ -1,4 +1,4 @@
-"""Queries over source code that is made of the tables' rows, and their SQL."""
+"""Queries over source code that is made of the tables' rows, along time, and with subtotals, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import go_refs, parsers
-from ..operators import history, packages, source_graph
+from ..operators import history, packages, rollups, source_graph, timeline
 from ..staging import stage
 
 MODULE = "example.com/m"
@@ -89,7 +89,32 @@ def unit_history(spark: SparkSession, d: str) -> DataFrame:
     return history.unit_history(history.version_edits(versions), units)
 
 
-QUERIES = {"method_calls": method_calls, "package_order": package_order, "unit_history": unit_history}
+def _events(spark: SparkSession, d: str, kind: str, *names: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/events.parquet").filter(F.col("event_type") == kind).select("user_id", *(F.col(c).alias(n) for c, n in zip(("ts", "event_id"), names)))
+
+
+def last_view(spark: SparkSession, d: str) -> DataFrame:
+    """Each purchase with the user's latest view before it."""
+    return timeline.as_of(_events(spark, d, "purchase", "ts", "event_id"), _events(spark, d, "view", "view_ts", "view_id"), ["user_id"], "ts", "view_ts", ["view_id"])
+
+
+def views_before(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, views: the user's views within six hours before a purchase, where there are any."""
+    met = timeline.within(_events(spark, d, "purchase", "ts", "event_id"), _events(spark, d, "view", "view_ts", "view_id"), ["user_id"], "ts", "view_ts", 6 * 3600)
+    return met.groupBy("event_id").agg(F.count(F.lit(1)).alias("views"))
+
+
+def subtotals(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their characters by language and source with subtotals; distinct texts by sketch, and whether that is within five percent."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("lang", "source", F.length("text").cast("long").alias("size"), F.xxhash64("text").alias("text"))
+    keys = ["lang", "source"]
+    told = rollups.rolled_up(rollups.sketched(docs, keys, "text", "size"), keys)
+    exact = docs.rollup(*keys).agg(F.grouping_id().alias("g"), F.count_distinct("text").alias("texts")).select(F.col("lang").alias("e_lang"), F.col("source").alias("e_source"), (2 - F.bit_count("g")).alias("e_depth"), "texts")
+    met = told.join(exact, F.col("lang").eqNullSafe(F.col("e_lang")) & F.col("source").eqNullSafe(F.col("e_source")) & (F.col("depth") == F.col("e_depth")))
+    return met.select(*keys, "depth", "n", "amount", "texts", (F.abs(F.col("distinct") - F.col("texts")) <= 0.05 * F.col("texts")).alias("near"))
+
+
+QUERIES = {"method_calls": method_calls, "package_order": package_order, "unit_history": unit_history, "last_view": last_view, "views_before": views_before, "subtotals": subtotals}
 
 ORACLE_SQL = {
     "method_calls": """
@@ -129,4 +154,14 @@ ORACLE_SQL = {
             SELECT file, n - (n - 1) % 3 AS turn, n AS commit FROM a UNION SELECT file, n - (n - 1) % 3, later FROM a WHERE later IS NOT NULL)
         SELECT file, 2 * turn - 1 AS unit, CAST(row_number() OVER w AS INTEGER) AS rank, 'c' || commit AS commit FROM c
         WINDOW w AS (PARTITION BY file, turn ORDER BY commit DESC) QUALIFY row_number() OVER w <= 5""",
+    "last_view": """
+        WITH v AS (
+            SELECT user_id, ts AS view_ts, max(event_id) AS view_id FROM events WHERE event_type = 'view' GROUP BY ALL)
+        SELECT p.user_id, p.ts, p.event_id, v.view_ts, v.view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.view_ts""",
+    "views_before": """
+        SELECT p.event_id, count(*) AS views FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts AND v.ts >= p.ts - INTERVAL 6 HOURS
+        WHERE p.event_type = 'purchase' AND v.event_type = 'view' GROUP BY p.event_id""",
+    "subtotals": """
+        SELECT lang, source, CAST(2 - grouping(lang) - grouping(source) AS INTEGER) AS depth, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS amount, count(DISTINCT text) AS texts, TRUE AS near
+        FROM documents GROUP BY ROLLUP (lang, source)""",
 }
