@@ -37,9 +37,16 @@ def islands(df: DataFrame, keys: list[str], order: list[Column], value: Column,
 
 
 def greedy_prefix(df: DataFrame, keys: list[str], order: list[Column], size: Column, limit: int) -> DataFrame:
-    """Rows in order until the first that would take the running size over ``limit``."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("used", F.sum(size).over(w)).filter(F.col("used") <= limit)
+    """Rows in order until the first that would take the running size over ``limit``; sizes are not negative.
+
+    A row that is over the limit among the rows of its own part of the input alone is over
+    it among all, so each part is cut first, and a hot key meets in one task only with what
+    its parts have left.
+    """
+    part = "__part"
+    over = lambda *by: F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    cut = df.withColumn(part, F.spark_partition_id()).withColumn("used", over(*keys, part)).filter(F.col("used") <= limit).drop(part, "used")
+    return cut.withColumn("used", over(*keys)).filter(F.col("used") <= limit)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

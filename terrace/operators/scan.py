@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EngineError, Kind
 from ..functions.text import content_digest, path_prefixes
+from ..staging import bounded
 
 #: Limits of a scan, and names that are never indexed.
 MAX_FILE_BYTES, MAX_TOTAL_BYTES, MAX_FILES, MAX_ENTRIES, MAX_DEPTH = 262_144, 33_554_432, 4_096, 50_000, 64
@@ -46,14 +47,17 @@ def check_limits(files: DataFrame, most_files: int = MAX_FILES, most_bytes: int
 def ignore_verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """path, ignored; rules: dir, depth, ord, regex, negate, dir_only.
 
-    Every prefix of a path meets the rules of the directories above it; the last
-    rule that matches has the say over a prefix, and a path is ignored when any
-    of its prefixes is. The rules of one tree are few and are broadcast.
+    Every prefix of a path meets the rules of the directories above it, by an equi join
+    on these, and no others; the last rule that matches has the say over a prefix, and a
+    path is ignored when any of its prefixes is.
     """
-    each = paths.select("path", F.posexplode(path_prefixes(F.col("path"))).alias("n", "prefix")).withColumn("is_dir", F.col("prefix") != F.col("path"))
-    under = (F.col("dir") == "") | F.col("prefix").startswith(F.concat("dir", F.lit("/")))
-    rest = F.when(F.col("dir") == "", F.col("prefix")).otherwise(F.expr("substring(prefix, length(dir) + 2)"))
-    hits = each.join(F.broadcast(rules), under & (F.col("is_dir") | ~F.col("dir_only")) & F.expr("(CASE WHEN dir = '' THEN prefix ELSE substring(prefix, length(dir) + 2) END) RLIKE regex"))
+    ruled = bounded(rules.select(F.col("dir").alias("above")).distinct())
+    own = paths.select("path").distinct()
+    each = own.select("path", F.posexplode(path_prefixes(F.col("path"))).alias("n", "prefix")).withColumn("is_dir", F.col("prefix") != F.col("path"))
+    folder = F.regexp_extract("prefix", "^(.*)/[^/]*$", 1)
+    above = F.when(folder == "", F.array(F.lit(""))).otherwise(F.array_union(F.array(F.lit("")), path_prefixes(folder)))
+    met = each.withColumn("above", F.explode(above)).join(ruled, "above", "left_semi").join(bounded(rules, 10_000), F.col("above") == F.col("dir"))
+    hits = met.filter((F.col("is_dir") | ~F.col("dir_only")) & F.expr("(CASE WHEN dir = '' THEN prefix ELSE substring(prefix, length(dir) + 2) END) RLIKE regex"))
     verdict = hits.groupBy("path", "n").agg(F.max_by(~F.col("negate"), F.struct("depth", "ord")).alias("hit")).groupBy("path").agg(F.bool_or("hit").alias("hit"))
     return paths.select("path").distinct().join(verdict, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("ignored"))
 
@@ -66,9 +70,15 @@ def permitted(paths: DataFrame, denied: DataFrame) -> DataFrame:
 
 
 def snapshot_revision(files: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, revision: one digest over the paths and contents of a group, in path order."""
-    each = files.select(*keys, "path", content_digest(F.col("path"), F.col("source")).alias("digest"))
-    return each.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "digest"))), lambda x: x["digest"]), ""), 256).alias("revision"))
+    """keys, revision: one digest over the paths and contents of a group.
+
+    Paths are dealt into 4,096 parts by the start of their own digest; each part has
+    a digest over its files in path order, and the group one over those of its parts.
+    """
+    each = files.select(*keys, F.substring(F.sha2("path", 256), 1, 3).alias("part"), "path", content_digest(F.col("path"), F.col("source")).alias("digest"))
+    joined = lambda order, of: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, of))), lambda x: x[of]), ""), 256)
+    parts = each.groupBy(*keys, "part").agg(joined("path", "digest").alias("revision"))
+    return parts.groupBy(*keys).agg(joined("part", "revision").alias("revision"))
 
 
 def changed_policy(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def unit_ids_unique(spark, d):
     return scan.unique_ids(units, ["path", "name"]).select("path", F.col("ord").alias("line"), "unit_id")
 
 
-@query(f"WITH {FILES_SQL}, e AS (SELECT string_split(path, '/')[1] AS lang, path, sha256(path || chr(0) || source || chr(0)) AS digest FROM files) SELECT lang, sha256(string_agg(digest, '' ORDER BY path)) AS revision FROM e GROUP BY lang")
+@query(f"WITH {FILES_SQL}, e AS (SELECT string_split(path, '/')[1] AS lang, path, sha256(path || chr(0) || source || chr(0)) AS digest FROM files) SELECT lang, sha256(string_agg(revision, '' ORDER BY part)) AS revision FROM (SELECT lang, substr(sha256(path), 1, 3) AS part, sha256(string_agg(digest, '' ORDER BY path)) AS revision FROM e GROUP BY ALL) GROUP BY lang")
 def snapshot_revision(spark, d):
     return scan.snapshot_revision(tables.files(spark, d).withColumn("lang", F.element_at(F.split("path", "/"), 1)), ["lang"])
 
@@ -123,12 +123,14 @@ def graph_edges(spark, d):
     return tables.edges_of(spark, d).select("src", "dst", "kind", "ord")
 
 
-@query("""WITH u AS (SELECT doc_id, 'd' || doc_id AS id, unnest([lang || '/' || source, 'de/src' || (doc_id % 7)]) AS link FROM documents), t AS (SELECT 'd' || doc_id AS dst, lang || '/' || source AS dir FROM documents WHERE lang = 'de')
+@query("""WITH u AS (SELECT doc_id, 'd' || doc_id AS id, unnest(['m' || (doc_id // 10), 'm' || (3 * doc_id // 10)]) AS link FROM documents), t AS (SELECT 'd' || doc_id AS dst, 'm' || (doc_id // 10) AS dir FROM documents WHERE lang = 'de')
     SELECT DISTINCT u.id AS src, t.dst FROM u JOIN t ON t.dir = u.link""")
 def module_links(spark, d):
+    """Ten documents share a folder, as the files of a module do; each names its own and another one."""
     docs = table(spark, d, "documents")
-    ident, folder = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.concat_ws("/", "lang", "source")
-    return graph.module_links(docs.select(ident, F.array(folder, F.concat(F.lit("de/src"), (F.col("doc_id") % 7).cast("string"))).alias("links")), docs.filter("lang = 'de'").select(ident, folder.alias("dir")))
+    folder = lambda n: F.concat(F.lit("m"), F.floor(F.col("doc_id") * n / 10).cast("string"))
+    ident = F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id")
+    return graph.module_links(docs.select(ident, F.array(folder(1), folder(3)).alias("links")), docs.filter("lang = 'de'").select(ident, folder(1).alias("dir")))
 
 
 @query(f"""WITH {LINES_SQL}, r AS (SELECT path, 'u' || line AS unit, line AS start, line + 2 AS "end", line AS ord FROM lines WHERE length(text) > 40)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import go_refs, parsers
-from ..operators import history, packages, rollups, source_graph, timeline
+from ..operators import history, incremental, packages, rollups, source_graph, timeline
 from ..staging import stage
 
 MODULE = "example.com/m"
@@ -114,7 +114,27 @@ def subtotals(spark: SparkSession, d: str) -> DataFrame:
     return met.select(*keys, "depth", "n", "amount", "texts", (F.abs(F.col("distinct") - F.col("texts")) <= 0.05 * F.col("texts")).alias("near"))
 
 
-QUERIES = {"method_calls": method_calls, "package_order": package_order, "unit_history": unit_history, "last_view": last_view, "views_before": views_before, "subtotals": subtotals}
+def edges_after_change(spark: SparkSession, d: str) -> DataFrame:
+    """src, dst, kind, n: uses of names between documents, brought up to date where labels say that a document changed.
+
+    A document defines f and its id and uses the names of the next, the one after and
+    the one at twice its id. One labelled good comes to define another name, one labelled
+    bad comes to define the name of the document before as well, a toxic one goes.
+    """
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("i"))
+    labels = spark.read.parquet(f"{d}/labels.parquet").groupBy(F.col("doc_id").alias("i")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = stage(docs.join(labels, "i", "left"), "labelled")
+    file, name = F.concat(F.lit("d"), F.col("i").cast("string")), lambda n: F.concat(F.lit("f"), n.cast("string"))
+    uses = rows.select("toxic", file.alias("file"), file.alias("src"), F.explode(F.array(name(F.col("i") + 1), name(F.col("i") + 2), name(F.col("i") * 2))).alias("name"), F.lit("calls").alias("kind"))
+    now = F.when(F.col("quality") == 1, F.array(F.concat(name(F.col("i")), F.lit("b")))).when(F.col("quality") == 0, F.array(name(F.col("i")), name(F.col("i") - 1))).otherwise(F.array(name(F.col("i"))))
+    before, after = rows.select(file.alias("file"), name(F.col("i")).alias("name"), file.alias("target")), rows.filter("toxic IS NULL OR toxic = 0").select(file.alias("file"), F.explode(now).alias("name"), file.alias("target"))
+    changed = rows.filter("quality IS NOT NULL OR toxic = 1").select(file.alias("file"))
+    old = uses.drop("toxic")
+    edges = stage(incremental.edge_counts(old, before), "edges")
+    return incremental.changed_counts(edges, (old, uses.filter("toxic IS NULL OR toxic = 0").drop("toxic")), (before, after), changed)
+
+
+QUERIES = {"edges_after_change": edges_after_change, "method_calls": method_calls, "package_order": package_order, "unit_history": unit_history, "last_view": last_view, "views_before": views_before, "subtotals": subtotals}
 
 ORACLE_SQL = {
     "method_calls": """
@@ -164,4 +184,16 @@ ORACLE_SQL = {
     "subtotals": """
         SELECT lang, source, CAST(2 - grouping(lang) - grouping(source) AS INTEGER) AS depth, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS amount, count(DISTINCT text) AS texts, TRUE AS near
         FROM documents GROUP BY ROLLUP (lang, source)""",
+    "edges_after_change": """
+        WITH l AS (
+            SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+        a AS (
+            SELECT d.doc_id AS i, l.quality FROM documents d LEFT JOIN l USING (doc_id) WHERE coalesce(l.toxic, 0) = 0),
+        f AS (
+            SELECT i, 'f' || i || CASE WHEN quality = 1 THEN 'b' ELSE '' END AS name FROM a UNION ALL SELECT i, 'f' || (i - 1) FROM a WHERE quality = 0),
+        o AS (
+            SELECT name, min(i) AS i FROM f GROUP BY name HAVING count(*) = 1),
+        u AS (
+            SELECT i, 'f' || unnest([i + 1, i + 2, 2 * i]) AS name FROM a)
+        SELECT 'd' || u.i AS src, 'd' || o.i AS dst, 'calls' AS kind, count(*) AS n FROM u JOIN o USING (name) GROUP BY u.i, o.i""",
 }
