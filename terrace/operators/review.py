@@ -5,15 +5,20 @@ units: id, path, kind, language, name, start, source. edges: src, dst, kind.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_digest, plural
+from ..staging import stage
 from .ranges import first_range
 from .relational import top_k, top_overall, union_all
 
 #: Fixed values.
-RENAME_THRESHOLD, MAX_RENAME_PAIRS, MAX_RELATED, MAX_STOPS = 0.7, 4096, 12, 32
+RENAME_THRESHOLD, MAX_RELATED, MAX_STOPS = 0.7, 12, 32
+#: Sizes within this factor of one another are one cell.
+CELL = 1.3
 
 
 def compare(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -67,14 +72,53 @@ def mutual_best(scores: DataFrame, least: float = RENAME_THRESHOLD) -> DataFrame
     return best("old").join(best("new").select("old", "new"), ["old", "new"])
 
 
-def rename_candidates(changes: DataFrame, most: int = MAX_RENAME_PAIRS) -> DataFrame | None:
-    """Removed and added units of one kind and language, paired; None where there would be too many to compare."""
-    removed, added = changes.filter("status = 'removed'"), changes.filter("status = 'added'")
-    if removed.count() * added.count() > most:
-        return None
-    old = removed.select(F.col("id").alias("old"), "kind", "language", F.col("name").alias("old_name"), F.col("before_source").alias("before"))
-    new = added.select(F.col("id").alias("new"), "kind", "language", F.col("name").alias("new_name"), F.col("after_source").alias("after"))
-    return old.join(new, ["kind", "language"])
+def rename_candidates(changes: DataFrame, least: float = RENAME_THRESHOLD) -> DataFrame:
+    """Removed and added units of one kind and language that may score ``least`` or more, paired.
+
+    A unit's lines, trimmed and with a mark for its own name, are a set of (line, how often
+    before). Two bodies that are alike share a part of these sets, so they meet in one of
+    the first lines of either, rarest first, that leave room for that part; only units of
+    fitting size meet there. Bodies that are equal but for the name meet as a whole; of more
+    than two of a side, which tie whatever they are compared with, two stand for all. A line
+    with both names counts as different when pairs are sought.
+    """
+
+    def side(status: str, name: str, source: str) -> DataFrame:
+        own = changes.filter(F.col("status") == status).select(F.lit(name).alias("side"), "id", "kind", "language", F.col("name"), F.col(source).alias("source"))
+        short = F.element_at(F.split(F.element_at(F.split(F.trim("name"), r"\s+"), -1), r"\."), -1)
+        text = F.regexp_replace(F.coalesce("source", F.lit("")), "\n$", "")
+        pattern = F.concat(F.lit(r"(?U)(?<!\w)\Q"), short, F.lit(r"\E(?!\w)"))
+        clean = lambda t: F.transform(F.split(t, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+        marked = F.when(short == "", text).otherwise(F.regexp_replace(text, pattern, F.lit("\0")))
+        return own.select("side", "id", "kind", "language", "name", "source", clean(marked).alias("lines"), clean(text).alias("plain"))
+
+    both = stage(side("removed", "old", "before_source").unionByName(side("added", "new", "after_source")).withColumn("body", F.xxhash64(F.array_join("lines", "\n"))), "bodies")
+    # Of equal bodies two a side are enough to tell a tie.
+    few = top_k(both.select("kind", "language", "body", "side", "id"), ["kind", "language", "body", "side"], [F.col("id")], 2, "copy").select("id", "side")
+    both = stage(both.join(few, ["id", "side"], "left_semi"), "bodies")
+    named = lambda c: both.filter(F.col("side") == c).select("kind", "language", "body", F.col("id").alias(c))
+    equal = named("old").join(named("new"), ["kind", "language", "body"]).select("old", "new")
+
+    # A line of an added unit counts marked and as it is, for the other's name may stand in it from the start.
+    forms = F.when(F.col("side") == "old", F.col("lines")).otherwise(F.concat("lines", F.filter("plain", lambda x: ~F.array_contains("lines", x))))
+    each = both.filter("size(lines) >= 3").select("side", "id", "kind", "language", F.size("lines").alias("n"), F.explode(forms).alias("line"))
+    times = each.groupBy("side", "id", "kind", "language", "n", "line").agg(F.count(F.lit(1)).alias("times"))
+    tokens = times.select("side", "id", "kind", "language", "n", F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "times"), lambda k: F.xxhash64("line", k))).alias("token"))
+    key = ["kind", "language", "token"]
+    shared = tokens.groupBy(*key).agg(F.count(F.lit(1)).alias("holders"), F.count_distinct("side").alias("sides")).filter("sides = 2").drop("sides")
+    placed = tokens.join(shared, key)
+    place, all_ = Window.partitionBy("side", "id").orderBy("holders", "token"), Window.partitionBy("side", "id")
+    placed = placed.withColumn("left", F.count(F.lit(1)).over(all_) - F.row_number().over(place) + 1)
+    part = least / 2  # of the lines of both
+    smallest = F.greatest(F.lit(3), F.ceil(F.col("n") * part / (1 - part)))
+    placed = placed.filter(F.col("left") >= part * (F.col("n") + smallest) - 1e-6).withColumn("cell", F.floor(F.log("n") / math.log(CELL)))
+    reach = math.ceil(math.log((1 - part) / part) / math.log(CELL)) + 1
+    old = placed.filter("side = 'old'").select(*key, F.col("id").alias("old"), F.col("n").alias("o_n"), F.col("left").alias("o_left"), F.explode(F.sequence(F.col("cell") - reach, F.col("cell") + reach)).alias("cell"))
+    new = placed.filter("side = 'new'").select(*key, F.col("id").alias("new"), F.col("n").alias("n_n"), F.col("left").alias("n_left"), "cell")
+    near = old.join(new, [*key, "cell"]).filter((F.least("o_left", "n_left") >= part * (F.col("o_n") + F.col("n_n")) - 1e-6) & (F.col("o_n") <= 2 * F.col("n_n")) & (F.col("n_n") <= 2 * F.col("o_n")))
+    pairs = near.select("old", "new").unionByName(equal).distinct()
+    of = lambda c, source: both.filter(F.col("side") == c).select(F.col("id").alias(c), "kind", "language", F.col("name").alias(f"{c}_name"), F.col("source").alias(source))
+    return pairs.join(of("old", "before"), "old").join(of("new", "after"), ["new", "kind", "language"]).select("kind", "language", "old", "old_name", "before", "new", "new_name", "after")
 
 
 def apply_renames(changes: DataFrame, matches: DataFrame) -> DataFrame:
