@@ -27,14 +27,21 @@ def collect_evidence(items: DataFrame, indexed: DataFrame, most: int = MAX_ITEMS
 
 
 def document_references(documents: DataFrame, terms: DataFrame, most: int = MAX_DOCUMENTS) -> DataFrame:
-    """term, path, line: the first line of each document with ``term`` as a whole token; the first documents by path.
+    """term, path, line, text: the first line of each document with ``term`` as a whole token, cut to MAX_DETAIL bytes; the first documents by path.
 
     Lines are cut into tokens once and met with all terms by an equi join.
     """
     lines = documents.select("path", F.posexplode(F.split("source", "\n", -1)).alias("n", "text"))
     tokens = lines.select("path", (F.col("n") + 1).alias("line"), F.explode(F.array_distinct(F.split("text", TOKEN_EDGE))).alias("token")).filter("token <> ''")
     hits = tokens.join(terms.select(F.col("term").alias("token")).distinct(), "token").groupBy(F.col("token").alias("term"), "path").agg(F.min("line").alias("line"))
-    return top_k(hits, ["term"], [F.col("path")], most, "n").drop("n")
+    first = top_k(hits, ["term"], [F.col("path")], most, "n").drop("n")
+    return first.join(lines.select("path", (F.col("n") + 1).alias("line"), "text"), ["path", "line"]).select("term", "path", "line", within_bytes(F.col("text"), MAX_DETAIL).alias("text"))
+
+
+def within_bytes(text: Column, most: int) -> Column:
+    """As many whole characters from the start as fit in ``most`` bytes."""
+    fits = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(most)), lambda k: F.octet_length(F.left(text, k)) <= most))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.left(text, fits))
 
 
 def history(log: DataFrame, key: str, now, k: int = MAX_COMMITS, days: int = WINDOW_DAYS) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from .relational import top_k, top_overall, union_all
 
 #: Fixed values.
 RENAME_THRESHOLD, MAX_RELATED, MAX_STOPS = 0.7, 12, 32
+PHRASES = {"unchanged-callers": "are called from code that did not change with them", "tests-changed": "have tests that changed with them", "tests-unchanged": "have tests that did not change"}
 #: Sizes within this factor of one another are one cell.
 CELL = 1.3
 
@@ -160,9 +161,12 @@ def signals(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, supp
 
 
 def signal_counts(found: DataFrame) -> DataFrame:
-    """signal, units, detail."""
+    """signal, units, detail, phrase: how many changed units each signal holds for, and what it says of them."""
     n = found.groupBy("signal").agg(F.count(F.lit(1)).alias("units"))
-    return n.select("signal", "units", plural(F.col("units"), "changed unit").alias("detail"))
+    said = F.lit("have no test that calls them")
+    for signal, words in PHRASES.items():
+        said = F.when(F.col("signal") == signal, words).otherwise(said)
+    return n.select("signal", "units", plural(F.col("units"), "changed unit").alias("detail"), said.alias("phrase"))
 
 
 def change_stops(changes: DataFrame, most: int = MAX_STOPS) -> DataFrame:

@@ -118,9 +118,11 @@ def graph_nodes(spark, d):
     return nodes.select("id", "name", "kind", "path", "language", "start", F.array_join("roles", ",").alias("roles"))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT src, dst, kind, ord FROM edges")
+@query(f"""WITH {GRAPH_SQL} SELECT src, dst, kind, ord, t.provider, CAST(CASE WHEN kind = 'contains' AND dst LIKE 'c:%' OR kind IN ('imports', 'route-to-handler', 'local-module-source') OR dst LIKE 'o:%' THEN 1 ELSE ord END AS BIGINT) AS first, t.provider || ' of ' || kind AS detail
+    FROM edges JOIN (VALUES ('n', 'c', 'customer'), ('c', 'o', 'orders'), ('o', 'p', 'lineitem'), ('p', 's', 'lineitem'), ('o', 's', 'lineitem'), ('s', 'n', 'supplier'), ('n', 'r', 'nation')) t(a, b, provider) ON edges.src[1] = t.a AND edges.dst[1] = t.b""")
 def graph_edges(spark, d):
-    return tables.edges_of(spark, d).select("src", "dst", "kind", "ord")
+    """Edges with what they come from: the table and line of the first of equal ones."""
+    return tables.edges_of(spark, d, True).select("src", "dst", "kind", "ord", "provider", "first", "detail")
 
 
 @query("""WITH u AS (SELECT doc_id, 'd' || doc_id AS id, unnest(['m' || (doc_id // 10), 'm' || (3 * doc_id // 10)]) AS link FROM documents), t AS (SELECT 'd' || doc_id AS dst, 'm' || (doc_id // 10) AS dir FROM documents WHERE lang = 'de')
@@ -249,8 +251,9 @@ def last_five(spark, d):
 
 
 @query(f"""WITH {LINES_SQL}, terms AS (SELECT DISTINCT regexp_split_to_array(text, '[^\\p{{L}}\\p{{Nd}}_./-]+')[3] AS term FROM benchmark),
-    tok AS (SELECT path, line, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{Nd}}_./-]+')) AS term FROM lines)
-    SELECT tok.term, path, min(line) AS line FROM tok JOIN terms USING (term) WHERE tok.term <> '' GROUP BY tok.term, path QUALIFY row_number() OVER (PARTITION BY tok.term ORDER BY path) <= 6""")
+    tok AS (SELECT path, line, unnest(regexp_split_to_array(text, '[^\\p{{L}}\\p{{Nd}}_./-]+')) AS term FROM lines),
+    h AS (SELECT tok.term, path, min(line) AS line FROM tok JOIN terms USING (term) WHERE tok.term <> '' GROUP BY tok.term, path QUALIFY row_number() OVER (PARTITION BY tok.term ORDER BY path) <= 6)
+    SELECT h.term, h.path, h.line, left(l.text, list_max(list_filter(range(0, 401), lambda k: octet_length(encode(left(l.text, k))) <= 400))) AS text FROM h JOIN lines l USING (path, line)""")
 def document_reference(spark, d):
     terms = table(spark, d, "benchmark").select(F.get(F.split("text", evidence.TOKEN_EDGE), F.lit(2)).alias("term")).distinct()
     return evidence.document_references(tables.files(spark, d), terms)
@@ -507,7 +510,7 @@ def signals(spark, d):
     return _signals(spark, d)
 
 
-@query(f"WITH {SIGNALS_SQL} SELECT signal, count(*) AS units, count(*) || ' changed unit' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS detail FROM signals GROUP BY signal")
+@query(f"WITH {SIGNALS_SQL} SELECT signal, count(*) AS units, count(*) || ' changed unit' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS detail, CASE signal WHEN 'unchanged-callers' THEN 'are called from code that did not change with them' WHEN 'tests-changed' THEN 'have tests that changed with them' WHEN 'tests-unchanged' THEN 'have tests that did not change' ELSE 'have no test that calls them' END AS phrase FROM signals GROUP BY signal")
 def signal_counts(spark, d):
     return review.signal_counts(_signals(spark, d))
 

@@ -46,10 +46,12 @@ def raw_roles(spark: SparkSession, d: str) -> DataFrame:
     ])
 
 
-def raw_edges(spark: SparkSession, d: str) -> DataFrame:
+def raw_edges(spark: SparkSession, d: str, origins: bool = False) -> DataFrame:
+    """src, dst, kind, ord; with ``origins`` also provider, first (a line, from 1) and detail."""
+
     def edge(name: str, a: str, src: str, b: str, dst: str, kind: str, where: str = "true", ord_col: str = "0") -> DataFrame:
         key = lambda p, c: F.concat(F.lit(f"{p}:"), F.col(c).cast("string"))
-        return table(spark, d, name).filter(where).select(key(a, src).alias("src"), key(b, dst).alias("dst"), F.lit(kind).alias("kind"), F.expr(ord_col).cast("int").alias("ord"))
+        return table(spark, d, name).filter(where).select(key(a, src).alias("src"), key(b, dst).alias("dst"), F.lit(kind).alias("kind"), F.expr(ord_col).cast("int").alias("ord"), *([F.lit(name).alias("provider"), F.greatest(F.lit(1), F.expr(ord_col)).cast("long").alias("first"), F.lit(f"{name} of {kind}").alias("detail")] if origins else []))
 
     return union_all([
         edge("customer", "n", "c_nationkey", "c", "c_custkey", "contains"), edge("orders", "c", "o_custkey", "o", "o_orderkey", "calls"),
@@ -66,8 +68,8 @@ def graph_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return stage(graph.scored(nodes, edges), "scored", "lz4"), edges
 
 
-def edges_of(spark: SparkSession, d: str) -> DataFrame:
-    return graph.add_edges(raw_edges(spark, d), raw_nodes(spark, d))
+def edges_of(spark: SparkSession, d: str, origins: bool = False) -> DataFrame:
+    return graph.add_edges(raw_edges(spark, d, origins), raw_nodes(spark, d))
 
 
 GRAPH_SQL = """

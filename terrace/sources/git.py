@@ -4,7 +4,7 @@
 ``terrace_git_tree``: path, blob_id, mode, of a revision or of the index.
 ``terrace_git_blob``: blob_id, content, of the ids given, dealt over partitions.
 ``terrace_git_blame``: line, commit, ts, text, of a file.
-``terrace_git_status``: path, place (staged, unstaged or untracked), of the tree as it is.
+``terrace_git_status``: path, place (staged, unstaged or untracked), of the tree as it is; place ``note``: why a listing failed.
 ``terrace_git_commits``: n, commit, parents, day, author, subject, files, of the newest commits.
 ``terrace_git_refs``: ref, tip, day, fork, ahead, of branches that are ahead of ``base``.
 """
@@ -140,12 +140,13 @@ def default_branch(root: str) -> str:
 
 
 def status_rows(root: str) -> list[tuple]:
-    """(path, place) of what has changed; a listing that fails or says too much counts as empty."""
+    """(path, place) of what has changed; of a listing that fails, or says too much, a row with the reason in place of ``note``."""
     rows = []
     for place, command in PLACES.items():
         try:
             out = git(root, *command, most=4 * MAX_OUTPUT, seconds=LIST_SECONDS)
-        except EngineError:
+        except EngineError as e:
+            rows.append((f"{place} files could not be listed: {e}", "note"))
             continue
         rows += [(path, place) for path in out.decode(errors="replace").split("\0") if path]
     return rows
