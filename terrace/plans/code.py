@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import go_refs, parsers
+from ..functions import go_refs, parsers, strict_json, table_functions
 from ..operators import history, incremental, packages, rollups, source_graph, timeline
 from ..staging import stage
+from ..streaming import sessions
 
 MODULE = "example.com/m"
 
@@ -134,7 +135,30 @@ def edges_after_change(spark: SparkSession, d: str) -> DataFrame:
     return incremental.changed_counts(edges, (old, uses.filter("toxic IS NULL OR toxic = 0").drop("toxic")), (before, after), changed)
 
 
-QUERIES = {"edges_after_change": edges_after_change, "method_calls": method_calls, "package_order": package_order, "unit_history": unit_history, "last_view": last_view, "views_before": views_before, "subtotals": subtotals}
+def strict_props(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, k, reason: the properties of events as JSON with one known key; some kinds of event have a key more, text for a number, or no whole object."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    text = F.when(kind == "purchase", F.concat(F.lit('{"k": '), number, F.lit(', "more": [1, {"k": 2}]}'))).when(kind == "view", F.concat(F.lit('{"k": "'), number, F.lit('"}'))).when(kind == "click", F.concat(F.lit('{"k": '), number)).when(kind == "error", F.concat(F.lit("["), number, F.lit("]"))).otherwise(F.concat(F.lit('{"k": '), number, F.lit("}")))
+    got = strict_json.strictly(events.select("event_id", text.alias("t")), "t", {"k": "bigint"}, ("k",))
+    return got.select("event_id", F.col("value.k").alias("k"), "reason")
+
+
+def role_runs(spark: SparkSession, d: str) -> DataFrame:
+    """conv_id, run, value, rows, first_turn: stretches of turns of one role, by a table function called from SQL."""
+    table_functions.register(spark)
+    turns = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role")
+    return spark.sql("SELECT first_conv_id AS conv_id, run, value, rows, first_turn FROM runs(TABLE({turns}) PARTITION BY conv_id ORDER BY (turn), 'role', 'conv_id', 'turn')", turns=turns)
+
+
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, start, end, events: sessions of users, parted by three hours without an event."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = sessions.sessions(events, "user_id", "ts", "3 hours")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("end", "yyyy-MM-dd HH:mm:ss").alias("end"), "events")
+
+
+QUERIES = {"strict_props": strict_props, "role_runs": role_runs, "event_sessions": event_sessions, "edges_after_change": edges_after_change, "method_calls": method_calls, "package_order": package_order, "unit_history": unit_history, "last_view": last_view, "views_before": views_before, "subtotals": subtotals}
 
 ORACLE_SQL = {
     "method_calls": """
@@ -196,4 +220,23 @@ ORACLE_SQL = {
         u AS (
             SELECT i, 'f' || unnest([i + 1, i + 2, 2 * i]) AS name FROM a)
         SELECT 'd' || u.i AS src, 'd' || o.i AS dst, 'calls' AS kind, count(*) AS n FROM u JOIN o USING (name) GROUP BY u.i, o.i""",
+    "strict_props": """
+        WITH t AS (
+            SELECT event_id, CASE event_type WHEN 'purchase' THEN '{"k": ' || event_id || ', "more": [1, {"k": 2}]}' WHEN 'view' THEN '{"k": "' || event_id || '"}' WHEN 'click' THEN '{"k": ' || event_id WHEN 'error' THEN '[' || event_id || ']' ELSE '{"k": ' || event_id || '}' END AS t FROM events),
+        r AS (
+            SELECT event_id, t, CASE WHEN NOT json_valid(t) THEN 'no JSON' WHEN json_type(t) <> 'OBJECT' THEN 'no object' WHEN len(list_filter(json_keys(t), lambda x: x <> 'k')) > 0 THEN 'unknown key ' || list_min(list_filter(json_keys(t), lambda x: x <> 'k'))
+                WHEN json_type(t, '$.k') NOT IN ('UBIGINT', 'BIGINT') THEN 'k is no bigint' END AS reason FROM t)
+        SELECT event_id, CASE WHEN reason IS NULL THEN CAST(json_extract(t, '$.k') AS BIGINT) END AS k, reason FROM r""",
+    "role_runs": """
+        WITH f AS (
+            SELECT *, CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS fresh FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+        r AS (
+            SELECT *, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM f)
+        SELECT conv_id, run, any_value(role) AS value, count(*) AS rows, min(turn) AS first_turn FROM r GROUP BY conv_id, run""",
+    "event_sessions": """
+        WITH f AS (
+            SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 3 HOURS THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+        s AS (
+            SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM f)
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 3 HOURS, '%Y-%m-%d %H:%M:%S') AS end, count(*) AS events FROM s GROUP BY user_id, n""",
 }
