@@ -79,6 +79,12 @@ def dirname(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_extract(path, r"^(.*)/[^/]*$", 1)).otherwise(F.lit("."))
 
 
+def folders_above(path: Column) -> Column:
+    """Every directory above a path; the root is the empty one."""
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+    return F.when(folder == "", F.array(F.lit(""))).otherwise(F.array_union(F.array(F.lit("")), path_prefixes(folder)))
+
+
 def path_prefixes(path: Column) -> Column:
     """Every ancestor of a path, from the root, and the path itself."""
     parts = F.split(path, "/")

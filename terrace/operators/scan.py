@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EngineError, Kind
-from ..functions.text import content_digest, path_prefixes
+from ..functions.text import content_digest, folders_above, path_prefixes
 from ..staging import bounded
 
 #: Limits of a scan, and names that are never indexed.
@@ -54,9 +54,7 @@ def ignore_verdicts(paths: DataFrame, rules: DataFrame) -> DataFrame:
     ruled = bounded(rules.select(F.col("dir").alias("above")).distinct())
     own = paths.select("path").distinct()
     each = own.select("path", F.posexplode(path_prefixes(F.col("path"))).alias("n", "prefix")).withColumn("is_dir", F.col("prefix") != F.col("path"))
-    folder = F.regexp_extract("prefix", "^(.*)/[^/]*$", 1)
-    above = F.when(folder == "", F.array(F.lit(""))).otherwise(F.array_union(F.array(F.lit("")), path_prefixes(folder)))
-    met = each.withColumn("above", F.explode(above)).join(ruled, "above", "left_semi").join(bounded(rules, 10_000), F.col("above") == F.col("dir"))
+    met = each.withColumn("above", F.explode(folders_above(F.col("prefix")))).join(ruled, "above", "left_semi").join(bounded(rules, 10_000), F.col("above") == F.col("dir"))
     hits = met.filter((F.col("is_dir") | ~F.col("dir_only")) & F.expr("(CASE WHEN dir = '' THEN prefix ELSE substring(prefix, length(dir) + 2) END) RLIKE regex"))
     verdict = hits.groupBy("path", "n").agg(F.max_by(~F.col("negate"), F.struct("depth", "ord")).alias("hit")).groupBy("path").agg(F.bool_or("hit").alias("hit"))
     return paths.select("path").distinct().join(verdict, "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("ignored"))

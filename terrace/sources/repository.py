@@ -13,6 +13,8 @@ import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import EngineError, Kind
@@ -54,6 +56,19 @@ def load_rules(root: str, directory: str) -> list[ignore.Rule]:
         return [ignore.Rule(".*", False, False)]
 
 
+def rule_table(directories: DataFrame, root: str) -> DataFrame:
+    """dir, depth, ord, regex, negate, dir_only: the rules of each directory (dir) of a tree, read where its row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, d.count("/") + bool(d), n, r.regex, r.negate, r.dir_only) for d in batch.column(0).to_pylist() for n, r in enumerate(load_rules(root, d))]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["dir", "depth", "ord", "regex", "negate", "dir_only"])
+
+    return directories.select("dir").mapInArrow(run, "dir string, depth int, ord int, regex string, negate boolean, dir_only boolean")
+
+
 def walk(root: str) -> list[tuple[str, int]]:
     """(path, bytes) of the files to index, in order of path."""
     out: list[tuple[str, int]] = []
