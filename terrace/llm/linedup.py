@@ -91,16 +91,18 @@ def running(df: DataFrame, keys: list[str], amount: str, group: str) -> DataFram
     return out.select(*df.columns, (F.col("before") + F.col("shift")).alias("before"), F.when(F.col("group_before") < 0, F.col("carried")).otherwise(F.col("group_before") + F.col("shift")).alias("group_before"))
 
 
-def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Written table: row (an identity for each row, in no order), doc_id, text, lines (array of line identifiers)."""
+def numbered(df: DataFrame, id_col: str, text_col: str, words: int | None = None) -> DataFrame:
+    """Written table: row (an identity for each row, in no order), doc_id, text, lines (identifier of each line, and whether it has ``words`` words)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    return stage(rows.withColumn("lines", F.transform(F.split("text", "\n", -1), lambda s: F.unhex(F.sha2(s, 256)))), "lines")
+    # Lines of fewer bytes can't hold as many words, and need no count.
+    long = (lambda s: (F.octet_length(s) >= 2 * words - 1) & (word_count(s) >= words)) if words else (lambda s: F.lit(False))
+    return stage(rows.withColumn("lines", F.transform(F.split("text", "\n", -1), lambda s: F.struct(F.unhex(F.sha2(s, 256)).alias("id"), long(s).alias("long")))), "lines")
 
 
 def first_ranks(docs: DataFrame) -> DataFrame:
     """row, at, rank, size of the suffixes that start with a repeated line; rank is the first place of the line's group."""
-    lines = docs.select("row", F.posexplode("lines").alias("at", "line"))
+    lines = docs.select("row", F.posexplode("lines.id").alias("at", "line"))
     counts = lines.groupBy("line").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     # The order of lines is that of their identifiers' first seven bytes, and of all where these agree.
     keyed = counts.select(F.conv(F.hex(F.substring("line", 1, 7)), 16, 10).cast("long").alias("high"), "line", "size")
@@ -193,8 +195,8 @@ def word_count(s: Column) -> Column:
     return F.when(s == "", 0).when(plain, blanks + 1 - ends).otherwise(F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")))
 
 
-def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = LONG_LINE) -> DataFrame:
-    """row, at, lines, copies: starts of ``least`` lines, or of one line of ``words`` words, that stand earlier too, and how often they occur."""
+def later_copies(docs: DataFrame, least: int = MIN_LINES, singly: bool = True) -> DataFrame:
+    """row, at, lines, copies: starts of ``least`` lines, or of one long line if ``singly``, that stand earlier too, and how often they occur."""
     final, parted, levels = suffix_array(docs)
     lcp = common_prefixes(final, parted, levels)
     # A run of places with a long common prefix, and the place before it, is an interval.
@@ -203,10 +205,9 @@ def later_copies(docs: DataFrame, least: int = MIN_LINES, words: int | None = LO
     flagged = places.select("place", (1 - F.col("joined")).cast("long").alias("opens"))
     summed = running(flagged, ["place"], "opens", "place").select("place", (F.col("before") + F.col("opens")).alias("interval"))
     out = but_first(summed.join(final, F.col("place") == F.col("rank")).select("interval", "row", "at"), docs, least)
-    if words is None:
+    if not singly:
         return out
-    long = F.transform(F.split("text", "\n", -1), lambda s: (F.length(s) >= 2 * words - 1) & (word_count(s) >= words))  # shorter lines can't hold as many, and need no count
-    each = docs.select(F.col("row").alias("l_row"), F.posexplode(long).alias("l_at", "long")).filter("long")
+    each = docs.select(F.col("row").alias("l_row"), F.posexplode("lines.long").alias("l_at", "long")).filter("long")
     alone = levels[0].join(each, (F.col("row") == F.col("l_row")) & (F.col("at") == F.col("l_at"))).select(F.col("rank").alias("interval"), "row", "at")
     return out.unionByName(but_first(alone, docs, 1))
 
@@ -225,8 +226,8 @@ def drop_repeated_runs(df: DataFrame, least: int = MIN_LINES, id_col: str = "doc
     the order in which they were read. An empty table gives no rows; other columns
     are not read.
     """
-    docs = numbered(df, id_col, text_col)
-    starts = later_copies(docs, least, words)
+    docs = numbered(df, id_col, text_col, words)
+    starts = later_copies(docs, least, words is not None)
     per_row = starts.groupBy(F.col("row").alias("s_row")).agg(F.sort_array(F.collect_list(F.struct("at", "lines", "copies"))).alias("starts"))
     joined = docs.select("row", "doc_id", "text").join(per_row, F.col("row") == F.col("s_row"), "left").select("doc_id", "text", "starts")
 
