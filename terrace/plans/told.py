@@ -76,7 +76,7 @@ def change_narration(spark, d):
 
 
 @query(f"""WITH l AS (SELECT DISTINCT 'o:' || l_orderkey AS id, CASE WHEN l_returnflag = 'R' THEN 'tested-by' WHEN l_returnflag = 'A' THEN 'calls' ELSE 'imports' END AS kind, CASE WHEN l_quantity > 25 THEN 'added' ELSE 'removed' END AS change, 'unit:x:func ' || l_suppkey AS dst, l_orderkey FROM lineitem),
-    r AS (SELECT *, row_number() OVER (PARTITION BY id, kind, change ORDER BY dst) AS spot, count(*) OVER (PARTITION BY id, kind, change) AS total FROM l WHERE NOT (kind = 'tested-by' AND change = 'added' AND l_orderkey % 2 = 0)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id, kind, change ORDER BY dst) AS spot, count(*) OVER (PARTITION BY id, kind, change) AS total FROM l WHERE NOT (kind = 'tested-by' AND change = 'added' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))),
     g AS (SELECT id, change, kind, max(total) AS total, list(substr(dst, 13) ORDER BY spot) AS names FROM r WHERE spot <= 2 GROUP BY id, change, kind)
     SELECT id, change, kind, CASE WHEN kind = 'tested-by' THEN CASE change WHEN 'added' THEN 'Newly tested by ' ELSE 'No longer tested by ' END ELSE CASE change WHEN 'added' THEN 'Newly: ' ELSE 'No longer: ' END || kind || ' ' END
         || {LISTED.format("names")} || CASE WHEN total > 2 THEN ' and ' || (total - 2) || ' more' ELSE '' END || '.' AS sentence FROM g""")
@@ -85,7 +85,7 @@ def relation_narration(spark, d):
     flag = F.col("l_returnflag")
     kind = F.when(flag == "R", "tested-by").when(flag == "A", "calls").otherwise("imports")
     delta = table(spark, d, "lineitem").select(F.concat(F.lit("o:"), F.col("l_orderkey").cast("string")).alias("src"), kind.alias("kind"), F.when(F.col("l_quantity") > 25, "added").otherwise("removed").alias("change"), F.concat(F.lit("unit:x:func "), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
-    tested = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"))
+    tested = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("id"))
     return narration.relation_sentences(delta, tested, 2)
 
 
