@@ -176,23 +176,33 @@ def orient(spark, d):
 # Tours
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL},
+#: Walks of a few levels; sixteen stops are found within them.
+TOUR_SQL = f"""{GRAPH_SQL},
     steps AS (SELECT id, target, rank FROM read_next WHERE relationship IN ('calls', 'local-module-source', 'route-to-handler')),
-    starts AS (SELECT id, row_number() OVER (ORDER BY score DESC, path, start, id) AS rank FROM nodes WHERE is_unit AND language <> 'document' AND list_contains(roles, 'entry point')),
+    units AS (SELECT id, roles, row_number() OVER (ORDER BY score DESC, path, start, id) AS rank FROM nodes WHERE is_unit AND language <> 'document'),
+    entries AS (SELECT id, rank FROM units WHERE list_contains(roles, 'entry point')),
+    starts AS (SELECT id, row_number() OVER (ORDER BY rank) AS rank FROM (SELECT * FROM entries UNION ALL SELECT id, rank FROM units WHERE rank = 1 AND NOT EXISTS (FROM entries))),
     walk AS (
         SELECT id, 0 AS depth, [rank] AS spot FROM starts
         UNION ALL
         SELECT s.target, w.depth + 1, list_append(w.spot, s.rank) FROM walk w JOIN steps s ON s.id = w.id WHERE w.depth < 3),
     first AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id),
-    spots AS (SELECT w.id, w.depth, min(w.spot) AS spot FROM walk w JOIN first f ON f.id = w.id AND f.depth = w.depth GROUP BY w.id, w.depth)
-    SELECT row_number() OVER (ORDER BY s.depth, s.spot) AS stop_no, s.id, s.depth FROM spots s JOIN nodes n ON n.id = s.id WHERE n.is_unit AND n.language <> 'document' QUALIFY stop_no <= 16""")
+    spots AS (SELECT w.id, w.depth, min(w.spot) AS spot FROM walk w JOIN first f ON f.id = w.id AND f.depth = w.depth GROUP BY w.id, w.depth),
+    walked AS (SELECT row_number() OVER (ORDER BY s.depth, s.spot) AS stop_no, s.id, s.depth FROM spots s JOIN units USING (id) QUALIFY stop_no <= 16)"""
+
+
+@query(f"WITH RECURSIVE {TOUR_SQL} SELECT stop_no, id, depth FROM walked")
 def tour_bfs(spark, d):
     nodes, edges = tables.graph_of(spark, d)
     starts = graph.ranked(nodes).filter(F.array_contains("roles", "entry point"))
     return navigation.breadth_first(navigation.ranks(starts), navigation.followed_steps(nodes, edges), nodes)
 
 
-@query()
+@query(f"""WITH RECURSIVE {TOUR_SQL},
+    rest AS (SELECT id, row_number() OVER (ORDER BY rank) AS ord FROM units WHERE NOT list_contains(roles, 'test support') QUALIFY ord <= 32),
+    every AS (SELECT id, 0 AS part, stop_no AS ord FROM walked UNION ALL SELECT id, 1, ord FROM rest),
+    once AS (SELECT id, min((part, ord)) AS spot FROM every GROUP BY id)
+    SELECT row_number() OVER (ORDER BY spot) AS stop_no, id FROM once QUALIFY stop_no <= 16""")
 def tour_architecture(spark, d):
     return navigation.architecture(*tables.graph_of(spark, d))
 
