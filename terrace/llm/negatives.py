@@ -215,7 +215,7 @@ def hard_negatives(df: DataFrame, anchors: DataFrame, positives: int = 5, negati
     by_place = F.array_sort(F.collect_list(F.struct("place", "id", "score", "same")))
     # Places that no positive takes get -1, which opens no range.
     scores = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.coalesce(F.try_element_at(F.col("near"), j)["score"], F.lit(-1).cast("long")))
-    opened = stage(whole.join(near.groupBy("kind").agg(by_place.alias("near")), "kind").withColumn("scores", scores).drop("near"), "opened")
+    opened = stage(vectors.shuffled(whole).join(near.groupBy("kind").agg(by_place.alias("near")), "kind").withColumn("scores", scores).drop("near"), "opened")
     hard = two_steps(opened, False, negatives, k)
     hard = hard.groupBy("kind", (F.col("range") + 1).cast("int").alias("place")).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("rank"), "id", "score"))).alias("hard"))
     lists = near.join(hard, ["kind", "place"], "left").groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score", "same", "hard"))).alias("near"))

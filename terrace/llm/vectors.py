@@ -187,6 +187,11 @@ def blocks(rows: DataFrame, key: str) -> DataFrame:
     return cut.groupBy("block").agg(F.first("cell").alias("cell"), F.collect_list(F.struct(*cols)).alias("rows"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that shuffles: written rows and bodies take a small part of their size on disk, by which Spark would send them through the driver to all executors."""
+    return df.hint("merge")
+
+
 def searched(pairs: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     """Rows that ``kernel`` finds for each (rows, body)."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -206,7 +211,7 @@ def at_home(own: DataFrame, shards: DataFrame, kernel: Kernel, schema: str) -> D
     """What each block finds in one shard of its own cell; blocks of a cell take its shards in turn. A cell without rows gives nothing."""
     place = shards.select("cell", "first", "parts").distinct()  # as many rows as the router has cells
     homes = own.join(F.broadcast(place), "cell").select("rows", (F.col("first") + F.pmod("block", "parts")).alias("shard"))
-    return searched(homes.join(shards.select("shard", "body"), "shard"), kernel, schema)
+    return searched(homes.join(shuffled(shards.select("shard", "body")), "shard"), kernel, schema)
 
 
 def elsewhere(own: DataFrame, shards: DataFrame, may_hold: Callable[[Rows, list[dict]], np.ndarray], kernel: Kernel, schema: str) -> DataFrame:
@@ -231,8 +236,8 @@ def elsewhere(own: DataFrame, shards: DataFrame, may_hold: Callable[[Rows, list[
                         yield pa.RecordBatch.from_arrays([pa.array([s["shard"]], pa.int64()), pa.array([block // PART_BLOCKS], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)], names=["shard", "part", "rows"])
 
     todo = stage(met.mapInArrow(run, f"shard long, part long, rows {rows_type}"), "todo")
-    asked = shards.select("shard", "body").join(todo.select("shard", "part").distinct(), "shard")
-    return searched(todo.join(asked, ["shard", "part"]), kernel, schema)
+    asked = shuffled(shards.select("shard", "body")).join(todo.select("shard", "part").distinct(), "shard")
+    return searched(todo.join(shuffled(asked), ["shard", "part"]), kernel, schema)
 
 
 def per_row(each: DataFrame, kinds: DataFrame, lists: DataFrame, id_col: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrace.llm import ann, negatives, vectors
 from terrace.llm.queries import op12_hard_negatives, op13_nearest
@@ -165,3 +166,17 @@ def test_hard_negatives_query(spark, sf_dir):
     own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     rows = [(r["vec_id"], [float(x) for x in r["embedding"]], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"]) for r in own]
     assert sorted(map(tuple, op12_hard_negatives(spark, sf_dir).collect())) == brute_negatives(rows, lambda i: i % 100 == 0, 5, 5, 80, 100, 256, 64)
+
+
+def test_rows_and_bodies_do_not_go_through_the_driver(spark):
+    """Both compress to little on disk, by which Spark would broadcast them."""
+    rows = spark.range(64).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.col("id") + i).cast("double")).alias("vec"), F.lit(0).cast("long").alias("cell"))
+    shards = vectors.make_shards(rows, lambda own, cell: ({"vec": own["vec"]}, {"n": len(own["vec"])}), "struct<n: bigint>")
+    kernel = lambda own, shard: iter([{"id": own["id"]}])
+    home = vectors.at_home(vectors.blocks(rows, "id"), shards, kernel, "id long")
+    rest = vectors.elsewhere(vectors.blocks(rows, "id"), shards, lambda own, s: np.ones((len(own["id"]), len(s)), bool), kernel, "id long")
+    for df in (home, rest):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        body = [line for line in plan.splitlines() if "Join" in line and "shard#" in line]
+        assert body and all("strategy=merge" in line for line in body)
+    assert sorted(r.id for r in home.collect()) == list(range(64)) and rest.count() == 0
