@@ -181,3 +181,20 @@ def test_line_matches_count_every_line(spark, least):
     want = {(*pair, score[pair]) for pair in score if top(pair)}
     got = [tuple(r) for r in catalogue.line_matches(spark.createDataFrame(rows, "doc_id long, source string"), least).collect()]
     assert (302, 301, 0.9) in want and sorted(got) == sorted(want)
+
+
+def test_line_matches_meet_few_of_many_alike(spark, monkeypatch):
+    """Short documents that share one common line: pairs that are compared grow with the documents, not with their square."""
+    written, kept = {}, catalogue.stage
+
+    def stage(df, tag, *more):
+        written[tag] = kept(df, tag, *more)
+        return written[tag]
+
+    monkeypatch.setattr(catalogue, "stage", stage)
+    rows = [(n, f"common\nmark {n // 2 % 150}\nown {n}") for n in range(600)] + [(901, "common"), (902, "common\nelse")]
+    got = [tuple(r) for r in catalogue.line_matches(spark.createDataFrame(rows, "doc_id long, source string"), 0.3).collect()]
+    assert got == [(902, 901, 0.666667)]
+    assert written["scores"].count() <= 3000
+    again = [(0, "a\nb"), (0, "a\nb"), (1, "a\nb"), (3, None)]
+    assert [tuple(r) for r in catalogue.line_matches(spark.createDataFrame(again, "doc_id long, source string"), 0.3).collect()] == [(0, 1, 1.0)]
