@@ -27,7 +27,7 @@ LISTED = "CASE WHEN len({0}) < 2 THEN array_to_string({0}, '') ELSE array_to_str
         || {LISTED.format("names")} || CASE WHEN n > 4 THEN ' and ' || (n - 4) || ' more' ELSE '' END || CASE WHEN place = 0 THEN ' of this tree.' ELSE '.' END AS sentence FROM few s JOIN nodes u ON u.id = s.id AND u.is_unit
     UNION ALL SELECT id, 1, 'No known caller.' FROM nodes WHERE is_unit AND NOT list_contains(roles, 'entry point') AND NOT list_contains(roles, 'test') AND id NOT IN (SELECT id FROM called)""")
 def connections(spark, d):
-    return narration.connections(*tables.graph_of(spark, d))
+    return narration.connections(*tables.keyed_graph(spark, d), name=tables.named_key).withColumn("id", tables.named_key())
 
 
 REASONS = ("Called by func 0", "Tests func 1", "Has a test", "Is a test", "In a file of recent commits", "Aside", "Begins")
