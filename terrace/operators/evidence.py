@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,15 +58,28 @@ def evidence_text(items: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return greedy_prefix(items, keys, [F.concat("provider", "label"), F.col("ord")], F.octet_length("line"), limit)
 
 
-def relation_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, kind, n, other: roles, calls, callers and tests, each cut to its limit; a caller that is a test is told once, as a test."""
+def first_others(df: DataFrame, k: int) -> DataFrame:
+    """node, n, other: the first ``k`` distinct others of each node; equal rows share a rank, so they fall together where they are ranked and need no shuffle of their own."""
+    ranked = df.withColumn("n", F.dense_rank().over(Window.partitionBy("node").orderBy("other"))).filter(F.col("n") <= k)
+    return ranked.groupBy("node", "n", "other").agg(F.count(F.lit(1)).alias("times")).drop("times")
+
+
+def relation_facts(nodes: DataFrame, edges: DataFrame, name: Callable[[str], Column] = F.col) -> DataFrame:
+    """node, kind, n, other: roles, calls, callers and tests, each cut to its limit; a caller that is a test is told once, as a test.
+
+    ``name`` gives the id of a column, where nodes and edges go by keys; node stays a key.
+    """
     roles = nodes.select(F.col("id").alias("node"), F.posexplode(F.array_sort("roles")).alias("n", "other")).select("node", F.lit("role").alias("kind"), (F.col("n") + 1).alias("n"), "other")
-    out = edges.filter(F.col("kind").isin("calls", "local-module-source", "route-to-handler")).select(F.col("src").alias("node"), F.lit("calls").alias("kind"), F.col("dst").alias("other"))
-    tests = edges.filter("kind = 'tested-by'").select(F.col("src").alias("node"), F.lit("tested-by").alias("kind"), F.col("dst").alias("other"))
-    told = top_k(tests, ["node"], [F.col("other")], FACT_LIMITS["tested-by"], "n")
-    callers = edges.filter("kind = 'calls'").select(F.col("dst").alias("node"), F.lit("called-by").alias("kind"), F.col("src").alias("other")).join(told.select("node", "other"), ["node", "other"], "left_anti").select("node", "kind", "other")
-    cut = [top_k(df.distinct(), ["node"], [F.col("other")], FACT_LIMITS[kind], "n") for kind, df in (("calls", out), ("called-by", callers))]
-    return union_all([roles.withColumn("n", F.col("n").cast("int")), *(c.select("node", "kind", "n", "other") for c in (*cut, told))])
+    calls = edges.filter(F.col("kind").isin("calls", "local-module-source", "route-to-handler")).select(F.col("src").alias("node"), name("dst").alias("other"))
+    tests = edges.filter("kind = 'tested-by'").select(F.col("src").alias("node"), name("dst").alias("other"))
+    calls, told = first_others(calls, FACT_LIMITS["calls"]), first_others(tests, FACT_LIMITS["tested-by"])
+    # Tests that are told take the place of as many callers at most, so that many more callers are enough; all three are in place by node.
+    callers = first_others(edges.filter("kind = 'calls'").select(F.col("dst").alias("node"), name("src").alias("other")), FACT_LIMITS["called-by"] + FACT_LIMITS["tested-by"])
+    known = told.groupBy(F.col("node").alias("k")).agg(F.collect_list("other").alias("known"))
+    callers = callers.join(known, F.col("node") == F.col("k"), "left").filter(~F.coalesce(F.array_contains("known", F.col("other")), F.lit(False)))
+    callers = top_k(callers.select("node", "other"), ["node"], [F.col("other")], FACT_LIMITS["called-by"], "n")
+    cut = [df.select("node", F.lit(kind).alias("kind"), "n", "other") for kind, df in (("calls", calls), ("called-by", callers), ("tested-by", told))]
+    return union_all([roles.withColumn("n", F.col("n").cast("int")), *cut])
 
 
 def brief(facts: DataFrame) -> DataFrame:
@@ -78,9 +93,8 @@ def brief_text(facts: DataFrame, limit: int) -> DataFrame:
     row = F.to_json(F.struct("kind", "other"))
     w = Window.partitionBy("node").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     sized = facts.withColumn("row", row).withColumn("size", F.sum(F.octet_length("row") + 1).over(w) + 1)
-    fits = sized.filter(F.col("size") <= limit).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", "row"))).alias("rows"))
-    text = F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]"))
-    return facts.select("node").distinct().join(fits.select("node", text.alias("text")), "node", "left").select("node", F.coalesce("text", F.lit("[]")).alias("text"))
+    fits = sized.groupBy("node").agg(F.array_sort(F.collect_list(F.when(F.col("size") <= limit, F.struct("place", "row")))).alias("rows"))  # nodes without any keep an empty list
+    return fits.select("node", F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]")).alias("text"))
 
 
 def test_statement(name: Column, source: Column) -> Column:
