@@ -6,6 +6,7 @@ units: id, path, kind, language, name, start, source. edges: src, dst, kind.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,12 +132,13 @@ def apply_renames(changes: DataFrame, matches: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(hit, F.when(F.col("old_name") == F.col("name"), "moved").otherwise("renamed")).otherwise(F.col("status"))).withColumn("before_source", F.when(hit, F.col("old_source")).otherwise(F.col("before_source"))).withColumnRenamed("old_id", "before_id").drop("m_new", "old_name", "old_source")
 
 
-def signals(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, support: DataFrame) -> DataFrame:
+def signals(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, support: DataFrame, name: Callable[[str], Column] = F.col) -> DataFrame:
     """id, signal, n, related: what of a changed unit's surroundings did not change with it.
 
     changes: id, status. support: id of test support. ``n`` counts all, ``related``
     lists the first twelve by id. Added units have no callers that stayed as they
     were; removed ones are looked up in the old edges and have no test signal.
+    ``name`` gives the id of a column, where all go by keys; id stays a key.
     """
     ids, tests = changes.select(F.col("id").alias("c")), support.select(F.col("id").alias("s"))
     live = changes.filter("status <> 'removed'")
@@ -154,7 +156,9 @@ def signals(changes: DataFrame, old_edges: DataFrame, new_edges: DataFrame, supp
     # One row for each relation counts; of the others only the first few, cut before they meet, are listed.
     pairs = called.unionByName(seen)
     counts = pairs.groupBy("id", "signal").agg(F.count(F.lit(1)).alias("n"))
-    listed = top_k(pairs.distinct(), ["id", "signal"], [F.col("other")], MAX_RELATED, "place").groupBy("id", "signal").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("related"))
+    # Equal others share a rank, so they fall together where they are ranked.
+    ranked = pairs.select("id", "signal", name("other").alias("other")).withColumn("place", F.dense_rank().over(Window.partitionBy("id", "signal").orderBy("other")))
+    listed = ranked.filter(F.col("place") <= MAX_RELATED).groupBy("id", "signal").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("related"))
     some = counts.join(listed, ["id", "signal"])
     none = subject.join(tested.select(F.col("src").alias("t")), F.col("id") == F.col("t"), "left_anti").select("id", F.lit("no-known-test").alias("signal"), F.lit(0).cast("long").alias("n"), F.lit("").alias("related"))
     return some.unionByName(none)
