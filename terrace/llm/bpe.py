@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -54,13 +55,18 @@ def merged(model) -> Callable[[str], bytes]:
     """Piece of text -> its ids as little-endian 32-bit integers, by the tokenizer's model."""
     shown = byte_alphabet()
     table = {cp: "".join(shown[b] for b in chr(cp).encode()) for cp in range(256)}
-    return lambda piece: np.array([t.id for t in model.tokenize(piece.translate(table))], "<u4").tobytes()
+
+    def ids(piece: str) -> bytes:
+        found = [t.id for t in model.tokenize(piece.translate(table))]
+        return struct.pack(f"<{len(found)}I", *found)
+
+    return ids
 
 
 class Encoder:
     """Ids of a text exactly as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, piece_bytes: int = PIECE_BYTES):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -68,7 +74,7 @@ class Encoder:
         self.tok.no_padding()
         self.lower = self.tok.normalizer is not None
         self.find = (WORD_PIECES if self.lower else BYTE_PIECES).findall
-        self.pieces = Store(merged(self.tok.model), PIECE_BYTES)
+        self.pieces = Store(merged(self.tok.model), piece_bytes)
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.chunks = Store(self.plain, CHUNK_BYTES)
 
@@ -154,9 +160,9 @@ def cut_positions(text: str) -> tuple[list[int], np.ndarray]:
     return hits[keep].tolist(), spaces
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and worker; its stores are bounded."""
-    return kept_in_worker("bpe", path, lambda: Encoder(path))
+def encoder(path: str, piece_bytes: int = PIECE_BYTES) -> Encoder:
+    """One encoder for each vocabulary, bound of its pieces, and worker; its stores are bounded."""
+    return kept_in_worker("bpe", f"{path} {piece_bytes}", lambda: Encoder(path, piece_bytes))
 
 
 #: Columns the operator can return, in Arrow and Spark types.

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import CHUNK_BYTES, PIECE_BYTES, encoder
 from .common import slices, stage
 
 #: Bytes of ids that a writer holds before it writes them out.
@@ -27,7 +27,8 @@ def encode_partitions(df: DataFrame, tokenizer: str, end_id: int, id_col: str =
     """Written table: id, part, before (ids earlier in the partition), n, ids (little-endian 32-bit, with the end id)."""
 
     def run(batches):
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        # No chunks are kept here, so pieces have their room as well: emptied more often, the store would encode frequent ones again.
+        enc, end = encoder(tokenizer, PIECE_BYTES + CHUNK_BYTES), np.array([end_id], "<u4").tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in slices(batch):
