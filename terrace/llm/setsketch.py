@@ -38,7 +38,7 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, LAST = 1.001, 20.0, 65534
 SALT, BLOCK, WIDE, PIVOT_ROUNDS = 256, 512, 32, 3
-CELL, PART = 1.05, 4096
+CELL, PART, CELLS = 1.05, 4096, 64
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -236,7 +236,7 @@ def full_sets(rows: DataFrame, reps: DataFrame, size: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node that edges (hub, rep) lead to), for nodes with edges.
 
-    Large-star and small-star steps alternate until nothing changes; each step's
+    Large-star and small-star steps alternate until nothing changes; each round's
     edges are written, and only a count and a check sum reach the driver.
     """
     both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -245,14 +245,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both(now)
         least = near.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-        large = near.join(least, near["u"] == least["k"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = stage(large, "large")
+        # No more rows than edges, so equal ones wait for the end of the round.
+        large = near.join(least, near["u"] == least["k"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         small = large.join(least, large["u"] == least["k"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("k").alias("u"), F.col("m").alias("v")))
         after = stage(small.filter("u <> v").distinct(), "edges")
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         unstage(now)
-        unstage(large)
         now = after
         if mark == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -260,37 +259,48 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """bucket, rep, component, size: buckets whose members, without the first, are in several components."""
+    """bucket, size, held (rep and component of a part of its members): buckets whose members, without the first, are in several components.
+
+    Members go in at most CELLS parts a bucket, and a part is one row, so what
+    decides on a bucket meets few rows of a large one, and none is gathered whole.
+    """
     labelled = members.filter("rep <> first").join(labels, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    spread = labelled.groupBy(F.col("bucket").alias("b")).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi").select("b", "size")
-    return labelled.join(spread, F.col("bucket") == F.col("b")).drop("b")
+    least, most = F.min("component").alias("lo"), F.max("component").alias("hi")
+    cells = labelled.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(CELLS)).alias("cell")).agg(F.collect_list(F.struct("rep", "component")).alias("held"), least, most)
+    cells = stage(cells.drop("cell"), "cells")
+    spread = cells.groupBy(F.col("bucket").alias("b")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.size("held")).alias("size")).filter("lo <> hi").select("b", "size")
+    return cells.join(spread, F.col("bucket") == F.col("b")).select("bucket", "size", "held")
+
+
+def each_member(rows: DataFrame) -> DataFrame:
+    """bucket, size, rep, component: a row for each member that ``open_buckets`` holds."""
+    return rows.select("bucket", "size", F.explode("held").alias("x")).select("bucket", "size", "x.rep", "x.component")
 
 
 def pivots(rows: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
-    """hub, rep: in each bucket of more than WIDE members the most central one that isn't in ``tried`` (hub), with those of other components.
+    """hub, rep: in each open bucket of more than WIDE members the most central one that isn't in ``tried`` (hub), with those of other components.
 
     Each block of a bucket names the member with the most registers in common
     with the rest of the block, and the best of these is the bucket's: as many
     pairs as members.
     """
-    wide = rows.filter(F.col("size") > WIDE)
+    wide = each_member(rows.filter(F.col("size") > WIDE))
     data = classes.select(F.col("rep").alias("r"), F.col("registers").alias("data"))
     old = tried.select(F.col("hub").alias("old")).distinct()
-    placed = wide.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))).join(data, F.col("rep") == F.col("r")).join(old, F.col("rep") == F.col("old"), "left")
-    dealt = placed.select("bucket", "block", "rep", "data", F.col("old").isNull().alias("new")).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
+    placed = wide.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "rep"), F.ceil(F.col("size") / BLOCK))).join(data, F.col("rep") == F.col("r")).join(old, F.col("rep") == F.col("old"), "left")
+    dealt = placed.select("bucket", "block", "rep", "component", "data", F.col("old").isNull().alias("new")).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket, _), held in grouped(batches, 2):
-            regs = np.frombuffer(b"".join(r[1] for r in held), np.uint16).reshape(len(held), -1)
-            score = [float((regs == r).mean()) if x[2] else -1.0 for r, x in zip(regs, held)]
+            regs = np.frombuffer(b"".join(r[2] for r in held), np.uint16).reshape(len(held), -1)
+            score = [float((regs == r).mean()) if x[3] else -1.0 for r, x in zip(regs, held)]
             best = int(np.argmax(score))
             if score[best] >= 0:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([held[best][0]], pa.int64()), pa.array([score[best]], pa.float64())], names=["bucket", "rep", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([held[best][0]], pa.int64()), pa.array([held[best][1]], pa.int64()), pa.array([score[best]], pa.float64())], names=["bucket", "rep", "own", "score"])
 
-    best = dealt.mapInArrow(run, "bucket long, rep long, score double").groupBy(F.col("bucket").alias("p_bucket")).agg(F.max(F.struct("score", "rep"))["rep"].alias("hub"))
-    own = wide.select(F.col("bucket").alias("o_bucket"), F.col("rep").alias("o_rep"), F.col("component").alias("own"))
-    best = best.join(own, (F.col("p_bucket") == F.col("o_bucket")) & (F.col("hub") == F.col("o_rep"))).select("p_bucket", "hub", "own")
-    return wide.join(best, (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("own"))).select("hub", "rep").distinct()
+    best = dealt.mapInArrow(run, "bucket long, rep long, own long, score double").groupBy(F.col("bucket").alias("p_bucket")).agg(F.max(F.struct("score", "rep", "own")).alias("x")).select("p_bucket", F.col("x.rep").alias("hub"), F.col("x.own").alias("own"))
+    met = rows.join(best, F.col("bucket") == F.col("p_bucket")).select("hub", "own", F.explode("held").alias("x"))
+    return met.filter("x.component <> own").select("hub", "x.rep").distinct()
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list]]]:
@@ -395,8 +405,9 @@ def grouped_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
     hubs = members.filter("rep <> first").select(F.col("first").alias("hub"), "rep").distinct()
     found = links(rows, hubs, sketches, size, percent)
     labels, tried = stage(components(found), "labels"), hubs.select("hub").distinct()
+    opened = stage(open_buckets(members, labels), "open")
     for _ in range(PIVOT_ROUNDS):  # large buckets first get a better hub than their first member
-        central = stage(pivots(open_buckets(members, labels), classes, tried), "pivots")
+        central = stage(pivots(opened, classes, tried), "pivots")
         if central.isEmpty():
             break
         more = links(rows, central, sketches, size, percent)
@@ -404,7 +415,8 @@ def grouped_rows(rows: DataFrame, size: int, percent: int) -> DataFrame:
             break
         found, tried = found.unionByName(more), tried.unionByName(central.select("hub").distinct())
         labels = stage(components(found), "labels")
-    rest = stage(open_buckets(members, labels).select("rep", "component").distinct(), "rest")
+        opened = stage(open_buckets(members, labels), "open")
+    rest = stage(each_member(opened).select("rep", "component").distinct(), "rest")
     if not rest.isEmpty():
         sets = full_sets(rows, rest, size).withColumnRenamed("rep", "r")
         sets = stage(sets.join(rest, F.col("r") == F.col("rep")).select("rep", "component", "n", "data"), "sets")

@@ -206,6 +206,16 @@ def test_components(spark):
     assert got == {(x, find(x)) for x in parent}
 
 
+def test_a_large_bucket_meets_what_decides_on_it_in_few_rows(spark):
+    """Members of a large bucket go in a bounded number of parts, and all are still there; buckets of one component drop out."""
+    members = [(1, rep, 0) for rep in range(3000)] + [(2, rep, 0) for rep in range(0, 3000, 2)] + [(3, 7, 5), (3, 8, 5)]
+    labels = [(rep, rep % 2) for rep in range(2999)]
+    rows = setsketch.open_buckets(spark.createDataFrame(members, "bucket long, rep long, first long"), spark.createDataFrame(labels, "node long, component long"))
+    assert rows.count() <= setsketch.CELLS + 2
+    got = {tuple(r) for r in setsketch.each_member(rows).collect()}
+    assert got == {(1, 2999, rep, rep % 2 if rep < 2999 else rep) for rep in range(1, 3000)} | {(3, 2, 7, 1), (3, 2, 8, 0)}
+
+
 def brute_lines(rows, least):
     order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, rows[n][0] or 0))
     seen, gone = set(), {}
