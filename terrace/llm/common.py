@@ -4,21 +4,21 @@ from __future__ import annotations
 
 import gc
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import modest_batches, shared_dir, stage, unstage
+from ..staging import PART_BYTES, modest_batches, shared_dir, slices, stage, unstage
 
-__all__ = ["ASCII_SPACE", "Store", "few", "free_name", "kept_in_worker", "lower_ascii", "modest_batches", "shared_dir", "shuffle_width", "slices", "stage", "table", "unstage"]
+__all__ = ["ASCII_SPACE", "PART_BYTES", "Store", "few", "free_name", "kept_in_worker", "lower_ascii", "modest_batches", "shared_dir", "shuffle_width", "slices", "stage", "table", "unstage"]
 
 #: Characters that count as white space wherever a contract speaks of ASCII white space.
 ASCII_SPACE = r"[\x20\x09-\x0D]"
-#: Bytes, at most, that a part of a batch and a store in a worker hold.
-PART_BYTES, STORE_BYTES = 2_000_000, 24_000_000
+#: Bytes, at most, that a store in a worker holds.
+STORE_BYTES = 24_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,18 +42,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, rows: int = 512, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of an Arrow batch of at most ``rows`` rows and ``most`` bytes, so that what a part is turned into stays small; a longer row is a part of its own."""
-    todo = [batch.slice(start, rows) for start in range(0, batch.num_rows, rows)][::-1]
-    while todo:
-        part = todo.pop()
-        if part.num_rows < 2 or part.nbytes <= most:
-            yield part
-        else:
-            half = part.num_rows // 2
-            todo += [part.slice(half), part.slice(0, half)]
-
-
 class Store(dict):
     """Key -> ``make`` of it, found once; emptied when it holds ``most`` bytes."""
 

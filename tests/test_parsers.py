@@ -1,7 +1,9 @@
 """Units of each language, on small files of our own."""
 
+import pyarrow as pa
 import pytest
 
+from terrace.functions import go_refs, parsers
 from terrace.functions.parsers import Parser, Registry, Unit, default_registry, no_units, parse_file, vault_encrypted
 
 REGISTRY = default_registry()
@@ -77,3 +79,28 @@ def test_table_function(spark):
     files.createOrReplaceTempView("some_files")
     parsers.register_udtf(spark)
     assert spark.sql("SELECT u.name FROM some_files f, LATERAL parse_units(f.path, coalesce(f.source, '')) u").count() == 3
+
+
+class OneBatch:
+    """Stands for a table whose rows come to the reader in one batch."""
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def filter(self, *_):
+        return self
+
+    select = filter
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.batch])))
+
+
+@pytest.mark.parametrize("reader", [parsers.parse_units, go_refs.reference_table])
+def test_a_batch_is_read_in_parts(reader):
+    """Rows of many files, of which each has many, are never held at once, and all come, in order."""
+    sources = [f"package p\n\nfunc F{n}() {{}}\n\nfunc G{n}() {{ F{n}() }}\n" for n in range(1300)]
+    of = lambda lo, hi: OneBatch(pa.RecordBatch.from_arrays([pa.array([f"p/{n}.go" for n in range(lo, hi)]), pa.array(sources[lo:hi])], names=["path", "source"]))
+    parts = reader(of(0, 1300))
+    assert len(parts) == 3
+    assert [r for p in parts for r in p.to_pylist()] == [r for n in range(0, 1300, 100) for p in reader(of(n, n + 100)) for r in p.to_pylist()]
