@@ -110,3 +110,16 @@ def test_sentences_of_relations_are_sorted_once_to_cut_and_gather(spark):
     told = narration.relation_sentences(delta, none, 2)
     assert "ObjectHashAggregate" not in told._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.kind, r.sentence) for r in told.collect()) == [("calls", "Newly: calls f1 and f3 and 3 more."), ("imports", "Newly: imports f0 and f2 and 3 more.")]
+
+
+def test_a_tour_writes_edges_only_where_it_goes_along_them(spark, sf_dir, monkeypatch):
+    """Entry points enough for all stops end the walk, and its edges are read once."""
+    tags = []
+    real = tables.stage
+    monkeypatch.setattr(tables, "stage", lambda df, tag, *a: tags.append((tag, len(df.columns))) or real(df, tag, *a))
+    starts = tables.raw_roles(spark, sf_dir).filter("role = 'entry point'").select("id").distinct().count()
+    for most, edges in ((starts, False), (starts + 1, True)):
+        tags.clear()
+        nodes, _ = tables.tour_graph(spark, sf_dir, most)
+        assert [t for t, _ in tags] == ["edges"] * edges + ["scored"] and tags[-1][1] == 7
+        assert {"name", "reasons"}.isdisjoint(nodes.columns)
