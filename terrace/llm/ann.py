@@ -222,7 +222,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int, factor: float | None = No
     first = stage(vectors.at_home(vectors.blocks(whole.withColumn("least", none), "kind"), shards, kernel, schema), "home")
     least = first.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") > k).drop("n")
     seeded = whole.join(least, "kind", "left").withColumn("least", F.coalesce("least", none))
-    rest = vectors.elsewhere(vectors.blocks(seeded, "kind"), shards, may_hold, kernel, schema)
+    rest = vectors.elsewhere(vectors.blocks(seeded, "kind"), shards, may_hold, kernel, schema, k + 1)
     best = Window.partitionBy("kind").orderBy(F.desc("score"), "id")
     ranked = first.unionByName(rest).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1)
     lists = ranked.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("place", "id", "score", "same"))).alias("found"))

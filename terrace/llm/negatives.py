@@ -207,7 +207,7 @@ def hard_negatives(df: DataFrame, anchors: DataFrame, positives: int = 5, negati
         bound = full.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("range", "least"))).alias("bounds"))
         each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda j: F.coalesce(F.try_element_at("bounds", j), F.lit(int(LEAST))))
         seeded = asking.join(bound, "kind", "left").withColumn("least", F.when(F.col("bounds").isNull(), lowest).otherwise(each)).drop("bounds")
-        rest = vectors.elsewhere(vectors.blocks(seeded, "kind"), shards, may_hold, kernel, schema)
+        rest = vectors.elsewhere(vectors.blocks(seeded, "kind"), shards, may_hold, kernel, schema, most)
         w = Window.partitionBy("kind", "range").orderBy(F.desc("score"), "id")
         return first.unionByName(rest).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
 

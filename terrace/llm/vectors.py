@@ -6,7 +6,9 @@ about SHARD_ROWS rows by a hash, so no shard grows with the data or with a cell.
 Queries go the same way into blocks of about BLOCK_ROWS rows. A search first lets
 each block meet one shard of its own cell, which bounds what it still looks for;
 then blocks meet summaries of the shards, a page of them at a time, and only the
-rows of a block that a summary doesn't rule out move on to the shard.
+rows of a block that a summary doesn't rule out move on, once to a group of shards.
+A task holds the shards of a group and the rows of a part of the blocks, each of
+about HELD_BYTES at most.
 """
 
 from __future__ import annotations
@@ -23,8 +25,12 @@ from pyspark.sql import functions as F
 from ..staging import bounded
 from .common import few, kept_in_worker, stage
 
-#: Rows the router is fitted on, about; rows of a shard and of a block, about; shards on a page; blocks that meet a shard in one task.
-SAMPLE, SHARD_ROWS, BLOCK_ROWS, PAGE_SHARDS, PART_BLOCKS = 8192, 4096, 512, 256, 64
+#: Rows the router is fitted on, about; rows of a shard and of a block, about; shards on a page.
+SAMPLE, SHARD_ROWS, BLOCK_ROWS, PAGE_SHARDS = 8192, 4096, 512, 256
+#: Bytes of the shards of a group, and of the rows of a part, about; groups that shards are dealt into at least, where there are so many shards.
+HELD_BYTES, LEAST_GROUPS = 32_000_000, 32
+#: Written shards, and blocks, that a writer or reader holds at once; rows that search a shard at once; rows found that a task gathers before it keeps the best.
+STAGED_ROWS, ASKING_ROWS, FOUND_ROWS = 16, 4096, 200_000
 #: Rows of one kind, at most, that a list is joined with in one task.
 COPIES = 4096
 
@@ -157,10 +163,10 @@ def dealt(rows: DataFrame, most: int, name: str, key: Column) -> DataFrame:
 
 
 def make_shards(rows: DataFrame, build: Callable[[Rows, int], tuple[Rows, dict[str, Any]]], summary: str) -> DataFrame:
-    """shard, cell, body, summary: a written shard a row, from rows with ``cell``; ``build`` makes the packed arrays and the summary."""
+    """shard, cell, body, bytes, summary: a written shard a row, from rows with ``cell``; ``build`` makes the packed arrays, of so many bytes, and the summary."""
     cols = [c for c in rows.columns if c != "cell"]
     own = dealt(rows, SHARD_ROWS, "shard", F.xxhash64(*cols, F.lit("shard"))).groupBy("shard").agg(F.first("cell").alias("cell"), F.first("first").alias("first"), F.first("parts").alias("parts"), F.collect_list(F.struct(*cols)).alias("rows"))
-    schema = f"shard long, cell long, first long, parts long, body binary, summary {summary}"
+    schema = f"shard long, cell long, first long, parts long, body binary, bytes long, summary {summary}"
     kind = pa.schema([("x", _arrow(own.sparkSession, summary))]).field(0).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +175,10 @@ def make_shards(rows: DataFrame, build: Callable[[Rows, int], tuple[Rows, dict[s
             for n in range(batch.num_rows):
                 one = batch.slice(n, 1)
                 arrays, said = build(numpy_rows(one.column(4).flatten()), one.column(1)[0].as_py())
-                yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array([packed(arrays)], pa.binary()), pa.array([said], kind)], names=["shard", "cell", "first", "parts", "body", "summary"])
+                body = packed(arrays)
+                yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array([body], pa.binary()), pa.array([len(body)], pa.int64()), pa.array([said], kind)], names=["shard", "cell", "first", "parts", "body", "bytes", "summary"])
 
-    return stage(own.mapInArrow(run, schema), "shards")
+    return stage(own.mapInArrow(run, schema), "shards", rows=STAGED_ROWS)
 
 
 def _arrow(spark, ddl: str) -> pa.DataType:
@@ -214,13 +221,29 @@ def at_home(own: DataFrame, shards: DataFrame, kernel: Kernel, schema: str) -> D
     return searched(homes.join(shuffled(shards.select("shard", "body")), "shard"), kernel, schema)
 
 
-def elsewhere(own: DataFrame, shards: DataFrame, may_hold: Callable[[Rows, list[dict]], np.ndarray], kernel: Kernel, schema: str) -> DataFrame:
-    """What blocks find in all shards but that of ``at_home``; ``may_hold`` tells which rows of a block must look into which shards of a page."""
+def foremost(found: pa.Table, most: int) -> pa.Table:
+    """Of the rows of each kind, and range, the ``most`` that come first by score, then id."""
+    kind, score = found["kind"].combine_chunks().dictionary_encode().indices.to_numpy(), found["score"].to_numpy()
+    span = found["range"].to_numpy() if "range" in found.column_names else np.zeros(len(kind), np.int64)
+    order = np.lexsort((found["id"].to_numpy(), ~score if score.dtype == np.int64 else -score, span, kind))
+    n = np.arange(len(order))
+    new = np.r_[True, (np.diff(kind[order]) != 0) | (np.diff(span[order]) != 0)][: len(n)]
+    return found.take(pa.array(order[n - np.maximum.accumulate(np.where(new, n, 0)) < most]))
+
+
+def elsewhere(own: DataFrame, shards: DataFrame, may_hold: Callable[[Rows, list[dict]], np.ndarray], kernel: Kernel, schema: str, most: int | None = None) -> DataFrame:
+    """What blocks find in all shards but that of ``at_home``; ``may_hold`` tells which rows of a block must look into which shards of a page.
+
+    Only the ``most`` rows found of a kind, and range, that come first by score, then id, count, if it is given.
+    """
     page = F.floor(F.col("shard") / PAGE_SHARDS)
     pages = few(shards.groupBy(page.alias("page")).agg(F.collect_list(F.struct("shard", "cell", "first", "parts", "summary")).alias("shards")), "pages", F.lit(PAGE_SHARDS * 4096))
-    last = pages.agg(F.max("page")).first()[0]
-    met = own.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(int(last or 0))))).join(pages, "page").select("block", "cell", "rows", "shards")
-    rows_type = own.schema["rows"].dataType.simpleString()
+    last, held = shards.agg(F.max("shard"), F.max("bytes")).first()
+    last, held = int(last or 0), int(held or 1)
+    size = max(1, min(HELD_BYTES // held, (last + 1) // LEAST_GROUPS, 63))  # shards of a group; a row's `look` has a bit for each
+    blocks_ = max(1, HELD_BYTES * SHARD_ROWS // (held * BLOCK_ROWS))  # blocks of a part
+    met = own.withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(last // PAGE_SHARDS)))).join(pages, "page").select("block", "cell", "rows", "shards")
+    fields = own.schema["rows"].dataType.elementType.simpleString().removeprefix("struct<").removesuffix(">")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept_in_worker("vectors")
@@ -229,15 +252,42 @@ def elsewhere(own: DataFrame, shards: DataFrame, may_hold: Callable[[Rows, list[
                 block, cell, page = batch.column(0)[n].as_py(), batch.column(1)[n].as_py(), batch.column(3)[n].as_py()
                 rows = batch.slice(n, 1).column(2).flatten()
                 look = may_hold(numpy_rows(rows), [s["summary"] for s in page])
+                groups: dict[int, np.ndarray] = {}
                 for k, s in enumerate(page):
                     home = s["cell"] == cell and s["shard"] == s["first"] + block % s["parts"]
                     if not home and look[:, k].any():
-                        left = rows.filter(pa.array(look[:, k]))
-                        yield pa.RecordBatch.from_arrays([pa.array([s["shard"]], pa.int64()), pa.array([block // PART_BLOCKS], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)], names=["shard", "part", "rows"])
-
-    todo = stage(met.mapInArrow(run, f"shard long, part long, rows {rows_type}"), "todo")
-    asked = shuffled(shards.select("shard", "body")).join(todo.select("shard", "part").distinct(), "shard")
-    return searched(todo.join(shuffled(asked), ["shard", "part"]), kernel, schema)
+                        bits = groups.setdefault(s["shard"] // size, np.zeros(len(look), np.int64))
+                        bits |= look[:, k].astype(np.int64) << s["shard"] % size
+                for group, bits in groups.items():
+                    some = pa.array(bits != 0)
+                    left = rows.filter(some)
+                    left = pa.StructArray.from_arrays([*(left.field(f.name) for f in left.type), pa.array(bits[bits != 0])], names=[*(f.name for f in left.type), "look"])
+                    wanted = pa.array([[group * size + k for k in range(size) if (bits >> k & 1).any()]], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array([group], pa.int64()), pa.array([block // blocks_], pa.int64()), wanted, pa.ListArray.from_arrays(pa.array([0, len(left)], pa.int32()), left)], names=["group", "part", "wanted", "rows"])
+
+    todo = stage(met.mapInArrow(run, f"group long, part long, wanted array<long>, rows array<struct<{fields}, look: bigint>>"), "todo", rows=STAGED_ROWS)
+    pairs = todo.select(F.col("group").alias("of"), F.col("part").alias("at"), F.explode("wanted").alias("shard")).distinct()
+    bodies = shuffled(shards.select("shard", "body")).join(pairs, "shard")
+    types = pa.schema(list(_arrow(own.sparkSession, f"struct<{schema}>")))
+
+    def search(key: tuple[pa.Scalar, ...], asking: pa.Table, bodies: pa.Table) -> pa.Table:
+        kept_in_worker("vectors")
+        own = numpy_rows(pa.concat_arrays([x.flatten() for x in asking["rows"].chunks]))
+        look, found, held = own.pop("look"), [], 0
+        for shard, body in zip(bodies["shard"].to_pylist(), bodies["body"]):
+            at, arrays = np.flatnonzero(look >> shard % size & 1), unpacked(body.as_py())
+            for start in range(0, len(at), ASKING_ROWS):
+                some = at[start : start + ASKING_ROWS]
+                for x in kernel({c: v[some] for c, v in own.items()}, arrays):
+                    found.append(pa.RecordBatch.from_arrays([pa.array(x[f.name], f.type) for f in types], schema=types))
+                    held += found[-1].num_rows
+            if most is not None and held > FOUND_ROWS:
+                found = foremost(pa.Table.from_batches(found), most).to_batches()
+                held = sum(x.num_rows for x in found)
+        out = pa.Table.from_batches(found, types)
+        return out if most is None else foremost(out, most)
+
+    return todo.select("group", "part", "rows").groupBy("group", "part").cogroup(bodies.groupBy("of", "at")).applyInArrow(search, schema)
 
 
 def per_row(each: DataFrame, kinds: DataFrame, lists: DataFrame, id_col: str) -> DataFrame:

@@ -6,6 +6,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +182,36 @@ def test_rows_and_bodies_do_not_go_through_the_driver(spark):
         body = [line for line in plan.splitlines() if "Join" in line and "shard#" in line]
         assert body and all("strategy=merge" in line for line in body)
     assert sorted(r.id for r in home.collect()) == list(range(64)) and rest.count() == 0
+
+
+def test_rows_move_once_to_a_group_and_few_are_held_at_once(spark, small, monkeypatch):
+    """What is written is read a group of rows at a time, so groups of long rows must be small; a block's rows go to a group of shards, not to each."""
+    monkeypatch.setattr(vectors, "PAGE_SHARDS", 32)
+    monkeypatch.setattr(vectors, "LEAST_GROUPS", 4, raising=False)
+    monkeypatch.setattr(vectors, "ASKING_ROWS", 5, raising=False)
+    monkeypatch.setattr(vectors, "FOUND_ROWS", 20, raising=False)
+    staged, cut, stage, cutting = {}, [], vectors.stage, vectors.blocks
+    monkeypatch.setattr(vectors, "stage", lambda df, tag, **how: staged.setdefault(tag, stage(df, tag, **how)))
+    monkeypatch.setattr(vectors, "blocks", lambda *a: cut.append(cutting(*a)) or cut[-1])
+    rows = odd_rows(7, n=1600, spread=4)
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    got = ann.nearest(df, df.filter("vec_id % 20 = 0"), 5, factor=1.0)
+    assert sorted(map(tuple, got.collect())) == brute_nearest(rows, lambda i: i % 20 == 0, 5)
+    shards = staged["shards"].count()
+    assert shards > 32
+    for tag in ("shards", "todo"):
+        held = [m.row_group(g).num_rows for f in staged[tag].inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for g in range(m.num_row_groups)]
+        assert max(held) <= 16 < sum(held)
+    assert staged["todo"].count() <= 5 * cut[-1].count() < shards * cut[-1].count() / 6
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_foremost_of_rows_found(whole):
+    r = random.Random(8)
+    least = np.iinfo(np.int64).min
+    rows = [(f"k{r.randint(0, 9)}", r.randint(0, 2), i, r.choice([least, -1, 0, 5, 2**63 - 1]) if whole else r.choice([-0.5, 0.0, 0.25, 3.0]), False) for i in range(300)]
+    schema = pa.schema([("kind", pa.string()), ("range", pa.int64()), ("id", pa.int64()), ("score", pa.int64() if whole else pa.float64()), ("same", pa.bool_())])
+    found = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*r.sample(rows, 300)), schema)], schema=schema)
+    want = {key: sorted((x for x in rows if x[:2] == key), key=lambda x: (-x[3], x[2]))[:4] for key in {x[:2] for x in rows}}
+    assert sorted(map(tuple, vectors.foremost(found, 4).to_pandas().to_numpy().tolist())) == sorted(x for kept in want.values() for x in kept)
+    assert vectors.foremost(found.slice(0, 0), 4).num_rows == 0
